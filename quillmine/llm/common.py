@@ -69,3 +69,21 @@ def running_total(df: DataFrame, group: list[str], bucket: str, order: list, val
         .withColumn(out, F.col("qm_off") + F.sum(value).over(inside))
         .drop("qm_off")
     )
+
+
+def hot_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner", share: int = 2000) -> DataFrame:
+    """left joined to right, which has a row per key at most, however many rows of left share a key.
+
+    Keys with a share-th of left's rows or more (so at most that many keys, the bound of what is broadcast) are spread
+    over salts on the left, and their rows on the right are repeated for each salt. No row is dropped.
+    """
+    total = left.count()
+    most = max(500, total // share)
+    hot = F.broadcast(
+        left.groupBy(*on).agg(F.count("*").alias("qm_n")).where(F.col("qm_n") > most).select(*on, F.ceil(F.col("qm_n") / most).cast("int").alias("qm_salts"))
+    )
+    salted = left.join(hot, on, "left").withColumn(
+        "qm_salt", F.when(F.col("qm_salts").isNull(), 0).otherwise(F.pmod(F.xxhash64(*left.columns), F.col("qm_salts")).cast("int"))
+    )
+    copies = right.join(hot, on, "left").withColumn("qm_salt", F.explode(F.sequence(F.lit(0), F.coalesce("qm_salts", F.lit(1)) - 1)))
+    return salted.drop("qm_salts").join(copies.drop("qm_salts"), [*on, "qm_salt"], how).drop("qm_salt")

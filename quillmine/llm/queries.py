@@ -7,20 +7,26 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from quillmine.llm import fair_mix as mix
-from quillmine.llm import merkle, secrets
+from quillmine.llm import gbdt, merkle, secrets, warc
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return _table(spark, sf_dir, "documents")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_merkle_fingerprints": lambda spark, d: merkle.fingerprint_edits(_docs(spark, d)),
+        "op2_warc_roundtrip": lambda spark, d: warc.roundtrip(_table(spark, d, "pages")),
+        "op7_boosted_quality": lambda spark, d: gbdt.quality(_docs(spark, d), _table(spark, d, "labels")),
         "op8_randomness_secrets": lambda spark, d: secrets.scan(_docs(spark, d)),
         "op10_fair_mix": lambda spark, d: mix.fair_mix(_docs(spark, d)),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_fair_mix": mix.ORACLE}
+    return {"op2_warc_roundtrip": warc.ORACLE, "op10_fair_mix": mix.ORACLE}

@@ -20,7 +20,8 @@ ENCODINGS = (
     ("base64", "^[A-Za-z0-9+/]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"),
     ("base64url", "^[A-Za-z0-9_-]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_"),
 )
-SPAN = "struct<start:int,rank:int,end:int,kind:string>"
+#: Tested tokens.
+TESTS = "array<struct<start:int,end:int,encoding:string,n:int,p:double>>"
 #: Bins of a p-value's logarithm, per stratum.
 P_BINS = 60
 
@@ -81,49 +82,82 @@ def _upper_tail(z: Column) -> Column:
     return 1 / (1 + F.exp(1.5976 * z + 0.070566 * z * z * z))
 
 
-def battery(token: Column) -> Column:
-    """struct(encoding, n, p): the token's inferred encoding and the p-value of its being random text in that encoding.
+def _sum(values: Column, zero=0.0, of=lambda x: x) -> Column:
+    return F.aggregate(values, F.lit(zero), lambda a, x: a + of(x))
 
-    Three tests on the characters' places in the alphabet: chi-squared against uniform use, runs above and below the
-    middle, and serial correlation at lag one. Cauchy's combination joins them, as they need not be independent.
+
+def _paired(values: Column, of) -> Column:
+    """of(later, earlier) for all neighbours."""
+    n = F.size(values)
+    return F.zip_with(F.slice(values, F.lit(2), n - 1), F.slice(values, F.lit(1), n - 1), of)
+
+
+def battery(found: Column) -> Column:
+    """Adds encoding, n and p to each struct (start, end, whole) of an array; drops those of no known encoding.
+
+    p is the p-value of the token's being random text in its inferred encoding. Three tests on the characters' places in
+    the alphabet: chi-squared against uniform use, runs above and below the middle, and serial correlation at lag one.
+    Cauchy's combination joins them, as they need not be independent. Each step is a transform of its own, so that
+    nothing is computed again for each character.
     """
-    body = F.rtrim(token, F.lit("="))
-    kind = F.lit(None).cast("string")
-    letters = F.lit(None).cast("string")
-    for name, pattern, alphabet in reversed(ENCODINGS):
-        kind = F.when(body.rlike(pattern), name).otherwise(kind)
-        letters = F.when(body.rlike(pattern), alphabet).otherwise(letters)
-    read = F.when(kind == "hex", F.lower(body)).otherwise(body)
-    k, n = F.char_length(letters).cast("double"), F.char_length(read).cast("double")
-    values = F.transform(F.split(read, ""), lambda c: F.call_function("instr", letters, c) - 1)
-    squares = F.aggregate(
-        F.split(letters, ""),
-        F.lit(0.0),
-        lambda a, c: a + F.pow((F.char_length(read) - F.char_length(F.replace(read, c))).cast("double"), F.lit(2.0)),
-    )
-    z_chi = (k / n * squares - n - (k - 1)) / F.sqrt(2 * (k - 1) * (n - 1) / n)
-    high = F.transform(values, lambda v: (v * 2 >= k).cast("int"))
-    n1 = F.aggregate(high, F.lit(0), lambda a, x: a + x).cast("double")
-    n0 = n - n1
-    turns = F.aggregate(
-        F.zip_with(F.slice(high, F.lit(2), F.size(high)), F.slice(high, F.lit(1), F.size(high) - 1), lambda a, b: F.coalesce((a != b).cast("int"), F.lit(0))),
-        F.lit(0),
-        lambda a, x: a + x,
-    )
-    mean_runs = 2 * n0 * n1 / n + 1
-    z_runs = (turns + 1 - mean_runs) / F.sqrt(F.greatest((mean_runs - 1) * (mean_runs - 2) / (n - 1), F.lit(1e-9)))
-    mean = F.aggregate(values, F.lit(0.0), lambda a, v: a + v) / n
-    spread = F.aggregate(values, F.lit(0.0), lambda a, v: a + (v - mean) * (v - mean))
-    lagged = F.aggregate(
-        F.zip_with(F.slice(values, F.lit(2), F.size(values)), F.slice(values, F.lit(1), F.size(values) - 1), lambda a, b: F.coalesce((a - mean) * (b - mean), F.lit(0.0))),
-        F.lit(0.0),
-        lambda a, x: a + x,
-    )
-    z_serial = (lagged / F.greatest(spread, F.lit(1e-9)) + 1 / n) * F.sqrt(n)
-    bounded = lambda p: F.least(F.greatest(p, F.lit(1e-9)), F.lit(1 - 1e-9))
-    ps = [bounded(_upper_tail(z_chi)), bounded(2 * _upper_tail(F.abs(z_runs))), bounded(2 * _upper_tail(F.abs(z_serial)))]
-    cauchy = sum((F.tan((F.lit(0.5) - p) * math.pi) for p in ps), F.lit(0.0)) / 3
-    return F.struct(kind.alias("encoding"), F.char_length(read).alias("n"), bounded(0.5 - F.atan(cauchy) / math.pi).alias("p"))
+
+    def encoded(x: Column) -> Column:
+        body = F.rtrim(x["whole"], F.lit("="))
+        kind, letters = F.lit(None).cast("string"), F.lit(None).cast("string")
+        for name, pattern, alphabet in reversed(ENCODINGS):
+            kind = F.when(body.rlike(pattern), name).otherwise(kind)
+            letters = F.when(body.rlike(pattern), alphabet).otherwise(letters)
+        return F.struct(x["start"].alias("start"), x["end"].alias("end"), body.alias("body"), kind.alias("encoding"), letters.alias("letters"))
+
+    def placed(x: Column) -> Column:
+        read = F.when(x["encoding"] == "hex", F.lower(x["body"])).otherwise(x["body"])
+        return F.struct(
+            x["start"].alias("start"),
+            x["end"].alias("end"),
+            x["encoding"].alias("encoding"),
+            F.char_length(x["body"]).alias("n"),
+            F.char_length(x["letters"]).alias("k"),
+            F.transform(F.split(read, ""), lambda c: F.call_function("instr", x["letters"], c) - 1).alias("v"),
+        )
+
+    def averaged(x: Column) -> Column:
+        same = ("start", "end", "encoding", "n", "k", "v")
+        return F.struct(
+            *[x[c].alias(c) for c in same],
+            (_sum(x["v"]) / x["n"]).alias("mean"),
+            _sum(x["v"], 0, lambda v: (v * 2 >= x["k"]).cast("int")).cast("double").alias("n1"),
+        )
+
+    def tested(x: Column) -> Column:
+        n, k = x["n"].cast("double"), x["k"].cast("double")
+        counts = F.transform(F.sequence(F.lit(0), x["k"] - 1), lambda c: F.size(F.filter(x["v"], lambda v: v == c)))
+        chi = k / n * _sum(counts, 0.0, lambda c: c.cast("double") * c) - n
+        expected = 2 * (n - x["n1"]) * x["n1"] / n + 1
+        turns = _sum(_paired(x["v"], lambda a, b: ((a * 2 >= x["k"]) != (b * 2 >= x["k"])).cast("int")), 0)
+        spread = _sum(x["v"], 0.0, lambda v: (v - x["mean"]) * (v - x["mean"]))
+        lagged = _sum(_paired(x["v"], lambda a, b: (a - x["mean"]) * (b - x["mean"])))
+        return F.struct(
+            x["start"].alias("start"),
+            x["end"].alias("end"),
+            x["encoding"].alias("encoding"),
+            x["n"].alias("n"),
+            ((chi - (k - 1)) / F.sqrt(2 * (k - 1) * (n - 1) / n)).alias("z_chi"),
+            ((turns + 1 - expected) / F.sqrt(F.greatest((expected - 1) * (expected - 2) / (n - 1), F.lit(1e-9)))).alias("z_runs"),
+            ((lagged / F.greatest(spread, F.lit(1e-9)) + 1 / n) * F.sqrt(n)).alias("z_serial"),
+        )
+
+    def bounded(p: Column) -> Column:
+        return F.least(F.greatest(p, F.lit(1e-9)), F.lit(1 - 1e-9))
+
+    def joined(x: Column) -> Column:
+        ps = [bounded(_upper_tail(x["z_chi"])), bounded(2 * _upper_tail(F.abs(x["z_runs"]))), bounded(2 * _upper_tail(F.abs(x["z_serial"])))]
+        cauchy = sum((F.tan((F.lit(0.5) - p) * math.pi) for p in ps), F.lit(0.0)) / 3
+        return F.struct(
+            x["start"].alias("start"), x["end"].alias("end"), x["encoding"].alias("encoding"), x["n"].alias("n"), bounded(0.5 - F.atan(cauchy) / math.pi).alias("p")
+        )
+
+    known = F.filter(F.transform(found, encoded), lambda x: x["encoding"].isNotNull())
+    return F.transform(F.transform(F.transform(F.transform(known, placed), averaged), tested), joined)
 
 
 def with_candidates(df: DataFrame, text: str, base: str, out: str) -> DataFrame:
@@ -133,13 +167,7 @@ def with_candidates(df: DataFrame, text: str, base: str, out: str) -> DataFrame:
         "qm_cand",
         lambda x: x["whole"].rlike("[0-9]") & x["whole"].rlike("[A-Za-z]") & ~F.exists(base, lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])),
     )
-    return df.withColumn(
-        out,
-        F.filter(
-            F.transform(free, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), battery(x["whole"]).alias("test"))),
-            lambda x: x["test"]["encoding"].isNotNull(),
-        ),
-    ).drop("qm_cand")
+    return df.withColumn(out, F.when(F.size("qm_cand") > 0, battery(free)).otherwise(F.array().cast(TESTS))).drop("qm_cand")
 
 
 def _stratum(test: Column) -> Column:
@@ -158,7 +186,7 @@ def text_limits(candidates: DataFrame, column: str, rate: float = 0.05) -> dict[
     themselves. p-values count by bins of their logarithm, each at its largest value, so the driver gets at most P_BINS
     numbers a stratum.
     """
-    tests = candidates.select(F.explode(column).alias("x")).select(F.col("x.test").alias("t"))
+    tests = candidates.select(F.explode(column).alias("x")).select(F.col("x").alias("t"))
     counts = tests.groupBy(_stratum(F.col("t")).alias("s"), _bin(F.col("t.p")).alias("b")).count().collect()
     limits: dict[str, int] = {}
     for s in {r["s"] for r in counts}:
@@ -183,7 +211,7 @@ def with_spans(docs: DataFrame, text: str = "text", out: str = "qm_spans", base:
     else:
         limit = lambda t: at
     kept = F.transform(
-        F.filter("qm_tests", lambda x: _bin(x["test"]["p"]) < limit(x["test"])),
+        F.filter("qm_tests", lambda x: _bin(x["p"]) < limit(x)),
         lambda x: F.struct(x["start"].alias("start"), F.lit(len(KINDS)).alias("rank"), x["end"].alias("end"), F.lit("random").alias("kind")),
     )
     return df.withColumn(out, F.array_sort(F.concat(F.col(base), kept))).drop("qm_tests")
