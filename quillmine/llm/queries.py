@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from quillmine.llm import fair_mix as mix
-from quillmine.llm import gbdt, merkle, phrases, secrets, warc
+from quillmine.llm import gbdt, merkle, neardup, phrases, secrets, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_merkle_fingerprints": lambda spark, d: merkle.fingerprint_edits(_docs(spark, d)),
         "op2_warc_roundtrip": lambda spark, d: warc.roundtrip(_table(spark, d, "pages")),
+        "op3_order_minhash": lambda spark, d: neardup.near_duplicates(_docs(spark, d)),
         "op6_phrase_automata": lambda spark, d: phrases.remove_repeats(_docs(spark, d)),
         "op7_boosted_quality": lambda spark, d: gbdt.quality(_docs(spark, d), _table(spark, d, "labels")),
         "op8_randomness_secrets": lambda spark, d: secrets.scan(_docs(spark, d)),
