@@ -4,10 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from quillmine.llm import fair_mix as mix
-from quillmine.llm import gbdt, merkle, neardup, phrases, secrets, warc
+from quillmine.llm import gbdt, mergedrop, merkle, neardup, phrases, secrets, tokenfile, warc
+
+
+#: Files of public tokenizers; any path that all machines can read does.
+BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
+PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,9 +29,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_merkle_fingerprints": lambda spark, d: merkle.fingerprint_edits(_docs(spark, d)),
         "op2_warc_roundtrip": lambda spark, d: warc.roundtrip(_table(spark, d, "pages")),
         "op3_order_minhash": lambda spark, d: neardup.near_duplicates(_docs(spark, d)),
+        "op4_range_coded_tokens": lambda spark, d: tokenfile.tokens(_docs(spark, d), BYTE_BPE),
         "op6_phrase_automata": lambda spark, d: phrases.remove_repeats(_docs(spark, d)),
         "op7_boosted_quality": lambda spark, d: gbdt.quality(_docs(spark, d), _table(spark, d, "labels")),
         "op8_randomness_secrets": lambda spark, d: secrets.scan(_docs(spark, d)),
+        "op9_merge_dropout": lambda spark, d: mergedrop.encoded(_docs(spark, d), PIECE_BPE),
         "op10_fair_mix": lambda spark, d: mix.fair_mix(_docs(spark, d)),
     }
 
