@@ -7,8 +7,9 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from quillmine.llm import fair_mix as mix
-from quillmine.llm import gbdt, mergedrop, merkle, neardup, phrases, secrets, tokenfile, warc
+from quillmine.llm import gbdt, mergedrop, merkle, neardup, phrases, resampling, secrets, tokenfile, warc
 
 
 #: Files of public tokenizers; any path that all machines can read does.
@@ -30,11 +31,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_warc_roundtrip": lambda spark, d: warc.roundtrip(_table(spark, d, "pages")),
         "op3_order_minhash": lambda spark, d: neardup.near_duplicates(_docs(spark, d)),
         "op4_range_coded_tokens": lambda spark, d: tokenfile.tokens(_docs(spark, d), BYTE_BPE),
+        "op5_importance_resampling": lambda spark, d: resampling.resample(_docs(spark, d), _table(spark, d, "labels")),
         "op6_phrase_automata": lambda spark, d: phrases.remove_repeats(_docs(spark, d)),
         "op7_boosted_quality": lambda spark, d: gbdt.quality(_docs(spark, d), _table(spark, d, "labels")),
         "op8_randomness_secrets": lambda spark, d: secrets.scan(_docs(spark, d)),
         "op9_merge_dropout": lambda spark, d: mergedrop.encoded(_docs(spark, d), PIECE_BPE),
         "op10_fair_mix": lambda spark, d: mix.fair_mix(_docs(spark, d)),
+        "pipeline": corpus_pipeline.run,
     }
 
 
