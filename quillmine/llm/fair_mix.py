@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quillmine.llm.common import WORD, partitions, range_bounds, range_bucket, running_total, stored
 
 #: Rows of one source that one task sorts, about.
-BUCKET_ROWS = 10_000
+BUCKET_ROWS = 1_000
 
 
 def source_targets(sized: DataFrame, weights=(5, 2, 1), max_repeats: int = 3, budget: float = 1.0) -> DataFrame:
