@@ -272,7 +272,7 @@ def _decode_lanes(data: list[bytes], lens: np.ndarray, counts: np.ndarray) -> np
 
 
 def encode_segment(ids: np.ndarray, block: int = BLOCK) -> bytes:
-    """A segment: head with the id frequencies, then the blocks' lengths, checksums and code. ids: below 65536."""
+    """A segment: head with the id frequencies, then the blocks' lengths, checksums (of ids and of code) and code. ids: below 65536."""
     ids = np.ascontiguousarray(ids, dtype=np.uint16)
     n = len(ids)
     counts = np.bincount(ids, minlength=1)
@@ -291,7 +291,7 @@ def encode_segment(ids: np.ndarray, block: int = BLOCK) -> bytes:
     wide = ids.astype("<u4")
     crc = [zlib.crc32(wide[i * block : i * block + lens[i]].tobytes()) for i in range(n_blocks)]
     head = MAGIC + struct.pack("<QIII", n, block, n_blocks, len(table)) + table
-    index = np.array([lens, [len(c) for c in code], crc], dtype="<u4").tobytes() if n_blocks else b""
+    index = np.array([lens, [len(c) for c in code], crc, [zlib.crc32(c) for c in code]], dtype="<u4").tobytes() if n_blocks else b""
     return head + struct.pack("<I", zlib.crc32(head + index)) + index + b"".join(code)
 
 
@@ -302,18 +302,22 @@ def decode_segment(data: bytes) -> np.ndarray:
         raise ValueError("not a segment")
     n, block, n_blocks, size = struct.unpack_from("<QIII", data, 4)
     at = 24 + size
-    index = data[at + 4 : at + 4 + 12 * n_blocks]
-    if len(index) < 12 * n_blocks or zlib.crc32(data[:at] + index) != struct.unpack_from("<I", data, at)[0]:
+    index = data[at + 4 : at + 4 + 16 * n_blocks]
+    if len(index) < 16 * n_blocks or zlib.crc32(data[:at] + index) != struct.unpack_from("<I", data, at)[0]:
         raise ValueError("a segment's head is damaged")
     counts = np.frombuffer(zlib.decompress(data[24:at]), dtype="<u4").astype(I64)
-    lens, sizes, crc = np.frombuffer(index, dtype="<u4").reshape(3, n_blocks).astype(np.int64)
+    lens, sizes, crc, code_crc = np.frombuffer(index, dtype="<u4").reshape(4, n_blocks).astype(np.int64)
     ends = at + 4 + len(index) + np.cumsum(sizes)
     if n_blocks and ends[-1] != len(data):
         raise ValueError("a segment is cut off")
     out = np.zeros(n, dtype=np.uint16)
     for i in range(0, n_blocks, LANES):
         k = slice(i, min(i + LANES, n_blocks))
-        got = _decode_lanes([data[e - s : e] for s, e in zip(sizes[k], ends[k], strict=True)], lens[k], counts)
+        code = [data[e - s : e] for s, e in zip(sizes[k], ends[k], strict=True)]
+        for j, c in enumerate(code):
+            if zlib.crc32(c) != code_crc[i + j]:
+                raise ValueError(f"block {i + j} is damaged")
+        got = _decode_lanes(code, lens[k], counts)
         for j in range(got.shape[0]):
             ids = got[j, : lens[i + j]]
             if zlib.crc32(ids.astype("<u4").tobytes()) != crc[i + j]:
