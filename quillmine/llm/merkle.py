@@ -117,3 +117,29 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
         likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
         likeness(F.col("fingerprint"), F.col("qm_next_fp")).alias("near_next"),
     )
+
+
+#: The same in DuckDB's SQL.
+ORACLE = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, CAST(length(coalesce(text, '')) AS BIGINT) AS n_chars FROM documents),
+n AS (SELECT *, coalesce(lag(text) OVER (ORDER BY doc_id NULLS FIRST, text), first_value(text) OVER (ORDER BY doc_id DESC NULLS LAST, text DESC)) AS nx,
+      row_number() OVER (ORDER BY doc_id NULLS FIRST, text) AS i FROM d),
+e AS (SELECT *, substr(text, 1, n_chars - n_chars // 3) || substr(nx, 1, n_chars // 3) AS edited FROM n),
+x AS (SELECT i, 0 AS k, text AS t FROM e UNION ALL SELECT i, 1, edited FROM e),
+t AS (SELECT i, k, list_transform(string_split(t, chr(10) || chr(10)), lambda s: list_transform(string_split(s, chr(10)), lambda p:
+      list_transform(regexp_extract_all(p, '@leaf'), lambda l: md5(l)))) AS t FROM x),
+p AS (SELECT *, list_transform(t, lambda s: list_transform(s, lambda p: sha256(coalesce(array_to_string(p, ''), '')))) AS p FROM t),
+s AS (SELECT *, list_transform(p, lambda x: sha256(array_to_string(x, ''))) AS s FROM p),
+f AS (SELECT i, k, sha256(array_to_string(s, '')) AS root, list_distinct(list_transform(flatten(flatten(t)), lambda l: l[1:6])) AS leaves,
+      sha256(array_to_string(s, '')) || '|' || array_to_string(list_transform(list_zip(s, p), lambda z: z[1][1:8] || ':' || len(z[2])), ' ') || '|'
+      || array_to_string(list_transform(list_zip(flatten(p), flatten(t)), lambda z: z[1][1:8] || ':' || len(z[2])), ' ') || '|'
+      || coalesce(array_to_string(list_transform(flatten(flatten(t)), lambda l: l[1:6]), ' '), '') AS fp FROM s),
+j AS (SELECT e.doc_id, e.n_chars, sha256(e.edited) AS edited_sha256, a.fp AS fingerprint, b.fp AS edited_fingerprint, a.root AS ra, b.root AS rb, c.root AS rc,
+      len(list_intersect(a.leaves, b.leaves)) AS ib, len(list_intersect(a.leaves, c.leaves)) AS ic, CAST(len(a.leaves) + len(b.leaves) AS DOUBLE) AS tb, CAST(len(a.leaves) + len(c.leaves) AS DOUBLE) AS tc
+      FROM e JOIN f a ON a.i = e.i AND a.k = 0 JOIN f b ON b.i = e.i AND b.k = 1
+      JOIN f c ON c.k = 0 AND c.i = CASE WHEN e.i = 1 THEN (SELECT max(i) FROM e) ELSE e.i - 1 END)
+SELECT doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint,
+       CASE WHEN ra = rb THEN 1e0 ELSE least(coalesce(2e0 * ib / nullif(tb, 0e0), 0e0), 1 - 1 / (1 + tb)) END AS near_edited,
+       CASE WHEN ra = rc THEN 1e0 ELSE least(coalesce(2e0 * ic / nullif(tc, 0e0), 0e0), 1 - 1 / (1 + tc)) END AS near_next
+FROM j
+""".replace("@leaf", LEAF)

@@ -42,4 +42,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_warc_roundtrip": warc.ORACLE, "op10_fair_mix": mix.ORACLE}
+    return {"op1_merkle_fingerprints": merkle.ORACLE, "op2_warc_roundtrip": warc.ORACLE, "op10_fair_mix": mix.ORACLE}
