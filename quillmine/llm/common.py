@@ -90,4 +90,4 @@ def hot_join(
         "qm_salt", F.when(F.col("qm_salts").isNull(), 0).otherwise(F.pmod(F.xxhash64(*left.columns), F.col("qm_salts")).cast("int"))
     )
     copies = right.join(hot, on, "left").withColumn("qm_salt", F.explode(F.sequence(F.lit(0), F.coalesce("qm_salts", F.lit(1)) - 1)))
-    return salted.drop("qm_salts").join(copies.drop("qm_salts"), [*on, "qm_salt"], how).drop("qm_salt")
+    return salted.drop("qm_salts").join(copies.drop("qm_salts").hint("merge"), [*on, "qm_salt"], how).drop("qm_salt")
