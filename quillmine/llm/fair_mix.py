@@ -108,7 +108,7 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
         F.max(F.col("taken") / F.col("size")).cast("int").alias("qm_times")
     )
     columns = docs.columns
-    joined = docs.join(taken.withColumnRenamed("doc_id", "qm_id"), F.col("doc_id").eqNullSafe(F.col("qm_id")))
+    joined = docs.join(taken.withColumnRenamed("doc_id", "qm_id").hint("merge"), F.col("doc_id").eqNullSafe(F.col("qm_id")))
     return joined.withColumn("qm_n", F.explode(F.sequence(F.lit(1), F.col("qm_times")))).select(*[F.col(f"`{c}`") for c in columns])
 
 
