@@ -72,19 +72,21 @@ def running_total(df: DataFrame, group: list[str], bucket: str, order: list, val
 
 
 def hot_join(
-    left: DataFrame, right: DataFrame, on: list[str], how: str = "inner", share: int = 2000, counted: DataFrame | None = None
+    left: DataFrame, right: DataFrame, on: list[str], how: str = "inner", share: int = 2000, counted: DataFrame | None = None, counts: DataFrame | None = None
 ) -> DataFrame:
     """left joined to right, which has a row per key at most, however many rows of left share a key.
 
     Keys with a share-th of left's rows or more (so at most that many keys, the bound of what is broadcast) are spread
     over salts on the left, and their rows on the right are repeated for each salt. No row is dropped. counted, if given,
-    has the keys of left's rows and is cheaper to count.
+    has the keys of left's rows and is cheaper to count. counts, if given, has the number qm_n of left's rows of each key
+    that right has, as far as known; then only these are counted.
     """
     counted = left if counted is None else counted
-    total = counted.count()
+    total = counted.count() if counts is None else counts.agg(F.coalesce(F.sum("qm_n"), F.lit(0))).first()[0]
     most = max(500, total // share)
+    counts = counted.groupBy(*on).agg(F.count("*").alias("qm_n")) if counts is None else counts
     hot = F.broadcast(
-        counted.groupBy(*on).agg(F.count("*").alias("qm_n")).where(F.col("qm_n") > most).select(*on, F.ceil(F.col("qm_n") / most).cast("int").alias("qm_salts"))
+        counts.where(F.col("qm_n") > most).select(*on, F.ceil(F.col("qm_n") / most).cast("int").alias("qm_salts"))
     )
     salted = left.join(hot, on, "left").withColumn(
         "qm_salt", F.when(F.col("qm_salts").isNull(), 0).otherwise(F.pmod(F.xxhash64(*left.columns), F.col("qm_salts")).cast("int"))

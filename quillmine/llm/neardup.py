@@ -23,6 +23,9 @@ from quillmine.llm.words import BASE, Words, chunks, mixed, spans_digest, words
 SHINGLE = 5
 BANDS = 24
 SIMILARITY = 0.8
+#: Counts in a text's bag of words; members of an entry that are held against each other at once.
+BUCKETS = 128
+BLOCK = 1000
 BASE2 = np.uint64(0xA24BAED4963EE407)
 
 
@@ -185,6 +188,26 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("id"), F.col("v").alias("class_id")).union(edges.select(F.col("v"), F.col("v")).distinct())
 
 
+def bags(w: Words) -> np.ndarray:
+    """Per text BUCKETS counts of its words by hash, each at most 15, two to a byte. An edit changes their sum of differences by two at most."""
+    n = len(w.first) - 1
+    bucket = (mixed(w.digests()) >> np.uint64(64 - BUCKETS.bit_length() + 1)).astype(np.int64)
+    counts = np.minimum(np.bincount(w.doc * BUCKETS + bucket, minlength=n * BUCKETS), 15).astype(np.uint8).reshape(n, BUCKETS)
+    return counts[:, ::2] | counts[:, 1::2] << 4
+
+
+def _unpacked(bag: pa.Array) -> np.ndarray:
+    packed = np.frombuffer(b"".join(bag.to_pylist()), dtype=np.uint8).reshape(len(bag), BUCKETS // 2)
+    return np.concatenate((packed & 15, packed >> 4), axis=1).astype(np.int8)
+
+
+def _within(n_a: np.ndarray, n_b: np.ndarray, bag_a: np.ndarray, bag_b: np.ndarray, least: float) -> np.ndarray:
+    """Whether lengths and bags allow similarity; no similar pair is refused. Broadcasts over all axes but the bags' last."""
+    longer = np.maximum(n_a, n_b)
+    most = np.floor((1 - least) * longer + 1e-9)
+    return (longer - np.minimum(n_a, n_b) <= most) & (np.abs(bag_a - bag_b).sum(axis=-1, dtype=np.int16) <= 2 * most)
+
+
 def _sketches(rows: DataFrame, shingle: int, bands: int) -> DataFrame:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -193,9 +216,48 @@ def _sketches(rows: DataFrame, shingle: int, bands: int) -> DataFrame:
                 w = words(part.column(1))
                 halves = [spans_digest(w.digests(base), w.first[:-1], w.first[1:], base).view(np.int64) for base in (BASE, BASE2)]
                 keys = pa.ListArray.from_arrays(pa.array(np.arange(0, k * bands + 1, bands, dtype=np.int32)), pa.array(sketch(w, shingle, bands).ravel().view(np.int64)))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(w.first)), *map(pa.array, halves), keys], ["doc_id", "n_words", "w1", "w2", "keys"])
+                bag = pa.array([x.tobytes() for x in bags(w)], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(w.first)), *map(pa.array, halves), bag, keys], ["doc_id", "n_words", "w1", "w2", "bag", "keys"])
+
+    return rows.mapInArrow(scan, "doc_id long, n_words long, w1 long, w2 long, bag binary, keys array<long>")
 
-    return rows.mapInArrow(scan, "doc_id long, n_words long, w1 long, w2 long, keys array<long>")
+
+def _allowed(pairs: DataFrame, least: float) -> DataFrame:
+    """a, b of the pairs (a, n_a, bag_a, b, n_b, bag_b) that may be similar, the lesser first."""
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, n_a, bag_a, b, n_b, bag_b = batch.columns
+            ok = _within(n_a.to_numpy(), n_b.to_numpy(), _unpacked(bag_a), _unpacked(bag_b), least)
+            x, y = a.to_numpy()[ok], b.to_numpy()[ok]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
+
+    return pairs.select("a", "n_a", "bag_a", "b", "n_b", "bag_b").mapInArrow(check, "a long, b long")
+
+
+def _across(groups: DataFrame, least: float) -> DataFrame:
+    """a, b of all pairs of members of unlike class that may be similar, in groups (one, two, members: array of id, n, bag, class_id, block).
+
+    A group of one block is held against itself; of a group of two blocks, the one against the other.
+    """
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in range(batch.num_rows):
+                one, two, members = batch.column(0)[r].as_py(), batch.column(1)[r].as_py(), batch.column(2)[r].values
+                ids, n, label, block = (members.field(f).to_numpy(zero_copy_only=False) for f in ("id", "n", "class_id", "block"))
+                bag = _unpacked(members.field("bag"))
+                left, right = np.flatnonzero(block == one), np.flatnonzero(block == two)
+                step = max(1, (4 << 20) // (BUCKETS * max(1, len(right))))
+                for i in range(0, len(left), step):
+                    x = left[i : i + step]
+                    ok = _within(n[x][:, None], n[right][None], bag[x][:, None], bag[right][None], least) & (label[x][:, None] != label[right][None])
+                    ok &= (one != two) | (ids[x][:, None] < ids[right][None])
+                    p, q = np.nonzero(ok)
+                    p, q = ids[x[p]], ids[right[q]]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(p, q)), pa.array(np.maximum(p, q))], ["a", "b"])
+
+    return groups.select("one", "two", "members").mapInArrow(check, "a long, b long")
 
 
 def _verified(pairs: DataFrame, least: float) -> DataFrame:
@@ -212,41 +274,66 @@ def _verified(pairs: DataFrame, least: float) -> DataFrame:
     return pairs.select("a", "b", "text_a", "text_b").mapInArrow(verify, "a long, b long")
 
 
+def _links(rows: DataFrame, pairs: DataFrame, least: float) -> DataFrame:
+    """The pairs (a, b) whose texts are similar, stored."""
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    texts = stored(rows.join(ids.hint("merge"), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")), "near-texts")
+    one = hot_join(pairs, texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), ["a"])
+    two = hot_join(one, texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), ["b"], counted=pairs)
+    return stored(_verified(two, least), "near-links")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, bands: int = BANDS, least: float = SIMILARITY) -> DataFrame:
     """Per row: doc_id, class_id, n_links.
 
     class_id is the least doc_id of the document's class: documents joined by links, and documents of equal words.
-    n_links counts the links of the class member that stands for its equal copies, to members with other words. A
-    document without a near-duplicate has its own id and no link. Null texts are empty; texts without a word are equal.
-    Rows without a doc_id have a null class. Repeated rows get equal results. An empty table gives no row; other columns
-    are ignored.
-
-    All that share an entry are paired with two members, the entry's least and greatest doc_id of like length, never with
-    each other; no entry is left out for its size, and a hot entry's members are spread over tasks.
+    n_links counts the verified links of the class member that stands for its equal copies, to members with other words;
+    pairs that leaders have joined are not aligned again, so a member may be similar to more. A document without a
+    near-duplicate has its own id and no link. Null texts are empty; texts without a word are equal. Rows without a doc_id
+    have a null class. Repeated rows get equal results. An empty table gives no row; other columns are ignored.
+
+    All that share an entry are first paired with two leaders, the least and greatest doc_id of like length. Then any two
+    members of an entry that are not in one class by that are paired too, in blocks of members, unless their lengths or
+    bags of words rule similarity out. So each pair in an entry is aligned, ruled out or joined by transitivity.
     """
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     scanned = stored(_sketches(rows, shingle, bands), "near-sketches")
     able = scanned.where("doc_id is not null")
     homes = stored(able.groupBy("w1", "w2").agg(F.min("doc_id").alias("home"), F.count("*").alias("n")), "near-homes")
-    first = able.join(homes.select("w1", "w2", F.col("home").alias("doc_id")), ["w1", "w2", "doc_id"]).dropDuplicates(["w1", "w2", "doc_id"])
-    # Lengths that differ by a quarter or less share a cell in the even bands or in the odd ones.
+    homed = able.select("doc_id", "n_words", "w1", "w2", "bag", "keys").join(homes.select("w1", "w2", F.col("home").alias("doc_id")), ["w1", "w2", "doc_id"])
+    first = stored(homed.dropDuplicates(["w1", "w2", "doc_id"]).drop("w1", "w2"), "near-first")
+    entries = first.select("doc_id", F.explode(F.array_distinct("keys")).alias("key"))
+    keys = stored(entries.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "near-keys")
+    shared = stored(hot_join(entries, keys.select("key"), ["key"], counts=keys.select("key", F.col("n").alias("qm_n"))), "near-shared")
+    # For leaders only: lengths that differ by a quarter or less share a cell for even keys or for odd ones.
     width = 2 * math.log(1 / least)
-    cell = F.floor(F.log(F.greatest("n_words", F.lit(1))) / width + (F.col("band") % 2) * 0.5).cast("int")
-    entries = stored(
-        first.select("doc_id", "n_words", F.posexplode("keys").alias("band", "key")).select("doc_id", "n_words", "key", cell.alias("cell")), "near-entries"
+    cell = F.floor(F.log(F.greatest("n_words", F.lit(1))) / width + F.pmod("key", F.lit(2)) * 0.5).cast("int")
+    known = first.select("doc_id", "n_words", "bag")
+    met = stored(shared.join(known.hint("merge"), "doc_id").withColumn("cell", cell), "near-met")
+    member = F.struct(F.col("doc_id").alias("id"), F.col("n_words").alias("n"), "bag")
+    leaders = met.groupBy("key", "cell").agg(F.min(member).alias("lo"), F.max(member).alias("hi"), F.count("*").alias("n")).where("n > 1")
+    paired = hot_join(met, leaders.select("key", "cell", "lo", "hi"), ["key", "cell"], counted=met.select("key", "cell")).select(
+        F.col("doc_id").alias("a"), F.col("n_words").alias("n_a"), F.col("bag").alias("bag_a"), F.explode(F.array("lo", "hi")).alias("with")
     )
-    member = F.struct(F.col("doc_id").alias("id"), F.col("n_words").alias("n"))
-    shared = entries.groupBy("key", "cell").agg(F.min(member).alias("lo"), F.max(member).alias("hi"), F.count("*").alias("n")).where("n > 1")
-    paired = hot_join(entries, shared.select("key", "cell", "lo", "hi"), ["key", "cell"]).select(
-        "doc_id", "n_words", F.explode(F.array("lo", "hi")).alias("with")
+    paired = paired.where("with.id <> a").select("a", "n_a", "bag_a", F.col("with.id").alias("b"), F.col("with.n").alias("n_b"), F.col("with.bag").alias("bag_b"))
+    led = stored(_allowed(paired, least).distinct(), "near-pairs")
+    links = _links(rows, led, least)
+    # What leaders left apart: entries with members of several classes.
+    by_leaders = stored(components(links), "near-led")
+    labelled = met.join(by_leaders.select(F.col("id").alias("doc_id"), "class_id").hint("merge"), "doc_id", "left")
+    labelled = stored(labelled.withColumn("class_id", F.coalesce("class_id", "doc_id")), "near-labelled")
+    apart = labelled.groupBy("key").agg(
+        F.count("*").alias("n"), F.min("class_id").alias("c1"), F.max("class_id").alias("c2"), F.min("cell").alias("l1"), F.max("cell").alias("l2")
     )
-    close = paired.where("with.id <> doc_id").where(F.least("n_words", "with.n") >= least * F.greatest("n_words", "with.n") - 1e-6)
-    pairs = stored(close.select(F.least("doc_id", "with.id").alias("a"), F.greatest("doc_id", "with.id").alias("b")).distinct(), "near-pairs")
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = stored(rows.join(ids.hint("merge"), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")), "near-texts")
-    one = hot_join(pairs, texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), ["a"])
-    two = hot_join(one, texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), ["b"], counted=pairs)
-    links = stored(_verified(two, least), "near-links")
+    # With three members or fewer in one cell, each pair has a leader.
+    apart = stored(apart.where("c1 < c2 and (n > 3 or l1 < l2)").select("key", "n"), "near-apart")
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    dealt = hot_join(labelled, apart, ["key"], counts=apart.select("key", F.col("n").alias("qm_n"))).withColumn("block", F.pmod(F.xxhash64("doc_id"), blocks).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    tagged = F.struct(F.col("doc_id").alias("id"), F.col("n_words").alias("n"), "bag", "class_id", "block")
+    groups = dealt.groupBy("key", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two")).agg(F.collect_list(tagged).alias("members"))
+    rest = stored(_across(groups, least).distinct().join(led.hint("merge"), ["a", "b"], "left_anti"), "near-rest")
+    links = stored(links.union(_links(rows, rest, least)), "near-links")
     classes = components(links)
     degree = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("n_links"))
     named = hot_join(scanned.select("doc_id", "w1", "w2"), homes.where("n > 1").select("w1", "w2", "home"), ["w1", "w2"], "left")

@@ -402,3 +402,21 @@ def test_pipeline(spark, tmp_path):
     got = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert all(r["lossless"] for r in got) and {r["doc_id"] for r in got} <= set(range(25)) and len(got) >= 20
     assert [name for name, _ in corpus_pipeline.STAGES] == ["quality rules", "near-dedup", "secret scan", "source mix", "subword ids"]
+
+
+def test_members_unlike_their_leaders_are_linked(spark):
+    """Texts that share one passage, so that the entry's least and greatest doc_id are unrelated to a near pair in it."""
+    rng = random.Random(11)
+    v = [f"w{i}" for i in range(4000)]
+    fresh = lambda n: [rng.choice(v) for _ in range(n)]
+    passage = fresh(30)
+    rows = [(i, " ".join(fresh(10) + passage + fresh(10))) for i in range(60)]
+    base = rows[30][1].split()
+    far = list(base)
+    for i in (*range(0, 10, 2), *range(40, 50, 2)):
+        far[i] = "x"
+    # All but the passage's shingles are broken, so the pair shares only entries with all the others.
+    rows.append((31_000, " ".join(far)))
+    rows += [(40_000 + i, " ".join(fresh(10) + passage + fresh(10))) for i in range(60)]
+    got = {r["doc_id"]: r["class_id"] for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[31_000] == 30 and all(got[d] == d for d in got if d != 31_000)
