@@ -1,8 +1,9 @@
 """Near-duplicates by Order MinHash, verified by banded alignment.
 
-A text's sketch has BANDS entries. For each band, every 5-word shingle, labelled with the number of its earlier
+A text's sketch has BANDS entries. For each band, every 3-word shingle, labelled with the number of its earlier
 occurrences, gets a keyed hash; the two smallest are taken and put in the order of the text. So an entry agrees between
 two texts only if they share the shingles in the same order, which follows edit similarity rather than set similarity.
+Short texts have too few shingles for that; they go by keys that no similar pair can miss.
 Texts that share an entry and are of like length are aligned word by word within a band, and linked if their edit
 similarity, 1 - distance / longer length, reaches the threshold.
 """
@@ -20,9 +21,11 @@ from pyspark.sql import functions as F
 from quillmine.llm.common import hot_join, stored
 from quillmine.llm.words import BASE, Words, chunks, mixed, spans_digest, words
 
-SHINGLE = 5
-BANDS = 24
+SHINGLE = 3
+BANDS = 48
 SIMILARITY = 0.8
+#: Longer texts, in words, go by their sketch; the others, and those within SIMILARITY of them in length, by exact keys.
+SHORT = 50
 #: Counts in a text's bag of words; members of an entry that are held against each other at once.
 BUCKETS = 128
 BLOCK = 1000
@@ -77,6 +80,55 @@ def sketch(w: Words, shingle: int = SHINGLE, bands: int = BANDS) -> np.ndarray:
     return out
 
 
+def entries(w: Words, shingle: int = SHINGLE, bands: int = BANDS, least: float = SIMILARITY) -> tuple[np.ndarray, np.ndarray]:
+    """(keys of all texts in a row, number of keys of each): the sketch of a long text, exact keys of a short one.
+
+    d edits in n words leave a run of (n - d) / (d + 1) words or more as it was. So two texts of at most SHORT / least words
+    that are similar share a run of the length their longer one is sure to have, and all runs of that length are keys. Where
+    that is below three words, d is 1 at the default threshold, or 0: the whole text and it without each one word are keys.
+    """
+    n = len(w.first) - 1
+    size = np.diff(w.first)
+    digest = w.digests()
+    keys, of = [], []
+    long = np.flatnonzero(size > SHORT)
+    if len(long):
+        keys.append(sketch(w, shingle, bands)[long].ravel())
+        of.append(np.repeat(long, bands))
+    top = math.ceil(SHORT / least)
+    runs: dict[int, list[int]] = {}
+    for longer in range(2, top + 1):
+        d = math.floor((1 - least) * longer + 1e-9)
+        if d:
+            runs.setdefault(min(4, -(-(longer - d) // (d + 1))), []).append(longer)
+    for width, longer in runs.items():
+        # Both texts of a pair whose longer one has any of these lengths.
+        few = (size >= min(longer) * least - 1e-9) & (size <= max(longer))
+        if width > 2:
+            at = np.arange(max(0, len(digest) - width + 1))
+            at = at[(w.doc[at] == w.doc[at + width - 1]) & few[w.doc[at]]] if len(at) else at
+            keys.append(mixed(spans_digest(digest, at, at + width) + np.uint64(width)))
+            of.append(w.doc[at])
+            continue
+        text = np.flatnonzero(few)
+        begin, end = w.first[text], w.first[text + 1]
+        for gone in range(-1, max(longer)):
+            mine = end - begin > gone
+            x, y = begin[mine], end[mine]
+            cut = x + gone if gone >= 0 else y
+            # A text without one word: the digests of what stands before and after, as a polynomial of the words left.
+            rest = np.zeros(len(x), dtype=np.uint64)
+            for j in range(int((y - x).max(initial=0))):
+                here = (x + j < y) & (x + j != cut)
+                rest[here] = mixed(rest[here] * BASE2 + digest[x[here] + j])
+            keys.append(mixed(rest ^ BASE2))
+            of.append(text[mine])
+    if not keys:
+        return np.zeros(0, np.uint64), np.zeros(n, np.int64)
+    keys, of = np.concatenate(keys), np.concatenate(of)
+    return keys[np.argsort(of, kind="stable")], np.bincount(of, minlength=n).astype(np.int64)
+
+
 def _where(h: np.ndarray, low: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
     """The first place of each segment's minimum."""
     hits = np.flatnonzero(h == np.repeat(low, lens))
@@ -208,14 +260,15 @@ def _within(n_a: np.ndarray, n_b: np.ndarray, bag_a: np.ndarray, bag_b: np.ndarr
     return (longer - np.minimum(n_a, n_b) <= most) & (np.abs(bag_a - bag_b).sum(axis=-1, dtype=np.int16) <= 2 * most)
 
 
-def _sketches(rows: DataFrame, shingle: int, bands: int) -> DataFrame:
+def _sketches(rows: DataFrame, shingle: int, bands: int, least: float) -> DataFrame:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i, k in chunks(b.column(1)):
                 part = b.slice(i, k)
                 w = words(part.column(1))
                 halves = [spans_digest(w.digests(base), w.first[:-1], w.first[1:], base).view(np.int64) for base in (BASE, BASE2)]
-                keys = pa.ListArray.from_arrays(pa.array(np.arange(0, k * bands + 1, bands, dtype=np.int32)), pa.array(sketch(w, shingle, bands).ravel().view(np.int64)))
+                key, count = entries(w, shingle, bands, least)
+                keys = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(count)).astype(np.int32)), pa.array(key.view(np.int64)))
                 bag = pa.array([x.tobytes() for x in bags(w)], pa.binary())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(w.first)), *map(pa.array, halves), bag, keys], ["doc_id", "n_words", "w1", "w2", "bag", "keys"])
 
@@ -297,14 +350,14 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, bands: int = BANDS,
     bags of words rule similarity out. So each pair in an entry is aligned, ruled out or joined by transitivity.
     """
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    scanned = stored(_sketches(rows, shingle, bands), "near-sketches")
+    scanned = stored(_sketches(rows, shingle, bands, least), "near-sketches")
     able = scanned.where("doc_id is not null")
     homes = stored(able.groupBy("w1", "w2").agg(F.min("doc_id").alias("home"), F.count("*").alias("n")), "near-homes")
     homed = able.select("doc_id", "n_words", "w1", "w2", "bag", "keys").join(homes.select("w1", "w2", F.col("home").alias("doc_id")), ["w1", "w2", "doc_id"])
     first = stored(homed.dropDuplicates(["w1", "w2", "doc_id"]).drop("w1", "w2"), "near-first")
-    entries = first.select("doc_id", F.explode(F.array_distinct("keys")).alias("key"))
-    keys = stored(entries.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "near-keys")
-    shared = stored(hot_join(entries, keys.select("key"), ["key"], counts=keys.select("key", F.col("n").alias("qm_n"))), "near-shared")
+    keyed = first.select("doc_id", F.explode(F.array_distinct("keys")).alias("key"))
+    keys = stored(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "near-keys")
+    shared = stored(hot_join(keyed, keys.select("key"), ["key"], counts=keys.select("key", F.col("n").alias("qm_n"))), "near-shared")
     # For leaders only: lengths that differ by a quarter or less share a cell for even keys or for odd ones.
     width = 2 * math.log(1 / least)
     cell = F.floor(F.log(F.greatest("n_words", F.lit(1))) / width + F.pmod("key", F.lit(2)) * 0.5).cast("int")

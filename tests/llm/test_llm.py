@@ -420,3 +420,34 @@ def test_members_unlike_their_leaders_are_linked(spark):
     rows += [(40_000 + i, " ".join(fresh(10) + passage + fresh(10))) for i in range(60)]
     got = {r["doc_id"]: r["class_id"] for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got[31_000] == 30 and all(got[d] == d for d in got if d != 31_000)
+
+
+def meeting(pairs):
+    """Share of pairs of texts that have a key in common."""
+    w = neardup.words(pa.array([x for p in pairs for x in p]))
+    keys, n = neardup.entries(w)
+    each = [set(x.tolist()) for x in np.split(keys, np.cumsum(n)[:-1])]
+    return sum(bool(each[i] & each[i + 1]) for i in range(0, len(each), 2)) / len(pairs)
+
+
+def scattered(rng, n, d, kinds="s"):
+    a = [f"a{rng.random()}" for _ in range(n)]
+    b = list(a)
+    for i in sorted(rng.sample(range(n), d), reverse=True):
+        kind = rng.choice(kinds)
+        b[i : i + (kind != "i")] = [] if kind == "d" else [f"b{rng.random()}"]
+    return " ".join(a), " ".join(b)
+
+
+def test_short_similar_texts_always_meet():
+    rng = random.Random(12)
+    for n in range(5, 63):
+        assert meeting([scattered(rng, n, int(0.2 * n + 1e-9)) for _ in range(60)]) == 1, n
+        pairs = [scattered(rng, n, int(0.2 * n + 1e-9), "sdi") for _ in range(60)]
+        close = [p for p in pairs if neardup.similar(p[0].split(), p[1].split())]
+        assert close and meeting(close) == 1, n
+
+
+def test_long_texts_at_the_threshold_meet():
+    rng = random.Random(13)
+    assert meeting([scattered(rng, n, n // 5) for n in (100, 200, 400) for _ in range(200)]) > 0.98
