@@ -1,10 +1,11 @@
 """SentencePiece encoding with seeded merge-dropout, and decoding without loss.
 
 Merges follow the model's ranks, as an agenda per word: the best candidate pair is taken first. Each time a candidate
-comes up it is skipped if its keyed hash, of seed, variant, word, place and pair, falls below the dropout; a skipped pair stays
-apart for good unless a neighbour's merge makes a new pair. A document's variant is a keyed hash of its doc_id, so documents
-differ in how they cut the same word, and any machine cuts alike. Distinct words of many documents go through the agenda
-side by side, in numpy: a round takes the best candidate of every word.
+comes up it is skipped if its keyed hash, of seed, doc_id, the word's place in the document, place in the word and pair, falls
+below the dropout; a skipped pair stays apart for good unless a neighbour's merge makes a new pair. So each occurrence of a word
+is cut by itself, and any machine cuts alike. Distinct words of many documents go through the agenda side by side, in numpy: a
+round takes the best candidate of every word. Occurrences that skip none of these merges share the result; each of the others
+goes through an agenda of its own.
 
 Text goes to pieces as the model's own identity normalizer has it: a space becomes U+2581, which begins a word; one stands before
 the text. A literal U+2581, and what no piece covers, goes to byte pieces, so decoding gives every text back exactly.
@@ -24,7 +25,6 @@ from pyspark.sql import functions as F
 from quillmine.llm.words import BYTE, chunks, mixed, raw, spans_digest
 
 DROPOUT = 0.1
-VARIANTS = 4
 META = "▁"
 #: Pairs are keyed left id * PAIR + right id.
 PAIR = 1 << 17
@@ -101,10 +101,18 @@ def pieces(path: str) -> Pieces:
     return _models[path]
 
 
-def segment(model: Pieces, symbols: np.ndarray, word: np.ndarray, salt: np.ndarray, dropout: float) -> tuple[np.ndarray, np.ndarray]:
-    """Runs the agendas of all words side by side. symbols: pieces of all words in a row; word: the word of each, ascending;
-    salt: a 64-bit number per word that keys its dropout. Returns symbols and words after all merges."""
+def _drops(salt: np.ndarray, local: np.ndarray, pair: np.ndarray, dropout: float) -> np.ndarray:
+    """Whether the merge of a pair (key) at a place of a word of this salt is skipped."""
     below = np.uint64(min(int(dropout * 2**64), 2**64 - 1))
+    return mixed(mixed(salt ^ (local.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))) ^ pair.astype(np.uint64)) < below
+
+
+def segment(
+    model: Pieces, symbols: np.ndarray, word: np.ndarray, salt: np.ndarray, dropout: float, trace: list | None = None
+) -> tuple[np.ndarray, np.ndarray]:
+    """Runs the agendas of all words side by side. symbols: pieces of all words in a row; word: the word of each, ascending;
+    salt: a 64-bit number per word that keys its dropout. Returns symbols and words after all merges. trace, if given, gets
+    (word, place, pair) of the candidates of each round."""
     n = len(symbols)
     sym, place = symbols.astype(np.int64), np.arange(n)
     first = np.searchsorted(word, np.arange(int(word[-1]) + 1 if n else 0))
@@ -131,10 +139,11 @@ def segment(model: Pieces, symbols: np.ndarray, word: np.ndarray, salt: np.ndarr
         if len(hits):
             w = word[hits]
             hits = hits[np.append(True, w[1:] != w[:-1])]
+            local, pair = place[hits] - first[word[hits]], sym[hits] * PAIR + sym[hits + 1]
+            if trace is not None:
+                trace.append((word[hits], local, pair))
             if dropout > 0:
-                local = (place[hits] - first[word[hits]]).astype(np.uint64)
-                h = mixed(mixed(salt[word[hits]] ^ (local * np.uint64(0x9E3779B97F4A7C15))) ^ (sym[hits] * PAIR + sym[hits + 1]).astype(np.uint64))
-                drop = h < below
+                drop = _drops(salt[word[hits]], local, pair, dropout)
                 skipped[hits[drop]] = True
                 hits = hits[~drop]
             sym[hits] = made[hits]
@@ -167,11 +176,11 @@ def segment(model: Pieces, symbols: np.ndarray, word: np.ndarray, salt: np.ndarr
     return s[order], w[order]
 
 
-def variant_salts(doc_ids: list[int | None], seed: str, variants: int) -> np.ndarray:
-    """The variant of each document, by keyed hash of its doc_id."""
+def document_salts(doc_ids: list[int | None], seed: str) -> np.ndarray:
+    """A keyed hash of each doc_id."""
     key = int.from_bytes(hashlib.sha256(seed.encode()).digest()[:8], "little")
     ids = np.array([0x7FFFFFFFFFFFFFFF if d is None else d for d in doc_ids], dtype=np.int64).view(np.uint64)
-    return (mixed(mixed(ids ^ np.uint64(key)) + np.uint64(key)) % np.uint64(variants)).astype(np.int64)
+    return mixed(mixed(ids ^ np.uint64(key)) + np.uint64(key))
 
 
 def _symbols(model: Pieces, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -200,7 +209,7 @@ def _symbols(model: Pieces, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return ids, begin
 
 
-def encode(model: Pieces, texts: pa.Array, variants_of: np.ndarray, seed: str, dropout: float) -> tuple[np.ndarray, np.ndarray]:
+def encode(model: Pieces, texts: pa.Array, salts: np.ndarray, seed: str, dropout: float) -> tuple[np.ndarray, np.ndarray]:
     """(ids of all texts in a row, number of ids of each). Each text has one space set before it, unless it is empty."""
     data, at = raw(texts)
     n = len(texts)
@@ -218,17 +227,35 @@ def encode(model: Pieces, texts: pa.Array, variants_of: np.ndarray, seed: str, d
     ends = np.append(starts[1:], len(spaced))
     doc = np.searchsorted(at, starts, "right") - 1
     key = int.from_bytes(hashlib.sha256(f"{seed}:words".encode()).digest()[:8], "little")
-    digest = spans_digest(BYTE[spaced], starts, ends)
-    salted = mixed(digest ^ np.uint64(key)) + (variants_of[doc].astype(np.uint64) + np.uint64(1)) * np.uint64(0xD1342543DE82EF95)
-    distinct, first, which = np.unique(salted, return_index=True, return_inverse=True)
-    # Distinct words (of one variant) side by side.
-    lens = (ends - starts)[first]
-    ahead = np.cumsum(lens)
-    gathered = spaced[np.arange(int(ahead[-1])) - np.repeat(ahead - lens, lens) + np.repeat(starts[first], lens)]
-    ids, begin = _symbols(model, gathered)
-    word = np.searchsorted(ahead, begin, "right")
-    ids, word = segment(model, ids, word, distinct, dropout)
-    count = np.bincount(word, minlength=len(distinct))
+    size = ends - starts
+    digest = mixed(spans_digest(BYTE[spaced], starts, ends) ^ np.uint64(key))
+    distinct, first, which = np.unique(digest, return_index=True, return_inverse=True)
+
+    def agenda(some: np.ndarray, salt: np.ndarray, rate: float, trace: list | None) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of these words in a row, number of each)."""
+        ahead = np.cumsum(size[some])
+        gathered = spaced[np.arange(int(ahead[-1])) - np.repeat(ahead - size[some], size[some]) + np.repeat(starts[some], size[some])]
+        ids, begin = _symbols(model, gathered)
+        ids, word = segment(model, ids, np.searchsorted(ahead, begin, "right"), salt, rate, trace)
+        return ids, np.bincount(word, minlength=len(some))
+
+    trace: list = []
+    ids, count = agenda(first, distinct, 0.0, trace)
+    if dropout > 0 and trace:
+        word, local, pair = (np.concatenate(x) for x in zip(*trace, strict=True))
+        order = np.argsort(word, kind="stable")
+        local, pair, merges = local[order], pair[order], np.bincount(word, minlength=len(distinct))
+        # A word's number in its document, not in this run of texts.
+        number = (np.arange(len(starts)) - np.searchsorted(doc, doc)).astype(np.uint64)
+        salt = mixed(mixed(salts.astype(np.uint64)[doc] ^ np.uint64(key)) + number * np.uint64(0xD1342543DE82EF95))
+        off, m = np.cumsum(merges) - merges, merges[which]
+        of = np.repeat(np.arange(len(starts)), m)
+        at = np.arange(len(of)) - np.repeat(np.cumsum(m) - m, m) + np.repeat(off[which], m)
+        alone = np.flatnonzero(np.bincount(of[_drops(salt[of], local[at], pair[at], dropout)], minlength=len(starts)))
+        if len(alone):
+            own, k = agenda(alone, salt[alone], dropout, None)
+            which[alone] = len(count) + np.arange(len(alone))
+            ids, count = np.concatenate((ids, own)), np.concatenate((count, k))
     off = np.cumsum(count) - count
     k = count[which]
     stop = np.cumsum(k)
@@ -236,14 +263,14 @@ def encode(model: Pieces, texts: pa.Array, variants_of: np.ndarray, seed: str, d
     return out, np.bincount(doc, k, minlength=n).astype(np.int64)
 
 
-def _rows(docs: DataFrame, model_path: str, seed: str, dropout: float, variants: int, full: bool):
+def _rows(docs: DataFrame, model_path: str, seed: str, dropout: float, full: bool):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = pieces(model_path)
         for b in batches:
             for i, k in chunks(b.column(1)):
                 part = b.slice(i, k)
                 doc_ids = part.column(0).to_pylist()
-                ids, n = encode(model, part.column(1), variant_salts(doc_ids, seed, variants), seed, dropout)
+                ids, n = encode(model, part.column(1), document_salts(doc_ids, seed), seed, dropout)
                 ends = np.cumsum(n)
                 texts = [model.decode(ids[e - m : e].tolist()) for e, m in zip(ends.tolist(), n.tolist(), strict=True)]
                 wide = ids.astype("<u4")
@@ -264,12 +291,10 @@ def _rows(docs: DataFrame, model_path: str, seed: str, dropout: float, variants:
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(work, schema)
 
 
-def encoded(
-    docs: DataFrame, model_path: str, seed: str = "dropout", dropout: float = DROPOUT, variants: int = VARIANTS, with_ids: bool = False
-) -> DataFrame:
+def encoded(docs: DataFrame, model_path: str, seed: str = "dropout", dropout: float = DROPOUT, with_ids: bool = False) -> DataFrame:
     """Per row: doc_id, n_tokens, ids_crc32, decoded_sha256 (of the decoded text), lossless, and ids if asked.
 
-    Null and empty texts have no id and decode to the empty text. Null doc_ids share a variant. Repeated rows get equal
+    Null and empty texts have no id and decode to the empty text. Null doc_ids share a key. Repeated rows get equal
     results. An empty table gives no row; other columns are ignored. Nothing is shuffled.
     """
-    return _rows(docs, model_path, seed, dropout, variants, with_ids)
+    return _rows(docs, model_path, seed, dropout, with_ids)

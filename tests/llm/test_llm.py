@@ -451,3 +451,17 @@ def test_short_similar_texts_always_meet():
 def test_long_texts_at_the_threshold_meet():
     rng = random.Random(13)
     assert meeting([scattered(rng, n, n // 5) for n in (100, 200, 400) for _ in range(200)]) > 0.98
+
+
+def test_each_occurrence_of_a_word_is_cut_by_itself():
+    model = mergedrop.pieces(PIECES)
+    text = " ".join(["information"] * 300)
+    salts = np.arange(40, dtype=np.int64) * 7919 + 1
+    ids, n = mergedrop.encode(model, pa.array([text] * 40), salts, "s", 0.1)
+    ends = np.cumsum(n)
+    docs = [ids[e - m : e].tolist() for e, m in zip(ends.tolist(), n.tolist(), strict=True)]
+    assert len({tuple(d) for d in docs}) == 40 and all(model.decode(d) == text for d in docs)
+    # Within one document the word has several cuts, and each text encodes as it would alone.
+    cuts = "|".join(model.pieces[i] for i in docs[0]).split("|▁")
+    assert len({c for c in cuts[1:]}) > 4
+    assert mergedrop.encode(model, pa.array([text]), salts[7:8], "s", 0.1)[0].tolist() == docs[7]
