@@ -160,14 +160,37 @@ def battery(found: Column) -> Column:
     return F.transform(F.transform(F.transform(F.transform(known, placed), averaged), tested), joined)
 
 
+def _parts(x: Column, masked: Column, cuts: str) -> Column:
+    """The parts (start, end, whole) of a token x between the characters that cuts matches in masked, 20 characters long or more."""
+    pieces = F.split(masked, cuts, -1)
+    at = _before(F.transform(pieces, lambda p: F.char_length(p) + 1))
+    made = F.zip_with(at, pieces, lambda i, p: F.struct((x["start"] + i).alias("start"), (x["start"] + i + F.char_length(p)).alias("end"), p.alias("whole")))
+    return F.filter(made, lambda p: F.char_length(F.rtrim(p["whole"], F.lit("="))) >= 20)
+
+
 def with_candidates(df: DataFrame, text: str, base: str, out: str) -> DataFrame:
-    """Adds out: tokens to be tested (start, end, encoding, n, p). They have a digit and a letter and touch no base span."""
+    """Adds out: tokens to be tested (start, end, encoding, n, p): what base spans leave uncovered of each run of the encodings' characters.
+
+    No encoding has both '/' or '+' and '_' or '-'; a run with both is tested by its parts between the ones, and between
+    the others. Parts under 20 characters are not tested.
+    """
     df = found(df, text, CANDIDATE, "qm_cand")
-    free = F.filter(
-        "qm_cand",
-        lambda x: x["whole"].rlike("[0-9]") & x["whole"].rlike("[A-Za-z]") & ~F.exists(base, lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])),
-    )
-    return df.withColumn(out, F.when(F.size("qm_cand") > 0, battery(free)).otherwise(F.array().cast(TESTS))).drop("qm_cand")
+    touch = lambda b, x: (b["start"] < x["end"]) & (x["start"] < b["end"])
+
+    def hidden(x: Column) -> Column:
+        def hide(whole: Column, b: Column) -> Column:
+            lo, hi = F.greatest(b["start"] - x["start"], F.lit(0)), F.least(b["end"], x["end"]) - x["start"]
+            return F.concat(F.substring(whole, F.lit(1), lo), F.repeat(F.lit(" "), hi - lo), F.substring(whole, hi + 1, F.char_length(whole)))
+
+        return F.aggregate(F.filter(base, lambda b: touch(b, x)), x["whole"], hide)
+
+    free = F.flatten(F.transform("qm_cand", lambda x: F.when(F.exists(base, lambda b: touch(b, x)), _parts(x, hidden(x), " ")).otherwise(F.array(x))))
+    df = df.withColumn("qm_free", free)
+    mixed = lambda x: x["whole"].rlike("[+/]") & x["whole"].rlike("[_-]")
+    both = lambda x: F.concat(_parts(x, x["whole"], "[+/]"), _parts(x, x["whole"], "[_-]"))
+    known = F.array_distinct(F.flatten(F.transform("qm_free", lambda x: F.when(mixed(x), both(x)).otherwise(F.array(x)))))
+    df = df.withColumn("qm_cand", known)
+    return df.withColumn(out, F.when(F.size("qm_cand") > 0, battery(F.col("qm_cand"))).otherwise(F.array().cast(TESTS))).drop("qm_cand", "qm_free")
 
 
 def _stratum(test: Column) -> Column:

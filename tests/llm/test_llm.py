@@ -465,3 +465,19 @@ def test_each_occurrence_of_a_word_is_cut_by_itself():
     cuts = "|".join(model.pieces[i] for i in docs[0]).split("|▁")
     assert len({c for c in cuts[1:]}) > 4
     assert mergedrop.encode(model, pa.array([text]), salts[7:8], "s", 0.1)[0].tolist() == docs[7]
+
+
+def test_keys_inside_longer_runs_are_tested(spark):
+    key = "aB3_xK9vQ2mZ7-tR5wLp0YcJ8dHnG4sFuE6-9Qo1T_X"
+    rows = [
+        (1, f"see reset/a/b/{key} now"),
+        (2, "seed GQ7XK2MVLA5ZRNWB3TYJHCPD6EUSFIOK now"),
+        (3, "code KZQWVXJMTRHBGYPLDNCFSEAUOIKWQZXV now"),
+        (4, "token=abcdef1 x deadbeef0123456789abcdef/Zq3vT9xLw2Kp7RmB5nYc8JdH4sGf end"),
+        (5, "pad 83920174650291837465 end"),
+    ]
+    got = {r["doc_id"]: r["qm_tests"] for r in secrets.with_candidates(secrets.with_base_spans(spark.createDataFrame(rows, "doc_id long, text string"), "text", "base"), "text", "base", "qm_tests").collect()}
+    cut = {d: [(dict(rows)[d][x["start"] : x["end"]], x["encoding"]) for x in t] for d, t in got.items()}
+    assert (key, "base64url") in cut[1]
+    assert cut[2] == [("GQ7XK2MVLA5ZRNWB3TYJHCPD6EUSFIOK", "base32")] and cut[3] == [("KZQWVXJMTRHBGYPLDNCFSEAUOIKWQZXV", "base32")]
+    assert ("/Zq3vT9xLw2Kp7RmB5nYc8JdH4sGf", "base64") in cut[4] and cut[5] == [("83920174650291837465", "hex")]
