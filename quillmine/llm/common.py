@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -13,9 +14,11 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that driver and executors share (spark.checkpoint.dir; set here only where unset)."""
+    """A new path in the folder that driver and executors share (spark.checkpoint.dir; set here only where unset and all is one process)."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="quillmine-")
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -71,6 +74,20 @@ def running_total(df: DataFrame, group: list[str], bucket: str, order: list, val
     )
 
 
+def least_hashed(df: DataFrame, rows: int) -> DataFrame:
+    """The rows of df with the smallest hashes of doc_id, so many at most: a sample that doesn't depend on partitions.
+
+    A bound on the hash, from the number of rows, leaves about twice as many, so tasks send few to the driver. Columns other
+    than doc_id break ties.
+    """
+    n = df.count()
+    hashed = df.withColumn("qm_hash", F.xxhash64("doc_id"))
+    if n > 2 * rows:
+        few = hashed.where(F.col("qm_hash") <= -(1 << 63) + (1 << 64) * 2 * rows // n)
+        hashed = few if few.count() >= rows else hashed
+    return hashed.orderBy("qm_hash", "doc_id", F.xxhash64(*[c for c in df.columns if c != "doc_id"])).limit(rows).drop("qm_hash")
+
+
 def hot_join(
     left: DataFrame, right: DataFrame, on: list[str], how: str = "inner", share: int = 2000, counted: DataFrame | None = None, counts: DataFrame | None = None
 ) -> DataFrame:
@@ -79,7 +96,7 @@ def hot_join(
     Keys with a share-th of left's rows or more (so at most that many keys, the bound of what is broadcast) are spread
     over salts on the left, and their rows on the right are repeated for each salt. No row is dropped. counted, if given,
     has the keys of left's rows and is cheaper to count. counts, if given, has the number qm_n of left's rows of each key
-    that right has, as far as known; then only these are counted.
+    that right has, as far as known; then only these are counted. Rows with a null key match nothing and are dealt out.
     """
     counted = left if counted is None else counted
     total = counted.count() if counts is None else counts.agg(F.coalesce(F.sum("qm_n"), F.lit(0))).first()[0]
@@ -88,8 +105,13 @@ def hot_join(
     hot = F.broadcast(
         counts.where(F.col("qm_n") > most).select(*on, F.ceil(F.col("qm_n") / most).cast("int").alias("qm_salts"))
     )
+    spread = F.xxhash64(*[F.col(f"`{c}`") for c in left.columns])
+    none = F.lit(False)
+    for c in on:
+        none = none | F.col(c).isNull()
     salted = left.join(hot, on, "left").withColumn(
-        "qm_salt", F.when(F.col("qm_salts").isNull(), 0).otherwise(F.pmod(F.xxhash64(*left.columns), F.col("qm_salts")).cast("int"))
+        "qm_salt",
+        F.when(none, F.pmod(spread, F.lit(share)).cast("int")).when(F.col("qm_salts").isNull(), 0).otherwise(F.pmod(spread, F.col("qm_salts")).cast("int")),
     )
     copies = right.join(hot, on, "left").withColumn("qm_salt", F.explode(F.sequence(F.lit(0), F.coalesce("qm_salts", F.lit(1)) - 1)))
     return salted.drop("qm_salts").join(copies.drop("qm_salts").hint("merge"), [*on, "qm_salt"], how).drop("qm_salt")

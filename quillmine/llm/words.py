@@ -42,7 +42,10 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 def spans_digest(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: np.uint64 = BASE) -> np.ndarray:
-    """A digest of values[start:end] for each pair, equal for equal content wherever it stands."""
+    """A digest of values[start:end] for each pair, equal for equal content wherever it stands.
+
+    For windows of some words: as a polynomial modulo 2**64 it has patterns that collide in spans of a thousand values and more.
+    """
     inverse = np.uint64(pow(int(base), -1, 2**64))
     total = np.zeros(len(values) + 1, dtype=np.uint64)
     np.cumsum(values * powers(base, len(values))[: len(values)], out=total[1:])
@@ -50,6 +53,66 @@ def spans_digest(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base:
     return mixed((total[ends] - total[starts]) * powers(inverse, len(values) + 1)[starts] + length * np.uint64(0xD6E8FEB86659FD93))
 
 
+_keys: dict[int, np.ndarray] = {}
+
+
+def keys(base: np.uint64, n: int) -> np.ndarray:
+    """n fixed random numbers, at least, others for each base; kept."""
+    have = _keys.get(int(base))
+    if have is None or len(have) < n:
+        _keys[int(base)] = have = mixed(mixed(np.arange(1, max(n + n // 2, 1 << 16) + 1, dtype=np.uint64) * base) + base)
+    return have
+
+
+def runs_digest(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: np.uint64 = BASE) -> np.ndarray:
+    """A digest of values[start:end] for each pair; the spans must ascend without overlap, and may be of any length.
+
+    Multilinear: each value times the random number of its place in the span, summed. Unlike a polynomial, no pattern in the
+    values makes unequal spans of equal length collide but by the chance of the numbers, 2**-60 or less.
+    """
+    length = ends - starts
+    out = np.zeros(len(starts), dtype=np.uint64)
+    some = np.flatnonzero(length > 0)
+    if len(some):
+        # Places count from each span's start on; what stands between spans belongs to none.
+        bounds = np.stack((starts[some], ends[some]), axis=1).ravel()
+        gapless = len(some) == 1 or (bounds[1:-1:2] == bounds[2::2]).all()
+        lo, hi = int(bounds[0]), int(bounds[-1])
+        place = np.arange(lo, hi) - np.repeat(starts[some], np.diff(np.append(starts[some], hi)))
+        terms = values[lo:hi] * keys(base, int(place.max()) + 1)[place]
+        if gapless:
+            out[some] = np.add.reduceat(terms, starts[some] - lo)
+        else:
+            total = np.zeros(hi - lo + 1, dtype=np.uint64)
+            np.cumsum(terms, out=total[1:])
+            out[some] = total[ends[some] - lo] - total[starts[some] - lo]
+    return mixed(out + length.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+
+def ranges(starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... of each range, one after another."""
+    ends = np.cumsum(lens)
+    return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(starts - (ends - lens), lens)
+
+
+def bytes_digest(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: np.uint64 = BASE) -> np.ndarray:
+    """A digest of the bytes data[start:end] for each pair: up to 16 bytes as two numbers, longer spans as runs_digest has them."""
+    size = ends - starts
+    held = np.concatenate((data, np.zeros(16, dtype=np.uint8)))
+    eight = np.ndarray(shape=(len(data) + 1,), dtype="<u8", buffer=held, strides=(1,))
+    upto = lambda at, n: eight[at] & (np.uint64(2**64 - 1) >> (np.uint64(64) - (n << 3).astype(np.uint64)))
+    out = np.zeros(len(starts), dtype=np.uint64)
+    some = np.flatnonzero(size > 0)
+    out[some] = mixed(upto(starts[some], np.minimum(size[some], 8)) ^ base)
+    more = np.flatnonzero((size > 8) & (size <= 16))
+    out[more] = mixed(out[more] + upto(starts[more] + 8, size[more] - 8) * base)
+    long = np.flatnonzero(size > 16)
+    if len(long):
+        stop = np.cumsum(size[long])
+        out[long] = runs_digest(BYTE[data[ranges(starts[long], size[long])]], stop - size[long], stop, base)
+    return mixed(out + size.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+
 @dataclass
 class Words:
     """Words of a run of texts: data holds their bytes, text i's are data[at[i]:at[i+1]], its words first[i]:first[i+1]."""
@@ -62,7 +125,7 @@ class Words:
     doc: np.ndarray
 
     def digests(self, base: np.uint64 = BASE) -> np.ndarray:
-        return spans_digest(BYTE[self.data], self.start, self.end, base)
+        return bytes_digest(self.data, self.start, self.end, base)
 
 
 def chunks(texts: pa.Array, size: int = CHUNK):
