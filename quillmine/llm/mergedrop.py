@@ -22,12 +22,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmine.llm.words import BYTE, chunks, mixed, raw, spans_digest
+from quillmine.llm.words import bytes_digest, chunks, mixed, ranges, raw
 
 DROPOUT = 0.1
 META = "▁"
 #: Pairs are keyed left id * PAIR + right id.
 PAIR = 1 << 17
+#: The rank of what doesn't merge.
+NONE = 1 << 30
 
 _models: dict[str, "Pieces"] = {}
 
@@ -60,11 +62,13 @@ class Pieces:
                     pairs.append((a * PAIR + b, rank, i))
         pairs.sort()
         self.key = np.array([x[0] for x in pairs], dtype=np.int64)
-        self.rank = np.array([x[1] for x in pairs], dtype=np.int64)
-        self.made = np.array([x[2] for x in pairs], dtype=np.int64)
-        # A small filter by hash spares most pairs that never merge the search.
-        self.maybe = np.zeros(1 << 20, dtype=bool)
-        self.maybe[self._slot(self.key)] = True
+        self.rank = np.array([x[1] for x in pairs], dtype=np.int32)
+        self.made = np.array(ranked, dtype=np.int32)
+        # Pairs by hash; of pairs that share a slot one is there, and the others are searched for.
+        slot = self._slot(self.key)
+        self.at = np.full(1 << 20, -1, dtype=np.int32)
+        self.at[slot] = np.arange(len(slot))
+        self.shared = np.bincount(slot, minlength=1 << 20) > 1
         self.bytes = [self._bytes(m, i) for i in range(n)]
 
     def _bytes(self, m, i: int) -> bytes:
@@ -78,16 +82,21 @@ class Pieces:
     def _slot(key: np.ndarray) -> np.ndarray:
         return (mixed(key.astype(np.uint64)) >> np.uint64(44)).astype(np.int64)
 
-    def merges(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(rank, piece made) of each pair; rank 2**40 where they don't merge."""
-        key = left * PAIR + right
-        rank, made = np.full(len(key), 1 << 40, dtype=np.int64), np.zeros(len(key), dtype=np.int64)
-        look = np.flatnonzero(self.maybe[self._slot(key)])
-        at = np.searchsorted(self.key, key[look])
-        at[at == len(self.key)] = 0
+    def merges(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The rank of each pair, NONE where it doesn't merge. made has the piece that each rank makes."""
+        key = left * np.int64(PAIR) + right
+        rank = np.full(len(key), NONE, dtype=np.int32)
+        if not len(self.key):
+            return rank
+        slot = self._slot(key)
+        at = self.at[slot]
+        ok = (at >= 0) & (self.key[at] == key)
+        rank[ok] = self.rank[at[ok]]
+        look = np.flatnonzero(~ok & self.shared[slot])
+        at = np.minimum(np.searchsorted(self.key, key[look]), len(self.key) - 1)
         ok = self.key[at] == key[look]
-        rank[look[ok]], made[look[ok]] = self.rank[at[ok]], self.made[at[ok]]
-        return rank, made
+        rank[look[ok]] = self.rank[at[ok]]
+        return rank
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids: what they spell, without the space that encoding sets before it."""
@@ -108,72 +117,65 @@ def _drops(salt: np.ndarray, local: np.ndarray, pair: np.ndarray, dropout: float
 
 
 def segment(
-    model: Pieces, symbols: np.ndarray, word: np.ndarray, salt: np.ndarray, dropout: float, trace: list | None = None
+    model: Pieces, symbols: np.ndarray, lens: np.ndarray, salt: np.ndarray, dropout: float, trace: list | None = None
 ) -> tuple[np.ndarray, np.ndarray]:
-    """Runs the agendas of all words side by side. symbols: pieces of all words in a row; word: the word of each, ascending;
-    salt: a 64-bit number per word that keys its dropout. Returns symbols and words after all merges. trace, if given, gets
-    (word, place, pair) of the candidates of each round."""
-    n = len(symbols)
-    sym, place = symbols.astype(np.int64), np.arange(n)
-    first = np.searchsorted(word, np.arange(int(word[-1]) + 1 if n else 0))
-    done_sym: list[np.ndarray] = []
-    done_word: list[np.ndarray] = []
-    done_place: list[np.ndarray] = []
-    none = 1 << 40
-    rank = made = skipped = None
-    while len(sym):
-        m = len(sym)
-        inner = np.append(word[1:] == word[:-1], False)
-        if rank is None:
-            rank, made = np.full(m, none, dtype=np.int64), np.zeros(m, dtype=np.int64)
-            at = np.flatnonzero(inner)
-            rank[at], made[at] = model.merges(sym[at], sym[at + 1])
-            skipped = np.zeros(m, dtype=bool)
+    """Runs the agendas of all words side by side. symbols: pieces of all words in a row; lens: symbols of each word, one at
+    least; salt: a 64-bit number per word that keys its dropout. Returns the symbols after all merges and how many each word
+    has. trace, if given, gets (word, place, pair) of the candidates of each round."""
+    lens = lens.astype(np.int64)
+    word, sym = np.arange(len(lens)), symbols.astype(np.int32)
+    ends = np.cumsum(lens)
+    place = (np.arange(len(sym)) - np.repeat(ends - lens, lens)).astype(np.int32)
+    rank = np.full(len(sym), NONE, dtype=np.int32)
+    inner = np.ones(len(sym), dtype=bool)
+    inner[ends - 1] = False
+    inner = np.flatnonzero(inner)
+    rank[inner] = model.merges(sym[inner], sym[inner + 1])
+    done: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    low = np.int64((1 << 32) - 1)
+    while len(word):
+        starts = np.cumsum(lens) - lens
         # The best candidate of each word: least rank, then leftmost.
-        starts = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
-        order = np.where(skipped, none, rank)
-        best = np.minimum.reduceat(order, starts)
-        lens = np.diff(np.append(starts, m))
-        hits = np.flatnonzero((order == np.repeat(best, lens)) & (order < none))
-        over = best >= none
-        if len(hits):
-            w = word[hits]
-            hits = hits[np.append(True, w[1:] != w[:-1])]
-            local, pair = place[hits] - first[word[hits]], sym[hits] * PAIR + sym[hits + 1]
-            if trace is not None:
-                trace.append((word[hits], local, pair))
-            if dropout > 0:
-                drop = _drops(salt[word[hits]], local, pair, dropout)
-                skipped[hits[drop]] = True
-                hits = hits[~drop]
-            sym[hits] = made[hits]
-            keep = np.ones(m, dtype=bool)
-            keep[hits + 1] = False
-            # The merged piece has a new pair on each side; both may be taken again.
-            stale = np.zeros(m, dtype=bool)
-            stale[hits] = True
-            before = hits - 1
-            before = before[(before >= 0)]
-            stale[before[word[before] == word[before + 1]]] = True
-        else:
-            keep, stale = np.ones(m, dtype=bool), np.zeros(m, dtype=bool)
-        ended = np.repeat(over, lens)
-        if ended.any():
-            done_sym.append(sym[ended])
-            done_word.append(word[ended])
-            done_place.append(place[ended])
-            keep &= ~ended
-        sym, word, place, rank, made, skipped, stale = (x[keep] for x in (sym, word, place, rank, made, skipped, stale))
-        at = np.flatnonzero(stale)
-        rank[at], skipped[at] = none, False
-        at = at[at + 1 < len(sym)]
-        at = at[word[at] == word[at + 1]]
-        rank[at], made[at] = model.merges(sym[at], sym[at + 1])
-    if not done_sym:
-        return symbols[:0].astype(np.int64), word[:0]
-    s, w, p = np.concatenate(done_sym), np.concatenate(done_word), np.concatenate(done_place)
-    order = np.argsort(p)
-    return s[order], w[order]
+        best = np.minimum.reduceat(rank.astype(np.int64) << 32 | np.arange(len(sym)), starts)
+        live = best < NONE << 32
+        at = best & low
+        if not live.all():
+            stay = np.repeat(live, lens)
+            done.append((word[~live], lens[~live], sym[~stay]))
+            gone = np.cumsum(np.where(live, 0, lens))
+            at = (at - gone)[live]
+            word, lens = word[live], lens[live]
+            sym, place, rank = sym[stay], place[stay], rank[stay]
+            if not len(word):
+                break
+        local, pair = place[at], sym[at] * np.int64(PAIR) + sym[at + 1]
+        if trace is not None:
+            trace.append((word, local, pair))
+        which = np.arange(len(word))
+        if dropout > 0:
+            drop = _drops(salt[word], local, pair, dropout)
+            rank[at[drop]] = NONE
+            which = np.flatnonzero(~drop)
+            at = at[which]
+        sym[at] = model.made[rank[at]]
+        keep = np.ones(len(sym), dtype=bool)
+        keep[at + 1] = False
+        sym, place, rank = sym[keep], place[keep], rank[keep]
+        lens[which] -= 1
+        # The merged piece has a new pair on each side; both may be taken again.
+        at = at - np.arange(len(at))
+        first = (np.cumsum(lens) - lens)[which]
+        rank[at] = NONE
+        right = at[at < first + lens[which] - 1]
+        rank[right] = model.merges(sym[right], sym[right + 1])
+        left = at[at > first] - 1
+        rank[left] = model.merges(sym[left], sym[left + 1])
+    if not done:
+        return symbols[:0].astype(np.int64), lens
+    word, lens, sym = (np.concatenate(x) for x in zip(*done, strict=True))
+    order = np.argsort(word)
+    off, k = (np.cumsum(lens) - lens)[order], lens[order]
+    return sym[ranges(off, k)].astype(np.int64), k
 
 
 def document_salts(doc_ids: list[int | None], seed: str) -> np.ndarray:
@@ -228,16 +230,15 @@ def encode(model: Pieces, texts: pa.Array, salts: np.ndarray, seed: str, dropout
     doc = np.searchsorted(at, starts, "right") - 1
     key = int.from_bytes(hashlib.sha256(f"{seed}:words".encode()).digest()[:8], "little")
     size = ends - starts
-    digest = mixed(spans_digest(BYTE[spaced], starts, ends) ^ np.uint64(key))
+    digest = mixed(bytes_digest(spaced, starts, ends) ^ np.uint64(key))
     distinct, first, which = np.unique(digest, return_index=True, return_inverse=True)
 
     def agenda(some: np.ndarray, salt: np.ndarray, rate: float, trace: list | None) -> tuple[np.ndarray, np.ndarray]:
         """(ids of these words in a row, number of each)."""
         ahead = np.cumsum(size[some])
-        gathered = spaced[np.arange(int(ahead[-1])) - np.repeat(ahead - size[some], size[some]) + np.repeat(starts[some], size[some])]
+        gathered = spaced[ranges(starts[some], size[some])]
         ids, begin = _symbols(model, gathered)
-        ids, word = segment(model, ids, np.searchsorted(ahead, begin, "right"), salt, rate, trace)
-        return ids, np.bincount(word, minlength=len(some))
+        return segment(model, ids, np.diff(np.searchsorted(begin, ahead), prepend=0), salt, rate, trace)
 
     trace: list = []
     ids, count = agenda(first, distinct, 0.0, trace)
@@ -250,7 +251,7 @@ def encode(model: Pieces, texts: pa.Array, salts: np.ndarray, seed: str, dropout
         salt = mixed(mixed(salts.astype(np.uint64)[doc] ^ np.uint64(key)) + number * np.uint64(0xD1342543DE82EF95))
         off, m = np.cumsum(merges) - merges, merges[which]
         of = np.repeat(np.arange(len(starts)), m)
-        at = np.arange(len(of)) - np.repeat(np.cumsum(m) - m, m) + np.repeat(off[which], m)
+        at = ranges(off[which], m)
         alone = np.flatnonzero(np.bincount(of[_drops(salt[of], local[at], pair[at], dropout)], minlength=len(starts)))
         if len(alone):
             own, k = agenda(alone, salt[alone], dropout, None)
@@ -258,9 +259,7 @@ def encode(model: Pieces, texts: pa.Array, salts: np.ndarray, seed: str, dropout
             ids, count = np.concatenate((ids, own)), np.concatenate((count, k))
     off = np.cumsum(count) - count
     k = count[which]
-    stop = np.cumsum(k)
-    out = ids[np.arange(int(stop[-1])) - np.repeat(stop - k, k) + np.repeat(off[which], k)]
-    return out, np.bincount(doc, k, minlength=n).astype(np.int64)
+    return ids[ranges(off[which], k)], np.bincount(doc, k, minlength=n).astype(np.int64)
 
 
 def _rows(docs: DataFrame, model_path: str, seed: str, dropout: float, full: bool):
