@@ -19,15 +19,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillmine.llm.common import hot_join, stored
-from quillmine.llm.words import BASE, Words, chunks, mixed, spans_digest, words
+from quillmine.llm.words import BASE, Words, chunks, mixed, runs_digest, spans_digest, words
 
 SHINGLE = 3
 BANDS = 48
 SIMILARITY = 0.8
 #: Longer texts, in words, go by their sketch; the others, and those within SIMILARITY of them in length, by exact keys.
 SHORT = 50
-#: Counts in a text's bag of words; members of an entry that are held against each other at once.
-BUCKETS = 128
+#: Counts in a text's bag of words, and in the wide bag that pairs of an entry's members are held against; members held against
+#: each other at once.
+BUCKETS, WIDE = 128, 1024
 BLOCK = 1000
 BASE2 = np.uint64(0xA24BAED4963EE407)
 
@@ -47,7 +48,7 @@ def sketch(w: Words, shingle: int = SHINGLE, bands: int = BANDS) -> np.ndarray:
     """A row of bands entries per text. A text of fewer than two shingles goes by its whole word sequence."""
     n = len(w.first) - 1
     digest = w.digests()
-    whole = spans_digest(digest, w.first[:-1], w.first[1:])
+    whole = runs_digest(digest, w.first[:-1], w.first[1:])
     out = np.empty((n, bands), dtype=np.uint64)
     seeds = mixed(np.arange(1, bands + 1, dtype=np.uint64) * BASE)
     out[:] = mixed(whole[:, None] ^ seeds[None, :])
@@ -200,6 +201,7 @@ def banded_distance(a: list[int], b: list[int], most: int) -> int:
 
 
 def similar(a: list[int], b: list[int], least: float = SIMILARITY) -> bool:
+    """Whether 1 - distance / longer length is at least least. Narrow bands come first, so a near copy costs what its edits do."""
     longer = max(len(a), len(b))
     most = math.floor((1 - least) * longer + 1e-9)
     i = 0
@@ -215,6 +217,11 @@ def similar(a: list[int], b: list[int], least: float = SIMILARITY) -> bool:
         i += 1
     if i:
         a, b = a[:-i], b[:-i]
+    band = 64
+    while band < most:
+        if banded_distance(a, b, band) <= band:
+            return True
+        band *= 8
     return banded_distance(a, b, most) <= most
 
 
@@ -240,16 +247,16 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("id"), F.col("v").alias("class_id")).union(edges.select(F.col("v"), F.col("v")).distinct())
 
 
-def bags(w: Words) -> np.ndarray:
-    """Per text BUCKETS counts of its words by hash, each at most 15, two to a byte. An edit changes their sum of differences by two at most."""
+def bags(w: Words, buckets: int = BUCKETS) -> np.ndarray:
+    """Per text so many counts of its words by hash, each at most 15, two to a byte. An edit changes their sum of differences by two at most."""
     n = len(w.first) - 1
-    bucket = (mixed(w.digests()) >> np.uint64(64 - BUCKETS.bit_length() + 1)).astype(np.int64)
-    counts = np.minimum(np.bincount(w.doc * BUCKETS + bucket, minlength=n * BUCKETS), 15).astype(np.uint8).reshape(n, BUCKETS)
+    bucket = (mixed(w.digests()) >> np.uint64(64 - buckets.bit_length() + 1)).astype(np.int64)
+    counts = np.minimum(np.bincount(w.doc * buckets + bucket, minlength=n * buckets), 15).astype(np.uint8).reshape(n, buckets)
     return counts[:, ::2] | counts[:, 1::2] << 4
 
 
-def _unpacked(bag: pa.Array) -> np.ndarray:
-    packed = np.frombuffer(b"".join(bag.to_pylist()), dtype=np.uint8).reshape(len(bag), BUCKETS // 2)
+def _unpacked(bag: pa.Array, buckets: int = BUCKETS) -> np.ndarray:
+    packed = np.frombuffer(b"".join(bag.to_pylist()), dtype=np.uint8).reshape(len(bag), buckets // 2)
     return np.concatenate((packed & 15, packed >> 4), axis=1).astype(np.int8)
 
 
@@ -266,13 +273,15 @@ def _sketches(rows: DataFrame, shingle: int, bands: int, least: float) -> DataFr
             for i, k in chunks(b.column(1)):
                 part = b.slice(i, k)
                 w = words(part.column(1))
-                halves = [spans_digest(w.digests(base), w.first[:-1], w.first[1:], base).view(np.int64) for base in (BASE, BASE2)]
+                halves = [runs_digest(w.digests(base), w.first[:-1], w.first[1:], base).view(np.int64) for base in (BASE, BASE2)]
                 key, count = entries(w, shingle, bands, least)
                 keys = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(count)).astype(np.int32)), pa.array(key.view(np.int64)))
-                bag = pa.array([x.tobytes() for x in bags(w)], pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(w.first)), *map(pa.array, halves), bag, keys], ["doc_id", "n_words", "w1", "w2", "bag", "keys"])
+                bag, wide = (pa.array([x.tobytes() for x in bags(w, n)], pa.binary()) for n in (BUCKETS, WIDE))
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), pa.array(np.diff(w.first)), *map(pa.array, halves), bag, wide, keys], ["doc_id", "n_words", "w1", "w2", "bag", "wide", "keys"]
+                )
 
-    return rows.mapInArrow(scan, "doc_id long, n_words long, w1 long, w2 long, bag binary, keys array<long>")
+    return rows.mapInArrow(scan, "doc_id long, n_words long, w1 long, w2 long, bag binary, wide binary, keys array<long>")
 
 
 def _allowed(pairs: DataFrame, least: float) -> DataFrame:
@@ -288,18 +297,24 @@ def _allowed(pairs: DataFrame, least: float) -> DataFrame:
     return pairs.select("a", "n_a", "bag_a", "b", "n_b", "bag_b").mapInArrow(check, "a long, b long")
 
 
-def _across(groups: DataFrame, least: float) -> DataFrame:
-    """a, b of all pairs of members of unlike class that may be similar, in groups (one, two, members: array of id, n, bag, class_id, block).
+def _across(groups: DataFrame, least: float, bands: int = BANDS) -> DataFrame:
+    """a, b of all pairs of members of unlike class that may be similar, in groups (key, one, two, members: array of id, n, bag,
+    wide, sketch, class_id, block).
 
-    A group of one block is held against itself; of a group of two blocks, the one against the other.
+    A group of one block is held against itself; of a group of two blocks, the one against the other. Of the entries that a
+    pair shares by its sketches, only that of the first equal band names it.
     """
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in range(batch.num_rows):
-                one, two, members = batch.column(0)[r].as_py(), batch.column(1)[r].as_py(), batch.column(2)[r].values
+                key, one, two, members = *(batch.column(i)[r].as_py() for i in range(3)), batch.column(3)[r].values
                 ids, n, label, block = (members.field(f).to_numpy(zero_copy_only=False) for f in ("id", "n", "class_id", "block"))
-                bag = _unpacked(members.field("bag"))
+                bag, wide = _unpacked(members.field("bag")), _unpacked(members.field("wide"), WIDE)
+                sketches = members.field("sketch")
+                long = np.array(sketches.value_lengths()) == bands
+                sketch = np.zeros((len(ids), bands), dtype=np.int64)
+                sketch[long] = sketches.filter(pa.array(long)).flatten().to_numpy().reshape(-1, bands)
                 left, right = np.flatnonzero(block == one), np.flatnonzero(block == two)
                 step = max(1, (4 << 20) // (BUCKETS * max(1, len(right))))
                 for i in range(0, len(left), step):
@@ -307,10 +322,17 @@ def _across(groups: DataFrame, least: float) -> DataFrame:
                     ok = _within(n[x][:, None], n[right][None], bag[x][:, None], bag[right][None], least) & (label[x][:, None] != label[right][None])
                     ok &= (one != two) | (ids[x][:, None] < ids[right][None])
                     p, q = np.nonzero(ok)
-                    p, q = ids[x[p]], ids[right[q]]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(p, q)), pa.array(np.maximum(p, q))], ["a", "b"])
+                    p, q = x[p], right[q]
+                    for j in range(0, len(p), 4096):
+                        a, b = p[j : j + 4096], q[j : j + 4096]
+                        equal = (sketch[a] == sketch[b]) & (long[a] & long[b])[:, None]
+                        mine = ~equal.any(axis=1) | (sketch[a, equal.argmax(axis=1)] == key)
+                        a, b = a[mine], b[mine]
+                        near = _within(n[a], n[b], wide[a], wide[b], least)
+                        a, b = ids[a[near]], ids[b[near]]
+                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
-    return groups.select("one", "two", "members").mapInArrow(check, "a long, b long")
+    return groups.select("key", "one", "two", "members").mapInArrow(check, "a long, b long")
 
 
 def _verified(pairs: DataFrame, least: float) -> DataFrame:
@@ -353,7 +375,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, bands: int = BANDS,
     scanned = stored(_sketches(rows, shingle, bands, least), "near-sketches")
     able = scanned.where("doc_id is not null")
     homes = stored(able.groupBy("w1", "w2").agg(F.min("doc_id").alias("home"), F.count("*").alias("n")), "near-homes")
-    homed = able.select("doc_id", "n_words", "w1", "w2", "bag", "keys").join(homes.select("w1", "w2", F.col("home").alias("doc_id")), ["w1", "w2", "doc_id"])
+    homed = able.select("doc_id", "n_words", "w1", "w2", "bag", "wide", "keys").join(homes.select("w1", "w2", F.col("home").alias("doc_id")), ["w1", "w2", "doc_id"])
     first = stored(homed.dropDuplicates(["w1", "w2", "doc_id"]).drop("w1", "w2"), "near-first")
     keyed = first.select("doc_id", F.explode(F.array_distinct("keys")).alias("key"))
     keys = stored(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "near-keys")
@@ -382,10 +404,12 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, bands: int = BANDS,
     apart = stored(apart.where("c1 < c2 and (n > 3 or l1 < l2)").select("key", "n"), "near-apart")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     dealt = hot_join(labelled, apart, ["key"], counts=apart.select("key", F.col("n").alias("qm_n"))).withColumn("block", F.pmod(F.xxhash64("doc_id"), blocks).cast("int"))
+    sketched = F.when(F.col("n_words") > SHORT, F.slice("keys", 1, bands)).otherwise(F.array().cast("array<bigint>"))
+    dealt = dealt.join(first.select("doc_id", "wide", sketched.alias("sketch")).hint("merge"), "doc_id")
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    tagged = F.struct(F.col("doc_id").alias("id"), F.col("n_words").alias("n"), "bag", "class_id", "block")
+    tagged = F.struct(F.col("doc_id").alias("id"), F.col("n_words").alias("n"), "bag", "wide", "sketch", "class_id", "block")
     groups = dealt.groupBy("key", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two")).agg(F.collect_list(tagged).alias("members"))
-    rest = stored(_across(groups, least).distinct().join(led.hint("merge"), ["a", "b"], "left_anti"), "near-rest")
+    rest = stored(_across(groups, least, bands).distinct().join(led.hint("merge"), ["a", "b"], "left_anti"), "near-rest")
     links = stored(links.union(_links(rows, rest, least)), "near-links")
     classes = components(links)
     degree = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("n_links"))
@@ -400,9 +424,13 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, bands: int = BANDS,
 
 
 def distinct_documents(docs: DataFrame, **options) -> DataFrame:
-    """One document of each class, that of the least doc_id, with all columns; of repeated rows one. Rows without a doc_id stay."""
-    columns = docs.columns
+    """One document of each class, that of the least doc_id, with all columns; of repeated rows one.
+
+    Null and empty texts, and texts without a word, are equal, so one of them stays. Rows without a doc_id all stay. Of rows
+    that share a kept doc_id one stays for each text. An empty table gives an empty one; other columns, whatever their
+    names, are passed on.
+    """
     kept = near_duplicates(docs, **options).where("doc_id = class_id").select(F.col("doc_id").alias("qm_id")).distinct()
-    one = docs.join(kept.hint("merge"), F.col("doc_id") == F.col("qm_id")).withColumn("qm_x", F.xxhash64("text")).dropDuplicates(["qm_id", "qm_x"])
-    pick = [F.col(f"`{c}`") for c in columns]
-    return one.select(*pick).union(docs.where("doc_id is null").select(*pick))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("qm_row"), F.col("doc_id").alias("qm_id"), F.xxhash64("text").alias("qm_x"))
+    one = rows.join(kept.hint("merge"), "qm_id", "left_semi").dropDuplicates(["qm_id", "qm_x"])
+    return one.select("qm_row").union(rows.where("qm_id is null").select("qm_row")).select(*[F.col("qm_row")[c].alias(c) for c in docs.columns])
