@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -19,6 +21,11 @@ def query_terms(query: Column) -> Column:
     return F.slice(kept, 1, lx.QUERY_TERMS)
 
 
+def terms_of(query: str) -> list[str]:
+    """The same for a query that is at hand, without a job."""
+    return [t for t in re.split(r"\W+", query.lower()) if len(t) >= lx.TERM_LETTERS and t not in lx.QUERY_STOP][: lx.QUERY_TERMS]
+
+
 def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
 

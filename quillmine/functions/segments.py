@@ -14,23 +14,29 @@ CUT = "\x01"
 def sentences(text: Column) -> Column:
     """Scientific sentences: cut after . ! ? before white space and a capital or digit, unless an abbreviation, a digit or a
     single letter stands before; pieces of MIN_SENTENCE characters and fewer are dropped."""
-    marked = F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)([.!?])(?=\s+[A-Z\d])", "$1" + CUT)
+    return _sentences(text, r"(?U)([.!?])(?=\s+[A-Z\d])", r"(?U)(\S+)\s*[.!?]$", strip)
+
+
+def flat_sentences(text: Column) -> Column:
+    """The sentences of the text's words with one space between: no white space but spaces is left to look for."""
+    return _sentences(collapse(text), r"([.!?])(?= +[A-Z\p{Nd}])", r"([^ ]+) *[.!?]$", lambda s: F.trim(s))
+
+
+def _sentences(text: Column, stop: str, last: str, trimmed) -> Column:
+    marked = F.regexp_replace(F.coalesce(text, F.lit("")), stop, "$1" + CUT)
     pieces = F.split(marked, CUT)
     # Whether a cut stands is seen at the end of the piece before it; cuts that stand are marked again.
-    kept = F.transform(pieces, lambda p: F.when(_no_cut(p), p).otherwise(F.concat(p, F.lit(CUT))))
-    whole = F.transform(F.split(F.array_join(kept, ""), CUT), strip)
+    kept = F.transform(pieces, lambda p: F.when(_no_cut(p, last), p).otherwise(F.concat(p, F.lit(CUT))))
+    whole = F.transform(F.split(F.array_join(kept, ""), CUT), trimmed)
     return F.filter(whole, lambda s: F.char_length(s) > lx.MIN_SENTENCE)
 
 
-def _no_cut(piece: Column) -> Column:
-    """An abbreviation, a single letter or a digit stands before the stop."""
-    token = F.regexp_extract(piece, r"(?U)(\S+)\s*[.!?]$", 1)
+def _no_cut(piece: Column, last: str) -> Column:
+    """An abbreviation, a single letter or a digit stands before the stop. Only the piece's end is looked at."""
+    end = F.right(piece, F.lit(64))
+    token = F.regexp_extract(end, last, 1)
     bare = F.lower(F.regexp_replace(token, r"^[.!?;:,()\[\]{}]+|[.!?;:,()\[\]{}]+$", ""))
-    return bare.isin(*lx.NO_BREAK) | bare.rlike(r"(?U)^\p{L}$") | piece.rlike(r"(?U)\d.$")
-
-
-def flat_sentences(text: Column) -> Column:
-    return sentences(collapse(text))
+    return F.get(F.transform(F.array(bare), lambda b: b.isin(*lx.NO_BREAK) | b.rlike(r"^\p{L}$")), F.lit(0)) | end.rlike(r"\p{Nd}.$")
 
 
 def naive_sentences(text: Column) -> Column:

@@ -237,6 +237,14 @@ def neighbours(edges: DataFrame, node: str) -> DataFrame:
     return incident(edges, node).select(F.explode(F.array("source", "target")).alias("node")).distinct()
 
 
+def labelled(nodes: DataFrame, text: str) -> DataFrame:
+    """Nodes (id, label) whose label, or id where there is none, holds the text in either case; all of them for a blank text."""
+    if not text.strip():
+        return nodes
+    shown = F.coalesce(F.nullif("label", F.lit("")), F.col("id").cast("string"))
+    return nodes.where(F.lower(shown).contains(text.lower()))
+
+
 def fact_edges(facts: DataFrame, nodes: DataFrame) -> DataFrame:
     """Facts (with ord from 0) between nodes (id, label, ord from 0): ends by label, the later node of a label; an end that no
     label names goes to the node in its turn."""

@@ -17,13 +17,10 @@ def normal_header(x: Column) -> Column:
 
 
 def header(text: Column, size: Column, bold: Column) -> Column:
-    """SKIP, a section, or null: what a line opens."""
-    n = normal_header(text)
-    section = F.lit(None).cast("string")
-    for k, v in lx.HEADERS.items():
-        section = F.when(n == k, v).otherwise(section)
-    short = F.char_length(text) < 80
-    return F.when(short & n.isin(*lx.SKIP_HEADERS) & (bold | (size >= 10.5)), "SKIP").when(short & (bold | (size >= 11)), section)
+    """SKIP, a section, or null: what a line opens. Short lines alone are normalised, once, and looked up in one map."""
+    table = F.create_map(*[F.lit(x) for kv in lx.HEADERS.items() for x in kv])
+    opens = lambda n: F.when(n.isin(*lx.SKIP_HEADERS) & (bold | (size >= 10.5)), "SKIP").when(bold | (size >= 11), F.try_element_at(table, n))
+    return F.when(F.char_length(text) < 80, F.get(F.transform(F.array(normal_header(text)), opens), F.lit(0)))
 
 
 def sections(lines: DataFrame) -> DataFrame:
@@ -44,6 +41,16 @@ def materialised(found: DataFrame) -> DataFrame:
     return found.withColumn("text", clean(F.col("text"))).where(F.col("text") != "")
 
 
+def simple_sections(texts: DataFrame) -> DataFrame:
+    """Sections of plain text (paper_id, text) as a mapping would hold them: every line may be a header, and what stands under a
+    skipped header is kept, as SKIP."""
+    rows = plain_lines(texts).withColumn("header", header(F.col("text"), F.col("size"), F.col("bold")))
+    here = Window.partitionBy("paper_id").orderBy("ord").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumn("section", F.coalesce(F.last("header", ignorenulls=True).over(here), F.lit("other"))).where(F.col("header").isNull())
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("ord", "text"))), lambda x: x["text"])
+    return rows.groupBy("paper_id", "section").agg(F.array_join(lines, "\n").alias("text"), F.min("ord").alias("ord"))
+
+
 def plain_lines(texts: DataFrame) -> DataFrame:
     """Lines of plain text (paper_id, text): every one counts as bold and of size 12."""
     x = texts.select("paper_id", F.posexplode(F.split("text", "\n")).alias("ord", "text"))

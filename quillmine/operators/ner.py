@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +14,10 @@ from quillmine.functions.scores import occurrences, valid_name
 from quillmine.functions.text import canonical_key, clean, collapse, phrase_name, scoped_key
 
 
+#: A model sees so many characters of a paper.
+REFINED_CHARACTERS = 6000
+
+
 def selected(chunks: DataFrame) -> DataFrame:
     """The important chunks of each paper; of a paper without one the best FALLBACK_CHUNKS."""
     high = F.col("importance_score") >= lx.IMPORTANT
@@ -73,6 +79,29 @@ def top_names(parts: list[DataFrame], top: int = lx.TYPE_TOP) -> DataFrame:
     return total.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top).select("paper_id", "type", "name", "n", "rank")
 
 
+def refined(rows: DataFrame, names: DataFrame, refine: Callable[[str, dict], dict]) -> DataFrame:
+    """Names (paper_id, type, name, n, rank) after a model has gone over them: refine(text, {type: names}) returns the names that
+    stand, by type. Where it fails a paper's names stay. rows: paper_id, text; names that are new have n 1."""
+    order = F.transform(F.array_sort(F.collect_list(F.struct("rank", "name", "n"))), lambda x: F.struct(x["name"].alias("name"), x["n"].cast("long").alias("n")))
+    per = names.groupBy("paper_id", "type").agg(order.alias("names"))
+    per = per.groupBy("paper_id").agg(F.map_from_entries(F.collect_list(F.struct("type", "names"))).alias("by_type"))
+    asked = per.join(rows.select("paper_id", F.substring("text", 1, REFINED_CHARACTERS).alias("text")), "paper_id")
+
+    def run(frames):
+        for frame in frames:
+            made = []
+            for pid, by_type, text in zip(frame["paper_id"], frame["by_type"], frame["text"], strict=True):
+                had = {t: {x["name"]: x["n"] for x in xs} for t, xs in (by_type.items() if hasattr(by_type, "items") else by_type)}
+                try:
+                    kept = refine(text, {t: list(xs) for t, xs in had.items()})
+                except Exception:  # noqa: BLE001  the model is foreign code
+                    kept = {t: list(xs) for t, xs in had.items()}
+                made += [(pid, t, x, had.get(t, {}).get(x, 1), i + 1) for t, xs in kept.items() for i, x in enumerate(xs)]
+            yield pd.DataFrame(made, columns=["paper_id", "type", "name", "n", "rank"])
+
+    return asked.select("paper_id", "by_type", "text").mapInPandas(run, "paper_id long, type string, name string, n long, rank int")
+
+
 def extracted(chunks: DataFrame, extra: list[DataFrame] | None = None) -> DataFrame:
     """All of it for chunks; extra takes names that an outside recogniser found (paper_id, type, name, n)."""
     rows = texts(chunks)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmine.functions import lexicon as lx
-from quillmine.functions.scores import bm25, dot, hybrid, lexical, query_terms, tokens
+from quillmine.functions.scores import bm25, dot, hybrid, lexical, query_terms, terms_of, tokens
 from quillmine.functions.segments import any_of, naive_sentences
 from quillmine.functions.text import word_count, words
 
@@ -24,13 +24,13 @@ def candidates(chunks: DataFrame, limit: int = lx.CANDIDATES, least: float = lx.
 
 def lexical_search(chunks: DataFrame, query: str, n: int) -> DataFrame:
     """The n best of the candidates by hybrid score, with rank from 1. Without query terms fewer candidates are looked at."""
-    terms = query_terms(F.lit(query))
-    few = max(2 * n, 12)
-    has = chunks.sparkSession.range(1).select(F.size(terms).alias("n")).first()["n"] > 0
-    rows = candidates(chunks, lx.CANDIDATES if has else min(few, lx.CANDIDATES))
-    mean = rows.agg(F.avg(word_count(F.col("content")).cast("double")).alias("mean"))
-    scored = rows.join(F.broadcast(mean)).withColumn("toks", tokens(F.col("content"))).withColumn("bm25", bm25(terms, F.col("toks"), F.col("mean"))).drop("toks")
-    scored = scored.where(F.lit(not has) | (F.col("bm25") > 0))
+    found = terms_of(query)
+    terms = F.array(*map(F.lit, found)) if found else F.array().cast("array<string>")
+    rows = candidates(chunks, lx.CANDIDATES if found else min(max(2 * n, 12), lx.CANDIDATES))
+    # The mean is of the candidates at hand, CANDIDATES rows at most, so one scan serves both.
+    mean = F.avg(word_count(F.col("content")).cast("double")).over(Window.partitionBy())
+    scored = rows.withColumn("mean", mean).withColumn("bm25", bm25(terms, tokens(F.col("content")), F.col("mean")))
+    scored = scored.where(F.lit(not found) | (F.col("bm25") > 0))
     score = hybrid(F.col("bm25"), terms, F.col("importance_score"), lexical(terms, F.col("content")))
     best = scored.withColumn("score", score).orderBy(F.desc("score"), F.desc("importance_score"), "id").limit(n)
     return best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), F.desc("importance_score"), "id")))
@@ -59,20 +59,33 @@ def vector_search(
     return best if least is None else best.where(F.col("score") >= least)
 
 
-def similar_pairs(sources: DataFrame, vectors: DataFrame, n: int = 10, least: float = lx.CROSS_PAPER_MIN) -> DataFrame:
+def similar_pairs(sources: DataFrame, vectors: DataFrame, n: int = 10, least: float = lx.CROSS_PAPER_MIN, block: int = 1000) -> DataFrame:
     """For each source vector its n nearest vectors of other papers of the same workspace, then those of the least score.
 
-    sources is a bounded set of query vectors (the top chunks of the papers asked for), held against all vectors.
+    sources is a set of query vectors, held against all vectors. Up to block of them are broadcast. More go in blocks: each
+    block meets each of the vectors' parts, which are as many as shuffle partitions, so no task holds more than a block and a
+    part, and of each source only the n best of a part go on.
     """
     s = sources.select(F.col("paper_id").alias("source_id"), "workspace_id", F.col("embedding").alias("q"))
-    pairs = vectors.join(F.broadcast(s), "workspace_id").where("paper_id <> source_id").withColumn("score", dot(F.col("embedding"), F.col("q")))
+    blocks = -(-s.count() // block)
     order = Window.partitionBy("source_id").orderBy(F.desc("score"), "paper_id")
+    if blocks <= 1:
+        pairs = vectors.join(F.broadcast(s), "workspace_id")
+    else:
+        parts = max(1, int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        s = s.withColumn("qm_block", F.pmod(F.xxhash64("source_id"), F.lit(blocks)).cast("int")).withColumn("qm_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+        v = vectors.withColumn("qm_part", F.pmod(F.xxhash64("paper_id"), F.lit(parts)).cast("int")).withColumn("qm_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+        pairs = v.join(s.hint("shuffle_hash"), ["workspace_id", "qm_block", "qm_part"])
+    pairs = pairs.where("paper_id <> source_id").withColumn("score", dot(F.col("embedding"), F.col("q")))
+    if blocks > 1:
+        inside = Window.partitionBy("source_id", "qm_part").orderBy(F.desc("score"), "paper_id")
+        pairs = pairs.withColumn("rank", F.row_number().over(inside)).where(F.col("rank") <= n).drop("rank", "qm_block", "qm_part")
     return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n).where(F.col("score") >= least)
 
 
-def connections(sources: DataFrame, vectors: DataFrame, limit: int = 10) -> DataFrame:
+def connections(sources: DataFrame, vectors: DataFrame, limit: int = 10, least: float = lx.CROSS_PAPER_MIN) -> DataFrame:
     """Unexplored connections: each target paper with its best source, best first."""
-    best = similar_pairs(sources, vectors).groupBy("paper_id").agg(
+    best = similar_pairs(sources, vectors, least=least).groupBy("paper_id").agg(
         F.max_by("source_id", F.struct("score", -F.col("source_id"))).alias("source_id"), F.max("score").alias("score")
     )
     return best.orderBy(F.desc("score"), "paper_id").limit(limit)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+import re
+import time
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
@@ -30,18 +33,29 @@ def dominant_themes(types: DataFrame, n: int = 4) -> DataFrame:
     return types.select("entity_type", F.get("names", F.lit(0)).alias("theme")).orderBy("entity_type").limit(n)
 
 
-def hypotheses(types: DataFrame, sentences: DataFrame, query: str, count: int) -> DataFrame:
-    """Up to count hypotheses by rules, in the rules' order, each with confidence, novelty and text; ranked afterwards.
+def hypotheses(types: DataFrame, sentences: DataFrame, query: str, count: int, results: DataFrame | None = None, gaps: DataFrame | None = None) -> DataFrame:
+    """Up to count hypotheses by rules, in the rules' order, each with confidence, novelty, text, reasoning, experiments, evidence
+    and gaps; ranked afterwards.
 
-    types (entity_type, names) and sentences (rank, sentence) are a few rows; they meet in one row of first names.
+    types (entity_type, names), sentences (rank, sentence), results (rank, title, section, content) and gaps (gaps) are a few
+    rows; they meet in one row of first names.
     """
     first = lambda t: F.max(F.when(F.col("entity_type") == t, F.get("names", F.lit(0))))
     row = types.agg(
         first("DISEASE").alias("disease"), first("METHOD").alias("method"), F.coalesce(first("PROTEIN"), first("GENE")).alias("protein"),
         first("CHEMICAL").alias("chemical"), first("DATASET").alias("dataset"),
     )
-    said = sentences.agg(F.substring(F.min_by("sentence", "rank"), 1, 140).alias("sentence"))
-    both = row.crossJoin(said).withColumn("query", F.lit(query))
+    said = sentences.agg(F.min_by("sentence", "rank").alias("whole"))
+    both = row.crossJoin(said).withColumn("sentence", F.substring("whole", 1, 140)).withColumn("query", F.lit(query))
+    item = lambda title, section, excerpt, relevance: F.struct(title.alias("paper_title"), section.alias("section"), excerpt.alias("excerpt"), relevance.alias("relevance"))
+    if results is not None:
+        shown = item(F.coalesce("title", F.lit("")), F.coalesce("section", F.lit("")), first_words(F.col("content"), 45), F.lit(lx.EVIDENCE_RELEVANCE))
+        top = results.where("rank <= 3").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", shown.alias("e")))), lambda x: x["e"]).alias("evidence"))
+    else:
+        top = types.limit(0).agg(F.collect_list(item(*[F.lit("")] * 4)).alias("evidence"))
+    known = gaps.agg(F.first("gaps").alias("gaps")) if gaps is not None else types.agg(F.lit(None).cast("array<string>").alias("gaps"))
+    both = both.crossJoin(top).crossJoin(known)  # single rows
+    both = both.withColumn("gaps", F.when(F.size("gaps") > 0, F.slice("gaps", 1, 2)).otherwise(F.array(F.lit(lx.EVIDENCE_GAP))))
     anchor = F.concat_ws(", ", "method", "disease", "protein", "dataset")
     both = both.withColumn("anchor", F.when(anchor == "", F.col("query")).otherwise(anchor))
     c = {n: F.col(n).isNotNull() for n in ("disease", "method", "protein", "chemical", "dataset", "sentence")}
@@ -50,17 +64,29 @@ def hypotheses(types: DataFrame, sentences: DataFrame, query: str, count: int) -
     applies = pairs | {"sentence": c["sentence"] & ~by_rule, "fill": F.lit(True)}
     rules = []
     for i, (rule, conf, novelty, testability, template) in enumerate(lx.HYPOTHESES):
+        reasoning, experiments, weakened, insight, excerpt, relevance = lx.HYPOTHESIS_DETAILS[rule]
+        own = F.array(item(F.lit(""), F.lit(""), F.coalesce("whole", filled(excerpt)), F.lit(relevance)))
+        evidence = own if rule == "sentence" else F.when(F.size("evidence") > 0, F.col("evidence")).otherwise(own)
         times = count if rule == "fill" else 1
         for k in range(times):
             made = F.struct(
                 F.lit(100 * i + k).alias("ord"), F.lit(rule).alias("rule"), F.lit(conf).alias("confidence"), F.lit(novelty).alias("novelty"),
-                F.lit(testability).alias("testability"), filled(template).alias("hypothesis"),
+                F.lit(testability).alias("testability"), filled(template).alias("hypothesis"), filled(reasoning).alias("reasoning"),
+                evidence.alias("supporting_evidence"), F.array(*map(filled, experiments)).alias("suggested_experiments"),
+                F.lit(weakened).alias("falsifiable_conditions"), F.col("gaps").alias("research_gaps_addressed"), filled(insight).alias("cross_domain_insight"),
             )
             rules.append(F.when(applies[rule], made))
     rows = both.select(F.explode(F.slice(F.array_compact(F.array(*rules)), 1, count)).alias("h")).select("h.*")
     return ranked(rows)
 
 
+def meta_insights(types: DataFrame, found: DataFrame, reason: str = "") -> DataFrame:
+    """One row: dominant themes, the first hypothesis and its experiments, and why no model was asked."""
+    t = dominant_themes(types).agg(F.transform(F.array_sort(F.collect_list(F.struct("entity_type", "theme"))), lambda x: x["theme"]).alias("dominant_themes"))
+    first = found.agg(F.min_by("hypothesis", "ord").alias("most_promising_direction"), F.min_by("suggested_experiments", "ord").alias("critical_missing_experiments"))
+    return t.crossJoin(first).withColumn("fallback_reason", F.lit(reason))  # single rows
+
+
 def filled(template: str) -> Column:
     """A template with {column} places."""
     parts: list[Column] = []
@@ -96,7 +122,10 @@ def contradiction_pairs(papers: DataFrame, topic: str, texts: DataFrame, verdict
     rows = papers.join(texts, "paper_id", "left").withColumn("text", F.coalesce("text", F.lit("")))
     a = rows.select(F.col("paper_id").alias("paper_a_id"), F.col("ord").alias("oa"), F.col("text").alias("text_a"))
     b = rows.select(F.col("paper_id").alias("paper_b_id"), F.col("ord").alias("ob"), F.col("text").alias("text_b"))
-    pairs = a.join(F.broadcast(b), F.col("oa") < F.col("ob"))
+    # Pairs of ids first, which are as few as the caller names; the texts join them by key.
+    ids = papers.select("paper_id", "ord")
+    later = F.broadcast(ids.select(F.col("ord").alias("ob")))
+    pairs = ids.select(F.col("ord").alias("oa")).join(later, F.col("oa") < F.col("ob")).join(a, "oa").join(b, "ob")
     lacking = (F.col("text_a") == "") | (F.col("text_b") == "")
     pairs = pairs.withColumn("topic", F.lit(topic)).withColumn("lacking", lacking)
     if verdict is not None:
@@ -123,14 +152,80 @@ def discovery_metrics(chunks: Column, entities: Column, relations: Column) -> li
     ]
 
 
-def debate(hypotheses: DataFrame) -> DataFrame:
-    """A fixed transcript of four turns per hypothesis (id, hypothesis, confidence), and its verdict's confidence."""
-    turns = [("domain_expert", "1"), ("methodology_critic", "1"), ("devil_advocate", "1"), ("synthesizer", "final")]
-    script = F.array(*[F.struct(F.lit(a).alias("agent"), F.lit(r).alias("round")) for a, r in turns])
-    return hypotheses.select(
-        "id", script.alias("transcript"), F.lit("MODERATE_SUPPORT").alias("consensus"), F.col("hypothesis").alias("revised_hypothesis"),
-        F.least(F.coalesce("confidence", F.lit(0.5)), F.lit(0.7)).alias("final_confidence"),
-    )
+def debate(hypotheses: DataFrame, speak: Callable[[str, str, list[dict]], str] | None = None, verdict: Callable[[list[dict]], dict] | None = None, rounds: int = 2) -> DataFrame:
+    """Per hypothesis (id, hypothesis, confidence): transcript (agent, round, content), consensus, revised hypothesis, final
+    confidence, strengths, concerns, experiments and a summary.
+
+    Without speak a fixed transcript. speak(agent, hypothesis, transcript so far) says a turn: three agents in the first of 1 to 4
+    rounds, four in each later one; then verdict(transcript) gives the rest. Models are asked for each hypothesis in turn, so
+    hypotheses are few then.
+    """
+    array = lambda xs: F.array(*map(F.lit, xs))
+    if speak is None:
+        script = F.array(*[F.struct(F.lit(a).alias("agent"), F.lit(r).alias("round"), F.lit(t).alias("content")) for a, r, t in lx.DEBATE_TURNS])
+        return hypotheses.select(
+            "id", script.alias("transcript"), F.lit("MODERATE_SUPPORT").alias("consensus"), F.col("hypothesis").alias("revised_hypothesis"),
+            F.least(F.coalesce("confidence", F.lit(0.5)), F.lit(0.7)).alias("final_confidence"), array(lx.DEBATE_STRENGTHS).alias("key_strengths"),
+            array(lx.DEBATE_CONCERNS).alias("key_concerns"), array(lx.DEBATE_EXPERIMENTS).alias("recommended_experiments"), F.lit(lx.DEBATE_SUMMARY).alias("debate_summary"),
+        )
+    rounds, turn = min(max(rounds, 1), 4), "array<struct<agent:string,round:string,content:string>>"
+    texts = ("key_strengths", "key_concerns", "recommended_experiments")
+    schema = f"id long, transcript {turn}, consensus string, revised_hypothesis string, final_confidence double, " + ", ".join(f"{t} array<string>" for t in texts) + ", debate_summary string"
+    idtype = hypotheses.schema["id"].dataType.simpleString()
+
+    def held(frames):
+        import pandas as pd
+
+        for frame in frames:
+            rows = []
+            for r in frame.to_dict("records"):
+                said: list[dict] = []
+                for k in range(1, rounds + 1):
+                    for agent in lx.DEBATE_AGENTS[: 3 if k == 1 else 4]:
+                        said.append({"agent": agent, "round": str(k), "content": speak(agent, r["hypothesis"], list(said))})
+                v = verdict(said) if verdict is not None else {}
+                said.append({"agent": "synthesizer", "round": "final", "content": v.get("debate_summary", "")})
+                rows.append({"id": r["id"], "transcript": said, "consensus": v.get("consensus"), "revised_hypothesis": v.get("revised_hypothesis", r["hypothesis"]), "final_confidence": v.get("final_confidence"), **{t: list(v.get(t, [])) for t in texts}, "debate_summary": v.get("debate_summary", "")})
+            yield pd.DataFrame(rows, columns=["id", "transcript", "consensus", "revised_hypothesis", "final_confidence", *texts, "debate_summary"])
+
+    return hypotheses.select("id", "hypothesis").mapInPandas(held, schema.replace("id long", f"id {idtype}", 1))
+
+
+def checked(reply: dict, keys: tuple[str, ...] = lx.REQUIRED_KEYS) -> dict:
+    """A model's reply, if it has all keys that its reader needs."""
+    if lacking := [k for k in keys if k not in reply]:
+        raise ValueError(f"the reply lacks {', '.join(lacking)}")
+    return reply
+
+
+class Model:
+    """A language model behind a function that is handed in: generate(prompt) to text. Calls that fail with errors of
+    transport are tried again; structured() asks a second time where a reply is no JSON object."""
+
+    def __init__(self, generate: Callable[[str], str], tries: int = 3, wait: float = 1.0, longest: float = 8.0, transient: tuple = (ConnectionError, TimeoutError)):
+        self.generate, self.tries, self.wait, self.longest, self.transient = generate, tries, wait, longest, transient
+
+    def __call__(self, prompt: str) -> str:
+        for k in range(self.tries):
+            try:
+                return self.generate(prompt)
+            except self.transient:
+                if k + 1 == self.tries:
+                    raise
+                time.sleep(min(self.longest, self.wait * 2**k))
+        raise ValueError("a model is tried once at least")
+
+    def structured(self, prompt: str, keys: tuple[str, ...] = ()) -> dict:
+        for again in ("", "\n\nReply with the bare JSON object only."):
+            text = re.sub(r"```(?:json)?", "", self(prompt + again)).strip()
+            for part in (text, text[text.find("{") : text.rfind("}") + 1]):
+                try:
+                    made = json.loads(part)
+                except ValueError:
+                    continue
+                if isinstance(made, dict):
+                    return checked(made, keys)
+        raise ValueError("the model gave no JSON object, twice")
 
 
 def answer(results: DataFrame, sentences: DataFrame, entities: DataFrame, facts: DataFrame, query: str) -> DataFrame:
@@ -156,12 +251,12 @@ def answer(results: DataFrame, sentences: DataFrame, entities: DataFrame, facts:
     none = lambda c, text: F.when(F.size(c) > 0, F.array_join(c, ", ")).otherwise(text)
     text = F.concat_ws(
         "\n",
-        F.lit("### Key Finding"), F.col("key_finding"), F.lit(""),
-        F.lit("### Evidence Strength"), F.concat(F.initcap("confidence"), F.lit(" support from "), F.col("n_results").cast("string"), F.lit(" retrieved chunks and "), F.col("n_relations").cast("string"), F.lit(" validated graph relationship(s).")), F.lit(""),
-        F.lit("### Important Concepts"), F.concat(F.lit("- Methods/concepts: "), none("methods", "No strong method/concept entities found.")),
-        F.concat(F.lit("- Targets/domains: "), none("targets", "No strong disease/pathway/target entities found.")), F.lit(""),
-        F.lit("### Best Evidence"), F.array_join("evidence", "\n"), F.lit(""),
-        F.lit("### Graph Grounding"), F.when(F.size("relations") > 0, F.array_join("relations", "\n")).otherwise("- No explicit graph relationships matched; answer is based on retrieved chunks."),
+        F.lit(lx.KEY_FINDING), F.col("key_finding"), F.lit(""),
+        F.lit(lx.STRENGTH), F.concat(F.initcap("confidence"), F.lit(" support from "), F.col("n_results").cast("string"), F.lit(" retrieved chunks and "), F.col("n_relations").cast("string"), F.lit(" validated graph relationship(s).")), F.lit(""),
+        F.lit(lx.CONCEPTS), F.concat(F.lit("- Methods/concepts: "), none("methods", lx.NO_METHODS)),
+        F.concat(F.lit("- Targets/domains: "), none("targets", lx.NO_TARGETS)), F.lit(""),
+        F.lit(lx.BEST), F.array_join("evidence", "\n"), F.lit(""),
+        F.lit(lx.GROUNDING), F.when(F.size("relations") > 0, F.array_join("relations", "\n")).otherwise(lx.NO_FACTS),
     )
     empty = F.lit(f"No indexed evidence was found for '{query}'. Upload and process papers first, then retry GraphRAG.")
     return one.withColumn("answer", F.when(F.col("n_results") == 0, empty).otherwise(text))

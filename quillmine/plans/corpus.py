@@ -14,6 +14,8 @@ from quillmine.functions.text import scoped_key, word_count
 
 SECTIONS = ("abstract", "introduction", "related_work", "methods", "results", "discussion", "conclusion", "future_work", "other", "methodology")
 STATUS = ("failed", "processing", "pending", "completed")
+#: Types that entities get in turn, by their ids.
+KINDS = ("CONCEPT", "METHOD", "DISEASE", "GENE", "CHEMICAL", "DATASET", "PROTEIN", "ORGANISM")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -81,7 +83,7 @@ def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = mentions(spark, sf_dir)
     return m.groupBy(F.col("entity_id").alias("id"), "workspace_id", "normalized_name").agg(
         F.min_by("name", F.struct("paper_id", "name")).alias("name"), F.count("*").cast("int").alias("paper_count")
-    ).withColumn("entity_type", F.lit("CONCEPT"))
+    ).withColumn("entity_type", F.get(F.array(*[F.lit(k) for k in KINDS]), F.pmod("id", F.lit(len(KINDS))).cast("int")))
 
 
 def paper_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -142,6 +144,9 @@ PRELUDE = reduce(
         ("@contrast", _any(lx.CONTRAST_TERMS)),
         ("@ascii", ASCII.format("text")),
         ("@stop", _STOP),
+        ("@concept", lx.CONCEPT),
+        ("@kinds", ", ".join(f"'{k}'" for k in KINDS)),
+        ("@n_kinds", str(len(KINDS))),
         ("@black", _BLACK),
         ("@relations", ", ".join(f"'{r}'" for r in lx.RELATIONS)),
     ),
@@ -163,7 +168,7 @@ chunks AS (
 concepts AS (
   SELECT paper_id, workspace_id, name, count(*) AS n FROM (
     SELECT doc_id AS paper_id, lang AS workspace_id,
-           unnest(regexp_extract_all(@ascii, '\b(?:[A-Z][A-Za-z0-9-]{2,}|[A-Z]{2,}(?:-[A-Z0-9]+)?)\b')) AS name FROM documents)
+           unnest(regexp_extract_all(@ascii, '@concept')) AS name FROM documents)
   WHERE name NOT IN (@stop) AND lower(name) NOT IN (@black) AND length(name) BETWEEN 2 AND 80 GROUP BY ALL),
 mentions AS (
   SELECT paper_id, workspace_id, normalized_name, frequency, name, CAST('0x' || substr(md5(normalized_name), 1, 15) AS BIGINT) AS entity_id FROM (
@@ -171,7 +176,7 @@ mentions AS (
            CAST(sum(n) AS INT) AS frequency, arg_min(name, (-n, length(name), name)) AS name FROM concepts GROUP BY 1, 2, 3)),
 entities AS (
   SELECT entity_id AS id, workspace_id, normalized_name, arg_min(name, (paper_id, name)) AS name, CAST(count(*) AS INT) AS paper_count,
-         'CONCEPT' AS entity_type FROM mentions GROUP BY 1, 2, 3),
+         ([@kinds])[1 + entity_id % @n_kinds] AS entity_type FROM mentions GROUP BY 1, 2, 3),
 paper_entities AS (SELECT paper_id, entity_id, frequency FROM mentions),
 ranked_mentions AS (SELECT *, row_number() OVER (PARTITION BY paper_id ORDER BY frequency DESC, name, entity_id) AS k FROM mentions),
 relationships AS (

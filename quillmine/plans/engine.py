@@ -9,12 +9,12 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillmine.functions.scores import query_terms
+from quillmine.functions.scores import dot, lexical, terms_of
 from quillmine.operators import graph, retrieve, synth
 from quillmine.operators.chunking import chunked
 from quillmine.operators.layout import authors, materialised, sections, titles
 from quillmine.operators.ner import extracted
-from quillmine.sources.sinks import upvoted, without_workspace
+from quillmine.sources.sinks import upvoted, validated, without_workspace
 
 WORKSPACE = re.compile(r"[a-f0-9-]{36}", re.I)
 
@@ -54,7 +54,8 @@ class Engine:
         found = materialised(sections(lines))
         t = titles(lines)
         made = chunked(found)
-        return {"sections": found, "titles": t, "authors": authors(lines, t), "chunks": made, "names": extracted(made.withColumn("id", F.col("sub_index")))}
+        # A chunk's number starts again in each section, so section and number make its id.
+        return {"sections": found, "titles": t, "authors": authors(lines, t), "chunks": made, "names": extracted(made.withColumn("id", F.struct("section", "sub_index")))}
 
     def papers(self, status: str | None = None, offset: int = 0, limit: int = 50) -> DataFrame:
         rows = self._own(self.papers_)
@@ -74,7 +75,18 @@ class Engine:
     status = paper
 
     def terms(self, query: str) -> list[str]:
-        return self.papers_.sparkSession.range(1).select(query_terms(F.lit(query)).alias("t")).first()["t"]
+        return terms_of(query)
+
+    @staticmethod
+    def _at_hand(df: DataFrame, most: int) -> DataFrame:
+        """df, of most rows at most, as a table of its own, so that later steps don't compute it again."""
+        return df.sparkSession.createDataFrame(df.limit(most).collect(), df.schema)
+
+    def papers_by_id(self, paper_ids: list[int], limit: int = 20) -> DataFrame:
+        """id, title, year and, where known, arxiv_id of the papers asked for, by id."""
+        rows = retrieve.scoped(self._own(self.papers_), None, paper_ids, "id") if paper_ids else self.papers_.limit(0)
+        more = ["arxiv_id"] if "arxiv_id" in rows.columns else []
+        return rows.select("id", "title", F.col("publication_year").alias("year"), *more).orderBy("id").limit(limit)
 
     def search(self, query: str, n: int = 8, paper_ids: list[int] | None = None) -> DataFrame:
         n = min(max(n, 1), 20)
@@ -97,10 +109,11 @@ class Engine:
     def answer(self, query: str, n: int = 8, paper_ids: list[int] | None = None, summarise: Callable[[str], str] | None = None) -> DataFrame:
         """The extractive answer, one row. summarise, if given, is asked once for a text that goes before it."""
         pool = retrieve.lexical_search(retrieve.scoped(self._own(self.chunks), None, paper_ids), query, max(n, 8))
-        pool = pool.join(self._own(self.papers_).select(F.col("id").alias("paper_id"), "title"), "paper_id").persist()
-        asked = paper_ids or [r["paper_id"] for r in pool.orderBy("rank").select("paper_id").collect()]  # max(n, 8) rows
-        ents, facts = self.graph_context(query, asked)
-        words = [r["term"] for r in retrieve.entity_terms(ents.limit(10)).collect()]  # of ten names
+        pool = self._at_hand(pool.join(self._own(self.papers_).select(F.col("id").alias("paper_id"), "title"), "paper_id"), max(n, 8))
+        asked = paper_ids or [r["paper_id"] for r in pool.orderBy("rank").select("paper_id").collect()]
+        ents, facts = (self._at_hand(x, 32) for x in self.graph_context(query, asked))
+        first = ents.orderBy(F.desc("strength"), F.desc("paper_count"), "place").limit(10)
+        words = [r["term"] for r in retrieve.entity_terms(first).collect()]  # of ten names
         best = retrieve.boosted(pool, words, n).withColumnRenamed("rank", "old")
         order = F.row_number().over(Window.orderBy(F.desc("score"), "old"))
         best = best.withColumn("rank", order)
@@ -126,7 +139,8 @@ class Engine:
         found = found.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), F.desc("importance_score"), "id")))
         links = self.links.where(F.col("paper_id").isin(*paper_ids)) if paper_ids else self.links.limit(0)
         types = synth.by_type(links.join(self._own(self.entities).withColumnRenamed("id", "entity_id"), "entity_id"))
-        return synth.hypotheses(types, synth.evidence_sentences(found), query, count)
+        titled = found.join(self._own(self.papers_).select(F.col("id").alias("paper_id"), "title"), "paper_id", "left")
+        return synth.hypotheses(types, synth.evidence_sentences(found), query, count, titled, retrieve.gaps(found.where("rank <= 5")))
 
     def hypotheses(self, least: float = 0.0, paper_id: int | None = None, offset: int = 0, limit: int = 20) -> DataFrame:
         rows = self._own(self.hypotheses_).where(F.col("confidence_score") >= least)
@@ -145,32 +159,50 @@ class Engine:
         self.hypotheses_ = upvoted(self.hypotheses_, hypothesis_id)
         return self.explain(hypothesis_id)
 
-    def debate(self, hypothesis_id: int) -> DataFrame:
+    def debate(self, hypothesis_id: int, speak: Callable | None = None, verdict: Callable | None = None, rounds: int = 2) -> DataFrame:
+        """A debate on the hypothesis; with a verdict of a model or without one, the hypothesis then counts as validated."""
         one = self.explain(hypothesis_id)
         text = F.col("hypothesis_text") if "hypothesis_text" in one.columns else F.lit("")
-        return synth.debate(one.select("id", text.alias("hypothesis"), F.col("confidence_score").alias("confidence")))
-
-    def contradictions(self, topic: str, paper_ids: list[int], vector: list[float] | None = None) -> DataFrame:
+        held = synth.debate(one.select("id", text.alias("hypothesis"), F.col("confidence_score").alias("confidence")), speak, verdict, rounds)
+        if "agent_validated" in self.hypotheses_.columns:
+            self.hypotheses_ = validated(self.hypotheses_, hypothesis_id)
+        return held
+
+    def contradictions(self, topic: str, paper_ids: list[int], vector: list[float] | None = None, verdict: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+        """A row per pair of the papers, by the five chunks of each that are nearest to the topic: by its vector, where one is
+        given and vectors are at hand, else by the topic's words."""
         if len(paper_ids) < 2:
             raise ValueError("contradictions need two papers or more")
         spark = self.papers_.sparkSession
         asked = spark.createDataFrame([(p, i) for i, p in enumerate(paper_ids)], "paper_id long, ord int")
         own = retrieve.scoped(self._own(self.chunks), None, paper_ids)
-        order = Window.partitionBy("paper_id").orderBy(F.desc("importance_score"), "id")
+        if vector is not None and self.vectors is not None:
+            v = retrieve.scoped(self._own(self.vectors), None, paper_ids)
+            near = v.select("paper_id", "section", dot(F.col("embedding"), F.array(*[F.lit(float(x)) for x in vector])).alias("near"))
+            own = own.join(near, ["paper_id", "section"])
+        else:
+            own = own.withColumn("near", lexical(F.array(*map(F.lit, self.terms(topic))).cast("array<string>"), F.col("content")))
+        order = Window.partitionBy("paper_id").orderBy(F.desc("near"), F.desc("importance_score"), "id")
         top = own.withColumn("k", F.row_number().over(order)).where("k <= 5")
         texts = top.groupBy("paper_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "content"))), lambda x: x["content"]), "\n\n").alias("text"))
-        return synth.contradiction_pairs(asked, topic, texts)
+        return synth.contradiction_pairs(asked, topic, texts, verdict)
 
     def connections(self, paper_id: int) -> DataFrame:
+        """Other papers near the paper's five most important chunks."""
         v = self._own(self.vectors)
-        return retrieve.connections(v.where(F.col("paper_id") == paper_id).limit(5), v)
+        first = [F.desc("importance_score")] if "importance_score" in v.columns else []
+        unique = [c for c in ("id", "section") if c in v.columns]
+        return retrieve.connections(v.where(F.col("paper_id") == paper_id).orderBy(*first, *unique, F.xxhash64("embedding")).limit(5), v)
 
     def landscape(self, topic: str) -> DataFrame:
         return retrieve.landscape(self._own(self.papers_), topic)
 
     def reset_workspace(self) -> DataFrame:
-        """Deletes the workspace's rows from all tables; returns how many went from each."""
-        tables = {"papers": self.papers_, "chunks": self.chunks, "entities": self.entities, "links": self.links, "relations": self.relations}
-        left, counts = without_workspace(tables, self.workspace)
-        self.papers_, self.chunks, self.entities, self.links, self.relations = (left[k] for k in ("papers", "chunks", "entities", "links", "relations"))
+        """Deletes the workspace's rows from all tables, those in tables too; returns how many went from each."""
+        named = {"papers": "papers_", "chunks": "chunks", "entities": "entities", "links": "links", "relations": "relations", "vectors": "vectors", "hypotheses": "hypotheses_"}
+        have = {k: getattr(self, a) for k, a in named.items() if getattr(self, a) is not None}
+        left, counts = without_workspace(have | self.tables, self.workspace)
+        for k in have:
+            setattr(self, named[k], left[k])
+        self.tables = {k: left[k] for k in self.tables}
         return counts

@@ -56,6 +56,20 @@ def _words(x: str) -> str:
 
 # Text.
 
+#: Put after each text: characters that NFKC and the ligatures change, with what they become. The tables hold none themselves.
+_ODD = {"ﬁ": "fi", "ﬀ": "ff", "ﬃ": "ffi", "ﬆ": "st", "①": "1", "Ａ": "A", "½": "1⁄2", "㎏": "kg", "²": "2", "…": "...", "ℌ": "H", "ｶ": "カ"}
+_TAIL = " " + " ".join(f"x{c}y" for c in _ODD)
+
+
+def _normal_sql(x: str) -> str:
+    for a, b in _ODD.items():
+        x = f"replace({x}, '{a}', '{b}')"
+    return x
+
+
+def _odd(spark, d):
+    return _docs(spark, d).select("doc_id", F.concat("text", F.lit(_TAIL)).alias("text"))
+
 _CITES = rf"regexp_replace(regexp_replace({{}}, '\[\d+(?:[,\s]+\d+)*\]', '[CITE]', 'g'), '\({_W}[\p{{L}}\p{{N}}_\s]+et\s+al\.,?\s+\d{{4}}\)', '[CITE]', 'g')"
 _LINES = "replace(replace(replace(replace({}, chr(10) || chr(10), chr(1) || chr(1)), chr(1) || chr(10), chr(1) || chr(1)), chr(10), ' '), chr(1), chr(10))"
 
@@ -70,8 +84,8 @@ def _(spark, d):
     return _docs(spark, d).select("doc_id", text.join_lines(F.col("text")).alias("cleaned"))
 
 
-def _clean_sql(aggressive: bool) -> str:
-    x = rf"regexp_replace(text, '({_W})-\n({_W})', '\1\2', 'g')"
+def _cleaned(text: str, aggressive: bool = False) -> str:
+    x = rf"regexp_replace({text}, '({_W})-\n({_W})', '\1\2', 'g')"
     x = rf"regexp_replace({x}, '(?m)^[A-Z][A-Z\s\-]+:\s+[A-Z].{{5,60}}$', '', 'g')"
     x = rf"regexp_replace({x}, '(?m)^\s*\d{{1,4}}\s*$', '', 'g')"
     x = rf"regexp_replace({x}, '(\d)\s+\.\s+(\d)', '\1.\2', 'g')"
@@ -79,22 +93,25 @@ def _clean_sql(aggressive: bool) -> str:
     if aggressive:
         x = rf"replace(regexp_replace({x}, '(?m)^[\d\s.,%±\-–—]+$', '', 'g'), '[CITE]', '')"
         x = rf"regexp_replace(regexp_replace({x}, '\([^)]{{0,25}}\)', '', 'g'), '[ \t]{{2,}}', ' ', 'g')"
-    return f"SELECT doc_id, {_strip(x)} AS cleaned FROM documents"
+    return _strip(x)
+
 
+_ODD_TEXT = _normal_sql(f"(text || '{_TAIL}')")
 
-@query("clean_standard", _clean_sql(False), False)
+
+@query("clean_standard", f"SELECT doc_id, {_cleaned(_ODD_TEXT)} AS cleaned FROM documents", False)
 def _(spark, d):
-    return _docs(spark, d).select("doc_id", text.clean(F.col("text"), normalise=False).alias("cleaned"))
+    return _odd(spark, d).select("doc_id", text.clean(F.col("text")).alias("cleaned"))
 
 
-@query("clean_aggressive", _clean_sql(True), False)
+@query("clean_aggressive", f"SELECT doc_id, {_cleaned(_ODD_TEXT, True)} AS cleaned FROM documents", False)
 def _(spark, d):
-    return _docs(spark, d).select("doc_id", text.clean(F.col("text"), aggressive=True, normalise=False).alias("cleaned"))
+    return _odd(spark, d).select("doc_id", text.clean(F.col("text"), aggressive=True).alias("cleaned"))
 
 
-@query("nfkc")
+@query("nfkc", f"SELECT doc_id, {_ODD_TEXT} AS normal FROM documents", False)
 def _(spark, d):
-    return _docs(spark, d).select("doc_id", text.nfkc(F.col("text")).alias("normal"))
+    return _odd(spark, d).select("doc_id", text.nfkc(F.col("text")).alias("normal"))
 
 
 @query("ws_collapse", f"SELECT doc_id, array_to_string({_words('text')}, ' ') AS collapsed FROM documents", False)
@@ -184,7 +201,19 @@ def _(spark, d):
     return layout.titles(_lines(spark, d))
 
 
-@query("author_detect")
+_BEST_TITLE = f"""z AS (SELECT *, {_strip('text')} AS t, max(y) OVER (PARTITION BY paper_id) * 0.45e0 AS top, max(y) OVER (PARTITION BY paper_id) AS bottom FROM lines),
+ best AS (SELECT paper_id, t AS title, row_number() OVER (PARTITION BY paper_id ORDER BY size DESC, y DESC, ord) AS k FROM z WHERE {_TITLE_OK})"""
+_NOT_OF = " AND ".join(f"NOT contains(lower(t), '{a}')" for a in lx.AFFILIATIONS)
+_PARTS = f"regexp_split_to_array(t, '{lx.AUTHOR_SPLIT}')"
+
+
+@query("author_detect", rf"""WITH {_LINES_CTE}, {_BEST_TITLE}, near AS (SELECT z.*, coalesce(b.title, '{lx.UNKNOWN_TITLE}') AS title FROM z LEFT JOIN best b ON b.paper_id = z.paper_id AND b.k = 1),
+ ok AS (SELECT * FROM near WHERE y > bottom * 0.08e0 AND y < bottom * 0.52e0 AND size > 8.5e0 AND size < 13.5e0 AND length(t) <= 180
+ AND NOT (title <> '' AND contains(lower(t), lower(substr(title, 1, 30)))) AND NOT regexp_matches(t, '\d{{3,}}') AND {_NOT_OF}),
+ pieces AS (SELECT paper_id, ord, unnest(range(len({_PARTS}))) AS place, unnest({_PARTS}) AS part FROM ok),
+ names AS (SELECT paper_id, ord, place, {_strip("regexp_replace(" + _strip('part') + ", '" + lx.AUTHOR_MARKS + "', '')")} AS name FROM pieces),
+ fit AS (SELECT paper_id, lower(name) AS key, min((ord, place, name)) AS f FROM names WHERE length(name) > 4 AND length(name) < 60 AND regexp_matches(name, '{lx.AUTHOR_NAME}') GROUP BY 1, 2)
+ SELECT paper_id, list_transform(list_sort(list(f)), lambda x: x[3])[1:12] AS authors FROM fit GROUP BY 1""")
 def _(spark, d):
     x = _lines(spark, d)
     return layout.authors(x, layout.titles(x))
@@ -234,25 +263,56 @@ def _(spark, d):
 _NB = ", ".join(f"'{x}'" for x in lx.NO_BREAK)
 
 
-@query("sentence_scientific", rf"""WITH m AS (SELECT doc_id, string_split(regexp_replace(array_to_string({_words("text")}, ' '), '([.!?])( [A-Z\d])', '\1' || chr(1) || '\2', 'g'), chr(1)) AS p FROM documents),
- u AS (SELECT doc_id, unnest(range(len(p))) AS i, unnest(p) AS piece, len(p) AS n FROM m),
- t AS (SELECT *, lower(regexp_replace(regexp_extract(trim(regexp_replace(piece, '[.!?]$', '')), '(\S+)$', 1), '^[.!?;:,()\[\]{{}}]+|[.!?;:,()\[\]{{}}]+$', '', 'g')) AS tok FROM u),
- b AS (SELECT *, CASE WHEN i = n - 1 THEN 0 WHEN tok IN ({_NB}) OR regexp_matches(piece, '\d.$') OR regexp_matches(tok, '^\p{{L}}$') THEN 0 ELSE 1 END AS cut FROM t),
- g AS (SELECT *, coalesce(sum(cut) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS grp FROM b),
- j AS (SELECT doc_id, grp, trim(string_agg(piece, '' ORDER BY i)) AS sentence FROM g GROUP BY 1, 2)
- SELECT doc_id, list(sentence ORDER BY grp) AS sentences FROM j WHERE length(sentence) > 25 GROUP BY 1""", False)
+def _sentences(of: str, keys: str, source: str, x: str) -> str:
+    """CTEs that end in of (keys, place, sentence): the sentences of the text x of each row of source, which keys tell apart."""
+    return rf"""{of}_m AS (SELECT {keys}, string_split(regexp_replace(array_to_string({_words(x)}, ' '), '([.!?])( [A-Z\d])', '\1' || chr(1) || '\2', 'g'), chr(1)) AS p FROM {source}),
+ {of}_u AS (SELECT {keys}, unnest(range(len(p))) AS i, unnest(p) AS piece, len(p) AS n FROM {of}_m),
+ {of}_t AS (SELECT *, lower(regexp_replace(regexp_extract(trim(regexp_replace(piece, '[.!?]$', '')), '(\S+)$', 1), '^[.!?;:,()\[\]{{}}]+|[.!?;:,()\[\]{{}}]+$', '', 'g')) AS tok FROM {of}_u),
+ {of}_b AS (SELECT *, CASE WHEN i = n - 1 THEN 0 WHEN tok IN ({_NB}) OR regexp_matches(piece, '\d.$') OR regexp_matches(tok, '^\p{{L}}$') THEN 0 ELSE 1 END AS cut FROM {of}_t),
+ {of}_g AS (SELECT *, coalesce(sum(cut) OVER (PARTITION BY {keys} ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS grp FROM {of}_b),
+ {of}_j AS (SELECT {keys}, grp, trim(string_agg(piece, '' ORDER BY i)) AS sentence FROM {of}_g GROUP BY ALL),
+ {of} AS (SELECT {keys}, row_number() OVER (PARTITION BY {keys} ORDER BY grp) AS place, sentence FROM {of}_j WHERE length(sentence) > {lx.MIN_SENTENCE})"""
+
+
+def _packs(of: str, sentences: str) -> str:
+    """CTEs that end in of (doc_id, pack, text): sentences of each doc_id, put together up to the words of a pack."""
+    return f"""{of}_w AS (SELECT *, len({_words('sentence')}) AS w FROM {sentences}),
+ {of}_p AS (SELECT doc_id, place, w AS used, 0 AS pack FROM {of}_w WHERE place = 1
+ UNION ALL SELECT s.doc_id, s.place, CASE WHEN p.used + s.w > {lx.PACK_WORDS} THEN s.w ELSE p.used + s.w END, CASE WHEN p.used + s.w > {lx.PACK_WORDS} THEN p.pack + 1 ELSE p.pack END
+ FROM {of}_p p JOIN {of}_w s ON s.doc_id = p.doc_id AND s.place = p.place + 1),
+ {of} AS (SELECT doc_id, pack, string_agg(sentence, ' ' ORDER BY place) AS text FROM {of}_p JOIN {of}_w USING (doc_id, place) GROUP BY 1, 2)"""
+
+
+@query("sentence_scientific", f"WITH {_sentences('s', 'doc_id', 'documents', 'text')} SELECT doc_id, list(sentence ORDER BY place) AS sentences FROM s GROUP BY 1")
 def _(spark, d):
     x = _docs(spark, d).select("doc_id", segments.flat_sentences(F.col("text")).alias("sentences"))
     return x.where(F.size("sentences") > 0)
 
 
-@query("chunk_sections")
+_WEIGH = "CASE section " + " ".join(f"WHEN '{k}' THEN {w}e0" for k, w in lx.SECTION_WEIGHT.items()) + f" ELSE {lx.DEFAULT_WEIGHT}e0 END"
+_BONUS = rf"""(CASE WHEN {co._any(lx.CLAIM_TERMS).replace('text', 'content')} THEN 0.07e0 ELSE 0e0 END + CASE WHEN regexp_matches(content, '{lx.PERCENT}') THEN 0.05e0 ELSE 0e0 END
+ + CASE WHEN {co._any(lx.CONTRAST_TERMS).replace('text', 'content')} THEN 0.03e0 ELSE 0e0 END)"""
+_HALVES = f"CASE WHEN len(w) * {lx.TOKENS_PER_WORD} > {lx.MAX_TOKENS} THEN [array_to_string(w[1:len(w) // 2], ' '), array_to_string(w[len(w) // 2 + 1:], ' ')] ELSE [text] END"
+
+
+@query("chunk_sections", f"""WITH cl AS (SELECT doc_id, section, {_cleaned('text')} AS c FROM parts), {_sentences('s', 'doc_id', 'cl', 'c')}, {_packs('pk', 's')},
+ kind AS (SELECT doc_id, section, c, section IN ({', '.join(repr(x) for x in lx.WHOLE_SECTIONS)}) OR len({_words('c')}) < {lx.SPLIT_WORDS} OR coalesce(n, 0) <= 6 AS whole
+ FROM cl LEFT JOIN (SELECT doc_id, count(*) AS n FROM s GROUP BY 1) USING (doc_id) WHERE {_strip('c')} <> '' AND section NOT IN ({', '.join(repr(x) for x in lx.DROPPED_SECTIONS)})),
+ hv AS (SELECT doc_id, pack, {_HALVES} AS h FROM (SELECT *, {_words('text')} AS w FROM pk JOIN kind USING (doc_id) WHERE NOT whole)),
+ pc AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY pack, half) AS k, piece FROM (SELECT doc_id, pack, unnest(range(len(h))) AS half, unnest(h) AS piece FROM hv)),
+ gr AS (SELECT *, sum(CASE WHEN k = 1 OR len({_words('piece')}) >= {lx.MIN_WORDS} THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY k) AS part FROM pc),
+ pt AS (SELECT doc_id, part - 1 AS part, string_agg(piece, ' ' ORDER BY k) AS text FROM gr GROUP BY 1, 2 UNION ALL SELECT doc_id, 0, c FROM kind WHERE whole),
+ {_sentences('ps', 'doc_id, part', 'pt', 'text')},
+ tl AS (SELECT doc_id, part + 1 AS part, string_agg(sentence, ' ' ORDER BY place) AS lead FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, part ORDER BY place DESC) AS back FROM ps) WHERE back <= {lx.OVERLAP_SENTENCES} GROUP BY 1, 2),
+ out AS (SELECT doc_id, part, CASE WHEN coalesce(lead, '') = '' THEN text ELSE {_strip("lead || ' ' || text")} END AS content FROM pt LEFT JOIN tl USING (doc_id, part))
+ SELECT doc_id AS paper_id, section, CAST(part AS INT) AS sub_index, content, least(1e0, {_WEIGH} + {_BONUS}) AS importance_score, CAST(len({_words('content')}) AS INT) AS word_count,
+ 'p' || doc_id || '_' || section || '_' || CAST(part AS INT) AS embedding_id FROM out JOIN kind USING (doc_id)""")
 def _(spark, d):
     s = _docs(spark, d).select(F.col("doc_id").alias("paper_id"), co.section_of(F.col("doc_id")).alias("section"), "text")
     return chunking.chunked(s)
 
 
-@query("sentence_pack")
+@query("sentence_pack", f"WITH {_sentences('s', 'doc_id', 'documents', 'text')}, {_packs('pk', 's')} SELECT doc_id, CAST(pack AS INT) AS place, text AS pack FROM pk")
 def _(spark, d):
     s = _docs(spark, d).select("doc_id", segments.flat_sentences(F.col("text")).alias("s")).select("doc_id", segments.packed(F.col("s")).alias("p"))
     return s.select("doc_id", F.posexplode("p").alias("place", "pack"))
@@ -281,18 +341,15 @@ _NER_SQL = " UNION ALL ".join(
 )
 
 
-def _ner_rows(spark, d):
-    """Texts in ASCII letters, so that both engines see the same word boundaries."""
-    return _docs(spark, d).select(F.col("doc_id").alias("paper_id"), F.regexp_replace("text", r"[^\x00-\x7F]", "_").alias("text"))
-
-
 _VALID = f"length(name) BETWEEN 2 AND 80 AND regexp_matches(name, '[A-Za-z]') AND len(list_filter(string_split(lower(name), ' '), lambda x: x NOT IN ({', '.join(repr(w) for w in lx.ENTITY_BLACKLIST)}))) > 0"
 
 
 @query("ner_pattern", f"""WITH hits AS ({_NER_SQL}), n AS (SELECT paper_id, type, array_to_string({_words('name')}, ' ') AS name FROM hits)
  SELECT paper_id, type, name, count(*) AS n FROM n WHERE {_VALID} GROUP BY ALL""")
 def _(spark, d):
-    return ner.pattern_names(_ner_rows(spark, d)).drop("first")
+    # The operator reads the texts as they are. In its names non-ASCII letters become _, which has DuckDB's word boundaries.
+    found = ner.pattern_names(_docs(spark, d).select(F.col("doc_id").alias("paper_id"), "text"))
+    return found.groupBy("paper_id", "type", F.regexp_replace("name", r"[^\x00-\x7F]", "_").alias("name")).agg(F.sum("n").alias("n"))
 
 
 @query("ner_concept", "SELECT paper_id, name, n FROM concepts")
@@ -300,11 +357,19 @@ def _(spark, d):
     return ner.concept_names(_docs(spark, d).select(F.col("doc_id").alias("paper_id"), "text")).select("paper_id", "name", "n")
 
 
+_PHRASES = tuple(lx.PHRASES)
+#: Each text with two of the phrases after it, as the tables hold none.
+_SAID = f"(text || ' Deep ' || ([{', '.join(f"'{p}'" for p in _PHRASES)}])[1 + doc_id % {len(_PHRASES)}] || ', ' || ([{', '.join(f"'{p}'" for p in _PHRASES)}])[1 + doc_id * 7 % {len(_PHRASES)}] || '.')"
+
+
 @query("ner_phrases", " UNION ALL ".join(
-    f"SELECT doc_id AS paper_id, '{k}' AS type, '{lx.ACRONYM_PHRASES.get(p, ' '.join(w.capitalize() for w in p.split()))}' AS name, CAST((length(lower(text)) - length(replace(lower(text), '{p}', ''))) // {len(p)} AS BIGINT) AS n FROM documents WHERE contains(lower(text), '{p}')"
+    f"SELECT doc_id AS paper_id, '{k}' AS type, '{lx.ACRONYM_PHRASES.get(p, ' '.join(w.capitalize() for w in p.split()))}' AS name, CAST((length(lower({_SAID})) - length(replace(lower({_SAID}), '{p}', ''))) // {len(p)} AS BIGINT) AS n FROM documents WHERE contains(lower({_SAID}), '{p}')"
     for p, k in lx.PHRASES.items()), False)
 def _(spark, d):
-    return ner.phrase_names(_docs(spark, d).select(F.col("doc_id").alias("paper_id"), "text"))
+    phrases = F.array(*[F.lit(p) for p in _PHRASES])
+    at = lambda k: F.get(phrases, (k % len(_PHRASES)).cast("int"))
+    said = F.concat("text", F.lit(" Deep "), at(F.col("doc_id")), F.lit(", "), at(F.col("doc_id") * 7), F.lit("."))
+    return ner.phrase_names(_docs(spark, d).select(F.col("doc_id").alias("paper_id"), said.alias("text")))
 
 
 @query("ner_canonical", r"""WITH c AS (SELECT *, row_number() OVER (PARTITION BY paper_id, regexp_replace(lower(name), '[\s\-_]', '', 'g') ORDER BY n DESC, length(name), name) AS k FROM concepts),
@@ -434,21 +499,23 @@ def _(spark, d):
     return retrieve.vector_search(retrieve.scoped(co.vectors(spark, d), None, [1, 2, 3, 5, 8]), _vector(spark, d)).select("paper_id", F.round("score", 4).alias("score"))
 
 
-_SIM = """WITH src AS (SELECT * FROM vectors WHERE paper_id < 50), pr AS (SELECT s.paper_id AS source_id, v.paper_id, list_dot_product(CAST(v.embedding AS DOUBLE[]), CAST(s.embedding AS DOUBLE[])) AS score
+#: The tables' vectors are further apart than the operator's own least score.
+_LEAST = 0.3
+_SIM = f"""WITH src AS (SELECT * FROM vectors WHERE paper_id % 50 = 0), pr AS (SELECT s.paper_id AS source_id, v.paper_id, list_dot_product(CAST(v.embedding AS DOUBLE[]), CAST(s.embedding AS DOUBLE[])) AS score
  FROM src s JOIN vectors v ON v.workspace_id = s.workspace_id AND v.paper_id <> s.paper_id),
- rk AS (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY score DESC, paper_id) AS rank FROM pr), near AS (SELECT * FROM rk WHERE rank <= 10 AND score >= 0.78e0)"""
+ rk AS (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY score DESC, paper_id) AS rank FROM pr), near AS (SELECT * FROM rk WHERE rank <= 10 AND score >= {_LEAST}e0)"""
 
 
 @query("cross_similar", _SIM + " SELECT source_id, paper_id, round(score, 4) AS score FROM near")
 def _(spark, d):
     v = co.vectors(spark, d)
-    return retrieve.similar_pairs(v.where("paper_id < 50"), v).select("source_id", "paper_id", F.round("score", 4).alias("score"))
+    return retrieve.similar_pairs(v.where("paper_id % 50 = 0"), v, least=_LEAST).select("source_id", "paper_id", F.round("score", 4).alias("score"))
 
 
 @query("connections", _SIM + " SELECT paper_id, arg_max(source_id, (score, -source_id)) AS source_id, round(max(score), 4) AS score FROM near GROUP BY 1 ORDER BY max(score) DESC, paper_id LIMIT 10")
 def _(spark, d):
     v = co.vectors(spark, d)
-    return retrieve.connections(v.where("paper_id < 50"), v).select("paper_id", "source_id", F.round("score", 4).alias("score"))
+    return retrieve.connections(v.where("paper_id % 50 = 0"), v, least=_LEAST).select("paper_id", "source_id", F.round("score", 4).alias("score"))
 
 
 @query("result_merge", f"""WITH {_RANKED}, a AS (SELECT id, score, 0 AS src FROM top), b AS (SELECT paper_id AS id, round({_DOT}, 4) AS score, 1 AS src FROM vectors ORDER BY {_DOT} DESC, paper_id LIMIT 15),
@@ -528,9 +595,10 @@ _GRAPH_VALID = rf"""(lower({{0}}) NOT IN ({_GS}) AND length({{0}}) BETWEEN 3 AND
  AND (len(regexp_extract_all({{0}}, '[A-Za-z][A-Za-z0-9-]*')) > 1 OR (lower({_ONE}) NOT IN ({_GS}) AND (length({_ONE}) >= 4 OR {_ONE} = upper({_ONE}))
  AND NOT (regexp_matches({_ONE}, '^[A-Z][a-z]*$') AND lower({_ONE}) IN ({", ".join(f"'{w}'" for w in lx.GENERIC_TITLE_WORDS)})))))"""
 _STRENGTH = _STRENGTH.replace("@valid", _GRAPH_VALID)
+_STRONG = _STRENGTH + f" + CASE WHEN {{1}} IN ({', '.join(f"'{t}'" for t in lx.STRONG_TYPES)}) AND {_GRAPH_VALID} THEN 0.8e0 ELSE 0e0 END"
 
 
-@query("entity_strength", f"SELECT id, name, round({_STRENGTH.format('name')}, 4) AS strength FROM entities")
+@query("entity_strength", f"SELECT id, name, round({_STRONG.format('name', 'entity_type')}, 4) AS strength FROM entities")
 def _(spark, d):
     return co.entities(spark, d).select("id", "name", F.round(scores.strength(F.col("name"), F.col("entity_type")), 4).alias("strength"))
 
@@ -549,7 +617,7 @@ def _(spark, d):
     return graph.candidate_entities(e, links, ["thatin", "inor"], [1, 2, 3]).select("id", F.col("place").cast("int").alias("place"))
 
 
-_CO = f"""WITH l AS (SELECT pe.paper_id, pe.entity_id, e.name, pe.frequency, {_STRENGTH.format('e.name')} AS s FROM paper_entities pe JOIN entities e ON e.id = pe.entity_id WHERE {_GRAPH_VALID.format('e.name')}),
+_CO = f"""WITH l AS (SELECT pe.paper_id, pe.entity_id, e.name, pe.frequency, {_STRONG.format('e.name', 'e.entity_type')} AS s FROM paper_entities pe JOIN entities e ON e.id = pe.entity_id WHERE {_GRAPH_VALID.format('e.name')}),
  t AS (SELECT *, row_number() OVER (PARTITION BY paper_id ORDER BY s DESC, frequency DESC, entity_id) AS k FROM l),
  pr AS (SELECT a.name AS source, b.name AS target, a.paper_id, least(0.92e0, 0.35e0 + (a.frequency + b.frequency) * 0.035e0 + a.s * 0.04e0 + b.s * 0.04e0) AS confidence
  FROM t a JOIN t b ON a.paper_id = b.paper_id AND b.k > a.k AND b.k <= a.k + 3 WHERE a.k <= 8 AND b.k <= 8 AND lower(a.name) <> lower(b.name)
@@ -584,11 +652,11 @@ def _(spark, d):
     return f.select("source", "relationship", "target", F.round("confidence", 4).alias("confidence"), "paper_id")
 
 
-_PG = """WITH near AS (SELECT entity_id, name, frequency, paper_count FROM paper_entities JOIN entities ON id = entity_id WHERE paper_id = 7 ORDER BY frequency DESC, name, entity_id LIMIT 80)"""
+_PG = """WITH near AS (SELECT entity_id, name, entity_type, frequency, paper_count FROM paper_entities JOIN entities ON id = entity_id WHERE paper_id = 7 ORDER BY frequency DESC, name, entity_id LIMIT 80)"""
 
 
 @query("paper_graph_nodes", _PG + """ SELECT 'paper-7' AS id, title AS label, 'Paper' AS type, CAST(NULL AS INT) AS mention_count, 1 AS paper_count FROM papers WHERE id = 7
- UNION ALL SELECT 'entity-' || entity_id, name, 'CONCEPT', frequency, paper_count FROM near""")
+ UNION ALL SELECT 'entity-' || entity_id, name, entity_type, frequency, paper_count FROM near""")
 def _(spark, d):
     e, links = _context(spark, d)
     return graph.paper_graph(co.papers(spark, d, text=False).where("id = 7"), e, links, co.relationships(spark, d))[0]
@@ -603,26 +671,43 @@ def _(spark, d):
     return g.withColumn("confidence", F.round("confidence", 4))
 
 
-@query("entity_graph_nodes")
+_EG = f"""WITH seeds AS (SELECT * FROM entities WHERE lower(name) = '{NAME.lower()}' OR contains(lower(name), '{NAME.lower()}') ORDER BY paper_count DESC, name, id LIMIT 8),
+ said AS (SELECT l.entity_id, l.paper_id, l.frequency, p.title FROM paper_entities l JOIN papers p ON p.id = l.paper_id WHERE l.entity_id IN (SELECT id FROM seeds)
+ ORDER BY frequency DESC, title, l.paper_id, l.entity_id LIMIT 24),
+ ends AS (SELECT *, target_entity_id AS entity_id FROM relationships WHERE source_entity_id IN (SELECT id FROM seeds) UNION SELECT *, source_entity_id FROM relationships WHERE target_entity_id IN (SELECT id FROM seeds)),
+ rel AS (SELECT r.*, e.name, e.entity_type, e.paper_count FROM ends r JOIN entities e ON e.id = r.entity_id WHERE r.entity_id NOT IN (SELECT id FROM seeds) ORDER BY confidence DESC, r.id, r.entity_id LIMIT 40),
+ co AS (SELECT l.*, e.name, e.entity_type, e.paper_count FROM paper_entities l JOIN entities e ON e.id = l.entity_id WHERE l.paper_id IN (SELECT paper_id FROM said) AND l.entity_id NOT IN (SELECT id FROM seeds)
+ ORDER BY frequency DESC, paper_count DESC, l.entity_id, l.paper_id LIMIT 48)"""
+
+
+@query("entity_graph_nodes", _EG + """, found AS (SELECT id AS entity_id, name, entity_type, 0 AS mention_count, paper_count, 0 AS wave FROM seeds
+ UNION ALL SELECT entity_id, name, entity_type, 0, paper_count, 1 FROM rel UNION ALL SELECT entity_id, name, entity_type, frequency, paper_count, 2 FROM co)
+ SELECT 'entity-' || entity_id AS id, name AS label, entity_type AS type, paper_count, CAST(arg_max(mention_count, (wave, -mention_count)) AS INT) AS mention_count FROM found GROUP BY ALL
+ UNION ALL SELECT DISTINCT 'paper-' || paper_id, title, 'Paper', 1, CAST(NULL AS INT) FROM said""")
 def _(spark, d):
     e, links = _context(spark, d)
     return graph.entity_graph(NAME, co.papers(spark, d, text=False), e, links, co.relationships(spark, d))[0]
 
 
-@query("entity_graph_edges")
+@query("entity_graph_edges", _EG + """ SELECT 'paper-' || paper_id AS source, 'entity-' || entity_id AS target, 'MENTIONS' AS type, CAST(NULL AS DOUBLE) AS confidence, paper_id FROM said
+ UNION ALL SELECT 'entity-' || source_entity_id, 'entity-' || target_entity_id, relationship_type, round(confidence, 4), paper_id FROM rel
+ UNION ALL SELECT 'paper-' || paper_id, 'entity-' || entity_id, 'MENTIONS', NULL, paper_id FROM co""")
 def _(spark, d):
     e, links = _context(spark, d)
-    return graph.entity_graph(NAME, co.papers(spark, d, text=False), e, links, co.relationships(spark, d))[1]
+    g = graph.entity_graph(NAME, co.papers(spark, d, text=False), e, links, co.relationships(spark, d))[1]
+    return g.withColumn("confidence", F.round("confidence", 4))
 
 
-_START = "(SELECT id FROM entities ORDER BY paper_count, id LIMIT 1)"
+#: Of the entities of twenty papers or more the least known: it has neighbours on all sides, and some of them are hubs.
+_START = "(SELECT id FROM entities WHERE paper_count >= 20 ORDER BY paper_count, id LIMIT 1)"
 _UND = """und AS (SELECT id AS edge_id, source_entity_id AS u, target_entity_id AS v, paper_id FROM relationships UNION ALL SELECT id, target_entity_id, source_entity_id, paper_id FROM relationships WHERE source_entity_id <> target_entity_id)"""
 _TRAILS = f"""{_UND}, tr AS (SELECT [edge_id] AS edges, v AS tip, 1 AS hops FROM und WHERE u IN {_START}
  UNION ALL SELECT list_append(t.edges, e.edge_id), e.v, t.hops + 1 FROM tr t JOIN und e ON e.u = t.tip AND NOT list_contains(t.edges, e.edge_id) WHERE t.hops < @)"""
 
 
 def _start(spark, d):
-    return [co.entities(spark, d).orderBy("paper_count", "id").first()["id"]]
+    found = co.entities(spark, d).where("paper_count >= 20").orderBy("paper_count", "id").select("id").take(1)
+    return [r["id"] for r in found] or [-1]
 
 
 @query("khop", f"WITH {_TRAILS.replace('@', '2')}, f AS (SELECT edges, hops FROM tr ORDER BY hops, edges LIMIT 100), x AS (SELECT DISTINCT unnest(edges) AS id FROM f) SELECT r.id, source_entity_id, target_entity_id, relationship_type FROM x JOIN relationships r ON r.id = x.id")
@@ -630,11 +715,11 @@ def _(spark, d):
     return graph.neighbourhood(co.relationships(spark, d), _start(spark, d)).select("id", "source_entity_id", "target_entity_id", "relationship_type")
 
 
-@query("paths", f"WITH {_TRAILS.replace('@', '3')} SELECT array_to_string(edges, ',') AS edges, hops FROM tr WHERE tip IN (SELECT target_entity_id FROM relationships WHERE source_entity_id IN {_START}) ORDER BY hops, tr.edges LIMIT 20")
+@query("paths", f"WITH {_TRAILS.replace('@', '4')} SELECT array_to_string(edges, ',') AS edges, hops FROM tr WHERE tip IN (SELECT target_entity_id FROM relationships WHERE source_entity_id IN {_START}) ORDER BY hops, tr.edges LIMIT 20")
 def _(spark, d):
     r, a = co.relationships(spark, d), _start(spark, d)
     b = [x["target_entity_id"] for x in r.where(F.col("source_entity_id").isin(*a)).select("target_entity_id").distinct().collect()]  # of one entity
-    return graph.paths_between(r, a, b, 3).select(F.array_join(F.transform("edges", lambda e: e.cast("string")), ",").alias("edges"), "hops")
+    return graph.paths_between(r, a, b, 4).select(F.array_join(F.transform("edges", lambda e: e.cast("string")), ",").alias("edges"), "hops")
 
 
 @query("topic_papers", "SELECT p.id AS paper_id, title, publication_year AS year, e.id AS entity_id FROM entities e JOIN paper_entities pe ON pe.entity_id = e.id JOIN papers p ON p.id = pe.paper_id WHERE contains(lower(e.name), 'thatin')")
@@ -662,8 +747,11 @@ def _(spark, d):
 # Synthesis.
 
 
-@query("entities_by_type", """WITH t AS (SELECT name, frequency, entity_id, paper_id FROM paper_entities JOIN entities ON id = entity_id WHERE paper_id IN (1, 2, 3, 5) ORDER BY frequency DESC, paper_count DESC, entity_id, paper_id LIMIT 80),
- r AS (SELECT *, row_number() OVER (ORDER BY frequency DESC, lower(name), name, entity_id, paper_id) AS k FROM t) SELECT 'CONCEPT' AS entity_type, string_agg(name, '|' ORDER BY k) AS names FROM r WHERE k <= 8""")
+_TYPES = """top AS (SELECT name, entity_type, frequency, entity_id, paper_id FROM paper_entities JOIN entities ON id = entity_id WHERE paper_id IN (1, 2, 3, 5) ORDER BY frequency DESC, paper_count DESC, entity_id, paper_id LIMIT 80),
+ typed AS (SELECT *, row_number() OVER (PARTITION BY entity_type ORDER BY frequency DESC, lower(name), name, entity_id, paper_id) AS k FROM top)"""
+
+
+@query("entities_by_type", f"WITH {_TYPES} SELECT entity_type, string_agg(name, '|' ORDER BY k) AS names FROM typed WHERE k <= 8 GROUP BY 1")
 def _(spark, d):
     e, links = _context(spark, d)
     named = links.where("paper_id in (1, 2, 3, 5)").join(e.withColumnRenamed("id", "entity_id"), "entity_id")
@@ -678,12 +766,39 @@ def _(spark, d):
     return synth.contradiction_pairs(asked, TOPIC, texts).select("paper_a_id", "paper_b_id", "contradiction_type")
 
 
-@query("hypotheses")
+def _template(x: str) -> str:
+    """A template with {column} places, as an expression."""
+    parts = x.replace("}", "{").split("{")
+    return " || ".join(f"coalesce({p}, '')" if i % 2 else "'" + p.replace("'", "''") + "'" for i, p in enumerate(parts) if p)
+
+
+_FOUND = "found AS (SELECT *, row_number() OVER (ORDER BY score DESC, importance_score DESC, id) AS rank FROM (SELECT *, round(least(1e0, 0.35e0 + (" + " + ".join(
+    f"CAST(contains(lower(content), '{t}') AS INT)" for t in TERMS) + f") / {len(TERMS)}e0 * 0.45e0 + importance_score * 0.2e0), 4) AS score FROM (SELECT * FROM chunks ORDER BY importance_score DESC, id LIMIT 40)) ORDER BY rank LIMIT 20)"
+_SENTENCE = f"(list_filter(string_split(content, '. '), lambda x: length(x) > 60 AND ({' OR '.join(f'contains(lower(x), {w!r})' for w in lx.EVIDENCE_WORDS)})))[1]"
+_RULES = {"disease_method": "disease IS NOT NULL AND method IS NOT NULL", "protein_chemical": "protein IS NOT NULL AND chemical IS NOT NULL", "method_dataset": "method IS NOT NULL AND dataset IS NOT NULL"}
+_RULES |= {"sentence": "sentence IS NOT NULL AND NOT (" + " OR ".join(f"({r})" for r in _RULES.values()) + ")", "fill": "true"}
+_D = lx.HYPOTHESIS_DETAILS
+_MADE = ", ".join(
+    f"CASE WHEN {_RULES[rule]} THEN {{{{'ord': {100 * i + k}, 'rule': '{rule}', 'confidence': {conf}e0, 'novelty': {new}e0, 'testability': '{test}', 'hypothesis': {_template(text_)}, 'reasoning': {_template(_D[rule][0])}, "
+    f"'experiments': {' || chr(10) || '.join(_template(x) for x in _D[rule][1])}, 'weakened': {_template(_D[rule][2])}, 'insight': {_template(_D[rule][3])}}}}} END"
+    for i, (rule, conf, new, test, text_) in enumerate(lx.HYPOTHESES) for k in range(5 if rule == "fill" else 1)
+).replace("{{", "{").replace("}}", "}")
+
+
+@query("hypotheses", f"WITH {_TYPES}, {_FOUND}, names AS (SELECT " + ", ".join(f"max(CASE WHEN entity_type = '{t}' THEN name END) AS {t.lower()}" for t in ("DISEASE", "METHOD", "GENE", "CHEMICAL", "DATASET"))
+       + ", coalesce(max(CASE WHEN entity_type = 'PROTEIN' THEN name END), max(CASE WHEN entity_type = 'GENE' THEN name END)) AS protein FROM typed WHERE k = 1),"
+       + f" said AS (SELECT substr(arg_min(sentence, rank), 1, 140) AS sentence FROM (SELECT rank, trim({_SENTENCE}) AS sentence FROM found WHERE rank <= 4) WHERE sentence IS NOT NULL),"
+       + f" one AS (SELECT *, '{QUERY}' AS query, coalesce(nullif(concat_ws(', ', method, disease, protein, dataset), ''), '{QUERY}') AS anchor FROM names, said),"
+       + f" made AS (SELECT unnest(list_filter([{_MADE}], lambda x: x IS NOT NULL)[1:5], recursive := true) FROM one)"
+       + " SELECT *, round(confidence * novelty, 4) AS score FROM made WHERE confidence > 0.3e0")
 def _(spark, d):
     found = retrieve.fallback_search(co.chunks(spark, d), QUERY).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), F.desc("importance_score"), "id")))
     e, links = _context(spark, d)
     types = synth.by_type(links.where("paper_id in (1, 2, 3, 5)").join(e.withColumnRenamed("id", "entity_id"), "entity_id"))
-    return synth.hypotheses(types, synth.evidence_sentences(found), QUERY, 5)
+    h = synth.hypotheses(types, synth.evidence_sentences(found), QUERY, 5, found.withColumn("title", F.lit("")), retrieve.gaps(found.where("rank <= 5")))
+    one = lambda c: F.array_join(c, "\n")
+    return h.select("ord", "rule", "confidence", "novelty", "testability", "hypothesis", "score", "reasoning", one("suggested_experiments").alias("experiments"),
+                    F.col("falsifiable_conditions").alias("weakened"), F.col("cross_domain_insight").alias("insight"))
 
 
 @query("discovery_metrics", """SELECT lang AS grp, round(least(1e1, 5 + count(*) % 7 * 0.45e0), 1) AS novelty, round(least(1e1, 4 + count(*) % 9 * 0.8e0), 1) AS evidence,
@@ -693,13 +808,68 @@ def _(spark, d):
     return n.select("grp", *synth.discovery_metrics(F.col("n") % 9, F.col("n") % 31, F.col("n") % 7))
 
 
-@query("debate", "SELECT id, least(confidence_score, 0.7e0) AS final_confidence FROM hypotheses")
+_piped = lambda xs: "|".join(x.replace("'", "''") for x in xs)
+
+
+@query("debate", "SELECT id, least(confidence_score, 0.7e0) AS final_confidence, '" + _piped(f"{a} {r}: {t}" for a, r, t in lx.DEBATE_TURNS) + "' AS transcript, 'MODERATE_SUPPORT' AS consensus, 'h' || id AS revised_hypothesis, '"
+       + _piped(lx.DEBATE_STRENGTHS) + "' AS strengths, '" + _piped(lx.DEBATE_CONCERNS) + "' AS concerns, '" + _piped(lx.DEBATE_EXPERIMENTS) + "' AS experiments FROM hypotheses")
+def _(spark, d):
+    h = co.hypotheses(spark, d).select("id", F.concat(F.lit("h"), F.col("id").cast("string")).alias("hypothesis"), F.col("confidence_score").alias("confidence"))
+    turns = F.transform("transcript", lambda x: F.concat(x["agent"], F.lit(" "), x["round"], F.lit(": "), x["content"]))
+    one = lambda c: F.array_join(c, "|")
+    return synth.debate(h).select("id", "final_confidence", one(turns).alias("transcript"), "consensus", "revised_hypothesis", one("key_strengths").alias("strengths"),
+                                  one("key_concerns").alias("concerns"), one("recommended_experiments").alias("experiments"))
+
+
+def _any_term(x: str) -> str:
+    return "(" + " OR ".join(f"contains({x}, '{t}')" for t in TERMS) + ")"
+
+
+_VALID_2 = f"{_GRAPH_VALID.format('source')} AND {_GRAPH_VALID.format('target')} AND trim(lower(source)) <> trim(lower(target)) AND NOT (length(source) >= 4 AND length(target) >= 4 AND (contains(lower(source), lower(target)) OR contains(lower(target), lower(source))))"
+_WEIGHED = f"{_STRENGTH.format('source')} + {_STRENGTH.format('target')}"
+_KINDS_OF = lambda kinds: ", ".join(f"'{k}'" for k in kinds)
+_CONTEXT = f"""asked AS (SELECT paper_id FROM top), named AS (SELECT *, split_part(normalized_name, ':', 2) AS key FROM entities),
+ by_key AS (SELECT id, row_number() OVER (ORDER BY paper_count DESC, id) AS place FROM named WHERE {_any_term('key')} ORDER BY place LIMIT 16),
+ by_name AS (SELECT id, 100 + row_number() OVER (ORDER BY paper_count DESC, id) AS place FROM named WHERE {_any_term('lower(name)')} ORDER BY place LIMIT 16),
+ by_paper AS (SELECT entity_id AS id, 200 + row_number() OVER (ORDER BY frequency DESC, paper_count DESC, entity_id, paper_id) AS place FROM paper_entities JOIN named e ON e.id = entity_id WHERE paper_id IN (SELECT paper_id FROM asked) ORDER BY place LIMIT 24),
+ cand AS (SELECT id, min(place) AS place FROM (SELECT * FROM by_key UNION ALL SELECT * FROM by_name UNION ALL SELECT * FROM by_paper) GROUP BY 1 ORDER BY 2 LIMIT 32),
+ strong AS (SELECT e.*, c.place, {_STRONG.format('name', 'entity_type')} AS strength FROM cand c JOIN named e USING (id) WHERE {_GRAPH_VALID.format('name')}),
+ ents AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lower(name) ORDER BY strength DESC, place) AS nth FROM strong) WHERE nth = 1 ORDER BY strength DESC, paper_count DESC, place LIMIT 24),
+ hit AS (SELECT r.*, a.name AS source FROM relationships r JOIN entities a ON a.id = r.source_entity_id WHERE r.paper_id IN (SELECT paper_id FROM asked)
+ AND (r.source_entity_id IN (SELECT id FROM ents) OR r.target_entity_id IN (SELECT id FROM ents)) ORDER BY confidence DESC, r.id LIMIT 32),
+ explicit AS (SELECT source, relationship_type AS relationship, coalesce(b.name, CAST(target_entity_id AS VARCHAR)) AS target, confidence, paper_id, 0 AS src FROM hit LEFT JOIN entities b ON b.id = target_entity_id),
+ facts1 AS (SELECT * FROM explicit WHERE {_GRAPH_VALID.format('source')} AND {_GRAPH_VALID.format('target')}),
+ near AS (SELECT l.*, name, {_STRONG.format('name', 'entity_type')} AS s FROM paper_entities l JOIN ents ON ents.id = l.entity_id WHERE l.paper_id IN (SELECT paper_id FROM asked) ORDER BY frequency DESC, entity_id, l.paper_id LIMIT 240),
+ placed AS (SELECT *, row_number() OVER (PARTITION BY paper_id ORDER BY s DESC, frequency DESC, entity_id) AS k FROM near),
+ pairs AS (SELECT a.name AS source, 'co_mentioned_with' AS relationship, b.name AS target, least(0.92e0, 0.35e0 + (a.frequency + b.frequency) * 0.035e0 + a.s * 0.04e0 + b.s * 0.04e0) AS confidence, a.paper_id
+ FROM placed a JOIN placed b ON a.paper_id = b.paper_id AND b.k > a.k AND b.k <= a.k + 3 WHERE a.k <= 8 AND b.k <= 8),
+ facts2 AS (SELECT *, 1 AS src FROM pairs WHERE {_VALID_2} ORDER BY confidence DESC, {_WEIGHED} DESC, source, target, relationship, paper_id LIMIT 32),
+ every AS (SELECT * FROM facts1 UNION ALL SELECT * FROM facts2 WHERE (SELECT count(*) FROM facts1) < 4),
+ best_fact AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source, relationship, target, paper_id ORDER BY confidence DESC, src) AS nth FROM every) WHERE nth = 1 OR (SELECT count(*) FROM facts1) >= 4),
+ few AS (SELECT * FROM best_fact ORDER BY confidence DESC, src, source, target, relationship, paper_id LIMIT 32),
+ facts AS (SELECT *, row_number() OVER (ORDER BY confidence DESC, {_WEIGHED} DESC, source, target, relationship, paper_id) AS k FROM few WHERE {_VALID_2}),
+ first10 AS (SELECT * FROM ents ORDER BY strength DESC, paper_count DESC, place LIMIT 10),
+ bonus AS (SELECT DISTINCT lower(w) AS w FROM (SELECT unnest({_words('name')}) AS w FROM first10) WHERE length(w) >= {lx.TERM_LETTERS} AND lower(w) NOT IN ({_GS})),
+ plus AS (SELECT t.id, t.section, t.content, t.paper_id, t.rank AS old, t.score + least(0.08e0, coalesce((SELECT count(*) FROM bonus WHERE contains(lower(t.content), w)), 0) * 0.015e0) AS score FROM top t),
+ best AS (SELECT plus.*, title, row_number() OVER (ORDER BY score DESC, old) AS rank FROM plus JOIN papers p ON p.id = plus.paper_id),
+ sent AS (SELECT rank, unnest(range(len({_NAIVE.format('content')}))) AS place, unnest({_NAIVE.format('content')}) AS raw FROM best WHERE rank <= 6),
+ said AS (SELECT rank, place, array_to_string({_words('raw')}, ' ') AS sentence FROM sent),
+ chosen AS (SELECT sentence, row_number() OVER (ORDER BY {_LEX.format('sentence')} DESC, rank, place) AS nth FROM said WHERE length(sentence) BETWEEN 45 AND 320),
+ head AS (SELECT (SELECT count(*) FROM best) AS n_results, (SELECT count(*) FROM facts WHERE k <= 6) AS n_relations,
+ (SELECT string_agg(sentence, ' ' ORDER BY nth) FROM chosen WHERE nth <= 3) AS finding,
+ (SELECT string_agg(name, ', ' ORDER BY nth) FROM (SELECT name, row_number() OVER (ORDER BY strength DESC, paper_count DESC, place) AS nth FROM (SELECT * FROM ents ORDER BY strength DESC, paper_count DESC, place LIMIT 8) WHERE entity_type IN ({_KINDS_OF(lx.METHOD_TYPES)})) WHERE nth <= 4) AS methods,
+ (SELECT string_agg(name, ', ' ORDER BY nth) FROM (SELECT name, row_number() OVER (ORDER BY strength DESC, paper_count DESC, place) AS nth FROM (SELECT * FROM ents ORDER BY strength DESC, paper_count DESC, place LIMIT 8) WHERE entity_type IN ({_KINDS_OF(lx.TARGET_TYPES)})) WHERE nth <= 4) AS targets,
+ (SELECT string_agg(rank || '. ' || title || ' (' || section || ', paper_id=' || paper_id || ', score=' || printf('%.2f', score) || '): ' || array_to_string(({_words('content')})[1:42], ' '), chr(10) ORDER BY rank) FROM best WHERE rank <= 5) AS evidence,
+ (SELECT string_agg('- ' || source || ' --' || relationship || '--> ' || target || ' (confidence ' || printf('%.2f', confidence) || ', paper_id=' || paper_id || ')', chr(10) ORDER BY k) FROM facts WHERE k <= 6) AS relations),
+ graded AS (SELECT *, CASE WHEN n_results >= 5 AND n_relations > 0 THEN 'high' WHEN n_results >= 3 THEN 'moderate' ELSE 'low' END AS confidence FROM head)"""
+_EMPTY = f"No indexed evidence was found for '{QUERY}'. Upload and process papers first, then retry GraphRAG.".replace("'", "''")
+
+
+@query("answer", f"""WITH {_RANKED}, {_CONTEXT} SELECT n_results, n_relations, confidence, CASE WHEN n_results = 0 THEN '{_EMPTY}' ELSE concat_ws(chr(10), '{lx.KEY_FINDING}', finding, '',
+ '{lx.STRENGTH}', upper(confidence[1]) || confidence[2:] || ' support from ' || n_results || ' retrieved chunks and ' || n_relations || ' validated graph relationship(s).', '',
+ '{lx.CONCEPTS}', '- Methods/concepts: ' || coalesce(methods, '{lx.NO_METHODS}'), '- Targets/domains: ' || coalesce(targets, '{lx.NO_TARGETS}'), '',
+ '{lx.BEST}', evidence, '', '{lx.GROUNDING}', coalesce(relations, '{lx.NO_FACTS}')) END AS answer FROM graded""")
 def _(spark, d):
-    h = co.hypotheses(spark, d).select("id", F.lit("h").alias("hypothesis"), F.col("confidence_score").alias("confidence"))
-    return synth.debate(h).select("id", "final_confidence")
-
-
-def _answer(spark: SparkSession, d: str) -> DataFrame:
     from quillmine.plans.engine import Engine
 
     e, links = _context(spark, d)
@@ -707,9 +877,6 @@ def _answer(spark: SparkSession, d: str) -> DataFrame:
     return engine.answer(QUERY).select("n_results", "n_relations", "confidence", "answer")
 
 
-QUERIES["answer"] = _answer
-
-
 @query("status_funnel", "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL", False)
 def _(spark, d):
     return status_funnel(co.table(spark, d, "events")).withColumn("total", F.round("total", 4))

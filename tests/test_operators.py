@@ -1,8 +1,13 @@
 """Operators on small relations."""
 
+import collections
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
+from quillmine.functions import lexicon as lx
 from quillmine.operators import graph, layout, ner, retrieve, synth
 from quillmine.plans.engine import Engine, NotFoundError
 from quillmine.sources import sinks
@@ -112,8 +117,8 @@ def test_engine_sees_its_workspace(engine):
     assert engine.landscape("GRAPH").first()["paper_count"] == 1
     assert engine.upvote(1).first()["upvotes"] == 1 and engine.debate(1).first()["final_confidence"] == 0.7
     assert engine.contradictions("graph", [1, 2]).first()["contradiction_type"] == "insufficient_data"
-    assert {r["name"]: r["deleted"] for r in engine.reset_workspace().collect()} == {"papers": 1, "chunks": 3, "entities": 1, "links": 1, "relations": 0}
-    assert engine.links.count() == 1
+    assert {r["name"]: r["deleted"] for r in engine.reset_workspace().collect()} == {"papers": 1, "chunks": 3, "entities": 1, "links": 1, "relations": 0, "hypotheses": 1}
+    assert engine.links.count() == 1 and engine.hypotheses_.count() == 0
     with pytest.raises(ValueError):
         engine.workspace_id("x")
 
@@ -133,3 +138,121 @@ def test_stream_equals_batch(spark, tmp_path):
     q.stop()
     got = {r["name"] for r in ingest.entities_so_far(spark, str(tmp_path / "out")).collect()}
     assert got == {"Graph", "However", "Alpha", "Beta"}
+
+
+def test_papers_and_topics(engine, spark):
+    assert [tuple(r) for r in engine.papers_by_id([2, 1]).collect()] == [(1, "T1", 2020)] and engine.papers_by_id([]).count() == 0
+    v = spark.createDataFrame([(1, W1, "results", [1.0, 0.0], 0.9), (3, W1, "results", [0.9, 0.1], 0.5)], "paper_id long, workspace_id string, section string, embedding array<double>, importance_score double")
+    engine.vectors = v
+    engine.papers_ = engine.papers_.unionByName(spark.createDataFrame([(3, W1, "T3", "graph", 2021, "completed")], engine.papers_.schema))
+    engine.chunks = engine.chunks.unionByName(spark.createDataFrame([(9, 3, W1, "results", "Another graph text.", 0.9)], engine.chunks.schema))
+    got = engine.contradictions("graph", [1, 3], [1.0, 0.0]).first()
+    assert got["contradiction_type"] == "model_error" and got["severity"] == "LOW"
+    seen = {}
+    engine.contradictions("graph", [1, 3], verdict=lambda p: seen.update({"rows": p.collect()}) or p)
+    assert "GraphNet" not in seen["rows"][0]["text_b"] and "Another graph text." in seen["rows"][0]["text_b"]
+    assert [r["paper_id"] for r in engine.connections(1).collect()] == [3]
+
+
+def test_similar_pairs_in_blocks(spark):
+    rng = random.Random(4)
+    rows = [(i, "w", [rng.gauss(0, 1) for _ in range(4)]) for i in range(120)]
+    v = spark.createDataFrame(rows, "paper_id long, workspace_id string, embedding array<double>")
+    one = retrieve.similar_pairs(v.where("paper_id % 3 = 0"), v, n=4, least=0.5)
+    blocks = retrieve.similar_pairs(v.where("paper_id % 3 = 0"), v, n=4, least=0.5, block=7)
+    plain = lambda df: sorted((r["source_id"], r["paper_id"], r["rank"], round(r["score"], 9)) for r in df.collect())
+    assert plain(one) == plain(blocks) and len(plain(one)) > 100
+
+
+def test_simple_sections_keep_what_is_skipped(spark):
+    df = spark.createDataFrame([(1, "first\nMethods\nwe did\n\nReferences\n[1] x\nmethods\nmore")], "paper_id long, text string")
+    assert {r["section"]: r["text"] for r in layout.simple_sections(df).collect()} == {"other": "first", "methods": "we did\nmore", "SKIP": "[1] x"}
+
+
+def test_node_labels(spark):
+    n = spark.createDataFrame([("a1", "Graph"), ("b1", None), ("c1", "")], "id string, label string")
+    ids = lambda t: sorted(r["id"] for r in graph.labelled(n, t).collect())
+    assert ids("GRA") == ["a1"] and ids("b") == ["b1"] and ids(" ") == ["a1", "b1", "c1"]
+
+
+def test_refined_names(spark):
+    names = spark.createDataFrame([(1, "GENE", "TP53", 4, 1), (1, "GENE", "Foo", 2, 2), (2, "GENE", "BRCA1", 1, 1)], "paper_id long, type string, name string, n long, rank int")
+    texts = spark.createDataFrame([(1, "one"), (2, "two")], "paper_id long, text string")
+
+    def refine(text, by_type):
+        if text == "two":
+            raise RuntimeError("no model")
+        return {"GENE": by_type["GENE"][:1], "DISEASE": ["flu"]}
+
+    assert sorted(tuple(r) for r in ner.refined(texts, names, refine).collect()) == [(1, "DISEASE", "flu", 1, 1), (1, "GENE", "TP53", 4, 1), (2, "GENE", "BRCA1", 1, 1)]
+
+
+def test_models():
+    said = []
+
+    def generate(prompt):
+        said.append(prompt)
+        if len(said) == 1:
+            raise TimeoutError
+        return "no json" if len(said) == 2 else 'so: ```json\n{"hypotheses": [], "meta_insights": {}}```'
+
+    model = synth.Model(generate, wait=0)
+    assert model.structured("p", ("hypotheses", "meta_insights")) == {"hypotheses": [], "meta_insights": {}} and len(said) == 3
+    with pytest.raises(ValueError, match="meta_insights"):
+        synth.checked({"hypotheses": []})
+    with pytest.raises(ValueError):
+        synth.Model(lambda p: "[]").structured("p")
+    with pytest.raises(ConnectionError):
+        synth.Model(lambda p: (_ for _ in ()).throw(ConnectionError()), wait=0)("p")
+
+
+def test_debate_rounds(spark):
+    h = spark.createDataFrame([(1, "h", 0.9)], "id long, hypothesis string, confidence double")
+    got = synth.debate(h, lambda agent, text, so_far: f"{agent} on {text} after {len(so_far)}", lambda t: {"consensus": "CONTESTED", "final_confidence": 0.4, "key_concerns": ["c"]}, 9).first()
+    assert len(got["transcript"]) == 3 + 3 * 4 + 1 and got["transcript"][3]["content"] == "domain_expert on h after 3" and got["consensus"] == "CONTESTED" and got["key_concerns"] == ["c"]
+    assert len(synth.debate(h).first()["transcript"]) == 4
+
+
+def test_extracted_names_are_those_of_plain_python(spark):
+    """The whole extraction against regular expressions that know all letters."""
+    import unicodedata
+
+    rng = random.Random(8)
+    words = ["TP53", "BRCA1-A", "été kinase", "Parkinson disease", "imatinib", "deep learning", "ImageNet", "Été", "COVID-19", "the", "of", "Foo-Bar", "protein receptor", "Graph framework", "ß-x", "IL2", "transformer", "cancer"]
+    rows = [(i, 0, " ".join(rng.choice(words) + rng.choice(["", "", ",", ".", "\n"]) for _ in range(60)), 0.9) for i in range(12)]
+    chunks = spark.createDataFrame(rows, "paper_id long, id long, content string, importance_score double")
+    got = sorted((r["paper_id"], r["type"], r["name"], r["n"], r["rank"]) for r in ner.extracted(chunks).collect())
+    cleaned = {r["paper_id"]: r["text"] for r in ner.texts(chunks).collect()}
+    blank = lambda x: " ".join(x.split())
+    valid = lambda x: 2 <= len(x) <= 80 and any(unicodedata.category(c)[0] == "L" for c in x) and any(w not in lx.ENTITY_BLACKLIST for w in x.lower().split(" "))
+    key = lambda x: re.sub(r"[\s\-_]", "", x.lower())
+    want = []
+    for pid, text in cleaned.items():
+        total, types = collections.Counter(), collections.defaultdict(set)
+        for kind, patterns in lx.NER_PATTERNS.items():
+            count, first = collections.Counter(), {}
+            for i, p in enumerate(patterns):
+                for k, m in enumerate(re.finditer(p, text)):
+                    name = blank(m[1])
+                    if valid(name):
+                        count[name] += 1
+                        first.setdefault(name, (i, k))
+            best = {}
+            for name in sorted(count, key=lambda x: (-count[x], len(x), first[x], x)):
+                best.setdefault(key(name), name)
+            for name in sorted(best.values(), key=lambda x: (-count[x], x.lower(), x))[: lx.NER_TOP]:
+                total[name] += count[name]
+                types[kind].add(name)
+        for p, kind in lx.PHRASES.items():
+            if n := text.lower().count(p):
+                name = lx.ACRONYM_PHRASES.get(p, " ".join(w.capitalize() for w in p.split()))
+                total[name] += n
+                types[kind].add(name)
+        for m in re.finditer(lx.CONCEPT, text):
+            if m[0] not in lx.CONCEPT_STOP and valid(m[0]):
+                total[m[0]] += 1
+                types["CONCEPT"].add(m[0])
+        for kind, names in types.items():
+            for rank, name in enumerate(sorted(names, key=lambda x: (-total[x], x.lower(), x))[: lx.TYPE_TOP], 1):
+                want.append((pid, kind, name, total[name], rank))
+    assert got == sorted(want)
