@@ -1,8 +1,9 @@
 """WARC archives: one gzip member per record, written and read back in a stream.
 
 Files are written through Spark's text sink, whose commit protocol makes retried tasks harmless and which writes to any
-store that Spark knows. Its line separator is one zero byte: the last byte of a member (the top of the length of less
-than 16 MiB) is zero and is left to the separator; after a longer member the zero is padding, which gzip readers skip.
+store that Spark knows. A file is one row, the members of some records in a row; it is closed at FILE_BYTES, so that neither
+side holds more than that and one record. The sink ends it with a zero byte: the last byte of a member (the top of the length
+of less than 16 MiB) is zero and is left to the sink; after a longer member the zero is padding, which gzip readers skip.
 """
 
 from __future__ import annotations
@@ -25,7 +26,8 @@ from quillmine.llm.common import hot_join, shared_path, stored
 REVISIT_BYTES = 1000
 DATE = "1970-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-RECORDS_PER_FILE = 2000
+#: An archive is closed at so many bytes.
+FILE_BYTES = 16 << 20
 
 
 def _digest(data: bytes) -> str:
@@ -132,35 +134,40 @@ def read_records(pieces: Iterable[bytes]) -> Iterator[Record]:
 def roles(pages: DataFrame) -> DataFrame:
     """page_id, url, html (null for revisits), size, sha1, refers_to. Of equal payloads of REVISIT_BYTES or more the one
     with the largest page_id stays, also where that row is repeated; rows without a page_id stay too."""
-    rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
+    rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), F.monotonically_increasing_id().alias("qm_u"))
     rows = rows.withColumn("size", F.octet_length("html").cast("long")).withColumn("sha1", F.sha1(F.col("html")))
     big = rows.where(F.col("size") >= REVISIT_BYTES)
     kept = big.groupBy("sha1").agg(F.max("page_id").alias("top"), F.count("*").alias("n")).where("n > 1")
     of = hot_join(stored(big.where("page_id is not null").select("page_id", "sha1"), "warc-ids"), kept.select("sha1", "top"), ["sha1"])
-    moved = of.where("page_id < top").select(F.col("page_id").alias("qm_id"), F.col("sha1").alias("qm_sha1"), F.col("top").alias("refers_to")).distinct()
-    on = (F.col("page_id") == F.col("qm_id")) & (F.col("sha1") == F.col("qm_sha1"))
-    return rows.join(moved, on, "left").select(
-        "page_id", "url", F.when(F.col("refers_to").isNull(), F.col("html")).alias("html"), "size", "sha1", "refers_to"
-    )
+    moved = of.where("page_id < top").groupBy("page_id", "sha1").agg(F.first("top").alias("refers_to"), F.count("*").alias("qm_n"))
+    # Rows of one page_id that repeat a payload differ in qm_u, so hot_join spreads them as well.
+    moved = stored(moved, "warc-moved")
+    joined = hot_join(rows, moved.drop("qm_n"), ["page_id", "sha1"], "left", counts=moved.select("page_id", "sha1", "qm_n"))
+    return joined.select("page_id", "url", F.when(F.col("refers_to").isNull(), F.col("html")).alias("html"), "size", "sha1", "refers_to")
 
 
 def write(pages: DataFrame, path: str) -> None:
     """Archives of all pages under path; pages as roles() takes them."""
 
+    def archive(members: list[bytes]) -> pa.RecordBatch:
+        whole = b"".join(members)
+        return pa.RecordBatch.from_arrays([pa.array([whole[:-1] if whole[-1] == 0 else whole], pa.binary())], ["archive"])
+
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        members, held = [], 0
         for b in batches:
             for i in range(0, b.num_rows, 64):
-                rows = b.slice(i, 64).to_pylist()
-                made = [
-                    record(r["page_id"], r["url"], None if r["html"] is None else r["html"].encode(), r["size"], r["sha1"], r["refers_to"])
-                    for r in rows
-                ]
-                yield pa.RecordBatch.from_arrays([pa.array([m[:-1] if m[-1] == 0 else m for m in made], pa.binary())], ["member"])
+                for r in b.slice(i, 64).to_pylist():
+                    members.append(record(r["page_id"], r["url"], None if r["html"] is None else r["html"].encode(), r["size"], r["sha1"], r["refers_to"]))
+                    held += len(members[-1])
+                    if held >= FILE_BYTES:
+                        yield archive(members)
+                        members, held = [], 0
+        if members:
+            yield archive(members)
 
-    packed = roles(pages).mapInArrow(pack, "member binary")
-    packed.select(F.col("member").cast("string").alias("value")).write.option("lineSep", "\0").option(
-        "maxRecordsPerFile", RECORDS_PER_FILE
-    ).mode("error").text(path)
+    packed = roles(pages).mapInArrow(pack, "archive binary")
+    packed.select(F.col("archive").cast("string").alias("value")).write.option("lineSep", "\0").option("maxRecordsPerFile", 1).mode("error").text(path)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
@@ -193,8 +200,9 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 def roundtrip(pages: DataFrame) -> DataFrame:
     """Per row: page_id, payload_bytes, payload_digest, record_type, refers_to, as read back from archives written here.
 
-    Null html is an empty payload, a null url leaves the record without a target. Repeated rows give a record each. An
-    empty table gives no row; other columns are ignored.
+    Null html is an empty payload, a null url leaves the record without a target. Rows without a page_id are responses.
+    Repeated rows give a record each; of equal payloads all rows of the largest page_id are responses. An empty table gives no
+    row; other columns are ignored.
     """
     path = shared_path(pages.sparkSession, "warc")
     write(pages, path)
