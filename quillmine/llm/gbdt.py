@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, LongType, StructField, StructType
 
-from quillmine.llm.common import stored
-from quillmine.llm.words import BYTE, chunks, counts_in, mixed, spans_digest, words
+from quillmine.llm.common import least_hashed, stored
+from quillmine.llm.words import BYTE, chunks, counts_in, mixed, runs_digest, spans_digest, words
 
 #: Counts per document, in the order of the columns.
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_distinct", "n_lines", "n_upper", "n_digits", "n_marks", "n_chars")
@@ -72,9 +72,9 @@ def statistics(texts: pa.Array) -> np.ndarray:
     ends[last] = w.at[1:][doc_of_line[last]]
     has = np.searchsorted(w.start, ends) > np.searchsorted(w.start, starts)
     letters = BYTE[data]
-    lines, line_doc = spans_digest(letters, starts[has], ends[has]), doc_of_line[has]
+    lines, line_doc = runs_digest(letters, starts[has], ends[has]), doc_of_line[has]
     out[:, 3] = np.bincount(line_doc, minlength=n) - _distinct(lines, line_doc, n)
-    each = spans_digest(letters, w.start, w.end)
+    each = w.digests()
     out[:, 5] = _distinct(each, w.doc, n)
     if len(each) >= 5:
         five = np.arange(len(each) - 4)
@@ -227,7 +227,7 @@ def _columns(nodes: list[list]) -> list[np.ndarray]:
 
 
 def counted(docs: DataFrame) -> DataFrame:
-    """docs with a column qm_c: array of COUNTS; null texts are empty."""
+    """docs (doc_id, text) with a column qm_c: array of COUNTS; null texts are empty."""
     columns = docs.columns
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -245,9 +245,7 @@ def counted(docs: DataFrame) -> DataFrame:
 def fitted(counts: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Forest:
     """A forest for the labels' quality. Of the labelled documents those with the smallest hashes are taken, rows at most."""
     of = labels.where("quality is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    got = (
-        counts.select("doc_id", "qm_c").join(of, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("qm_c")).limit(rows).collect()
-    )
+    got = least_hashed(stored(counts.select("doc_id", "qm_c").join(of, "doc_id"), "quality-labelled"), rows).collect()
     c = np.array([r["qm_c"] for r in got], dtype=np.int64).reshape(-1, len(COUNTS))
     return fit(features(c), np.array([float(r["quality"] > 0) for r in got]))
 
@@ -280,19 +278,21 @@ def quality(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Dat
 
 
 def good_documents(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
-    """The rows of docs that quality() keeps, same columns; the texts don't move."""
-    columns = docs.columns
+    """The rows of docs that quality() keeps, same columns; the texts don't move.
+
+    Null and empty texts have no word and go. Repeated rows share their fate. Without labels of both qualities the base rules
+    alone decide. An empty table gives an empty one; other columns, whatever their names, are passed on.
+    """
     counts = stored(counted(docs.select("doc_id", "text")).select("doc_id", "qm_c"), "quality-counts")
     forest = fitted(counts, labels, fit_rows)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("qm_row"), F.coalesce("text", F.lit("")).alias("qm_text"))
 
     def passing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = b.column(b.num_columns - 1)
-            for i, k in chunks(texts):
-                c = statistics(texts.slice(i, k))
+            for i, k in chunks(b.column(1)):
+                c = statistics(b.column(1).slice(i, k))
                 keep = forest.keeps(c) & (c[:, 0] >= 10) & (100 * c[:, 4] <= 20 * c[:, 0])
-                part = b.slice(i, k).filter(pa.array(keep))
-                yield pa.RecordBatch.from_arrays(part.columns[:-1], part.schema.names[:-1])
+                yield b.slice(i, k).filter(pa.array(keep)).select(["qm_row"])
 
-    rows = docs.withColumn("qm_text", F.coalesce("text", F.lit("")))
-    return rows.mapInArrow(passing, docs.schema).select(*[F.col(f"`{c}`") for c in columns])
+    kept = rows.mapInArrow(passing, StructType([rows.schema["qm_row"]]))
+    return kept.select(*[F.col("qm_row")[c].alias(c) for c in docs.columns])

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmine.llm.common import stored
+from quillmine.llm.common import least_hashed, stored
 from quillmine.llm.words import Words, chunks, mixed, spans_digest, words
 
 BITS = 16
@@ -88,7 +88,7 @@ def resample(docs: DataFrame, labels: DataFrame, keep: float | None = None, seed
     told = label.agg(F.count("*").alias("n"), F.sum((F.col("quality") > 0).cast("long")).alias("good")).first()
     share = keep if keep is not None else (told["good"] / told["n"] if told["n"] else 1.0)
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    target = label.where("quality > 0").orderBy(F.xxhash64("doc_id"), "doc_id").limit(target_rows).select("doc_id", F.lit(1).alias("target"))
+    target = least_hashed(label.where("quality > 0"), target_rows).select("doc_id", F.lit(1).alias("target"))
     raw, good = _counts(rows.join(F.broadcast(target), "doc_id", "left").select("text", F.coalesce("target", F.lit(0)).alias("target")))
     ratio = np.log((good + 1) / (good.sum() + len(good))) - np.log((raw + 1) / (raw.sum() + len(raw)))
     if not good.any():
