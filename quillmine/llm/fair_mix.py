@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quillmine.llm.common import WORD, partitions, range_bounds, range_bucket, running_total, stored
 
 #: Rows of one source that one task sorts, about.
-BUCKET_ROWS = 1_000
+BUCKET_ROWS = 250
 
 
 def source_targets(sized: DataFrame, weights=(5, 2, 1), max_repeats: int = 3, budget: float = 1.0) -> DataFrame:
@@ -55,25 +55,32 @@ def fair_mix(
     finish time is the source's words up to its end, divided by the source's target. All entries, ranged by finish time
     over the cluster, are taken in this order as long as the total budget lasts.
 
-    Null and empty texts, and texts without a word, have size 0 and taken 0. A null source is a source of its own, null
-    doc_ids share one hash. Repeated rows each count. An empty table gives no row; other columns are ignored.
+    Null and empty texts, and texts without a word, have size 0 and taken 0. A null source is a source of its own. Rows
+    without a doc_id are shuffled by their texts. Repeated rows each count. An empty table gives no row; other columns are
+    ignored.
     """
-    spark = docs.sparkSession
-    sized = stored(
-        docs.select(
-            F.col("doc_id"),
-            F.col("source"),
-            F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(WORD)).cast("long").alias("size"),
-        ),
-        "mix-sizes",
+    text = F.coalesce(F.col("text"), F.lit(""))
+    sized = docs.select(
+        "doc_id",
+        "source",
+        F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"),
+        F.when(F.col("doc_id").isNull(), F.md5(text)).alias("qm_text"),
     )
+    return _mixed(sized, [], weights, max_repeats, budget, seed).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def _mixed(sized: DataFrame, rows_by: list[str], weights, max_repeats: int, budget: float, seed: str) -> DataFrame:
+    """doc_id, source, size, qm_text and the columns rows_by, which tell rows of equal doc_id and size apart, and the mix of them:
+    source_size, target, taken. qm_text is a digest of the text where doc_id is null."""
+    spark = sized.sparkSession
+    sized = stored(sized, "mix-sizes")
     n = sized.count()
-    key = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
+    key = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.col("qm_text"))))
     per_source = max(1, min(65536, n // BUCKET_ROWS))
     targets = source_targets(sized, weights, max_repeats, budget)
     named = sized.withColumn("qm_src", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n"))).withColumn("qm_key", key)
     named = named.withColumn("qm_b", F.floor(F.conv(F.substring("qm_key", 1, 4), 16, 10).cast("long") * per_source / 65536))
-    queued = running_total(named, ["qm_src"], "qm_b", ["qm_key", "doc_id", "size"], "size", "qm_cum")
+    queued = running_total(named, ["qm_src"], "qm_b", ["qm_key", "doc_id", "size", *rows_by], "size", "qm_cum")
     keyed = targets.select(
         F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")).alias("qm_src"), "source_size", "target", "budget"
     )
@@ -93,29 +100,39 @@ def fair_mix(
         .agg(F.count("*").alias("qm_times"))
     )
     on = ["qm_src", "qm_key", "qm_cum", "size"]
-    return rows.join(taken, on, "left").select(
-        "doc_id",
-        "size",
-        "source_size",
-        "target",
-        (F.col("size") * F.coalesce(F.col("qm_times"), F.lit(0))).alias("taken"),
-    )
+    times = F.coalesce(F.col("qm_times"), F.lit(0))
+    return rows.join(taken, on, "left").select("doc_id", "size", *rows_by, "source_size", "target", (F.col("size") * times).alias("taken"), times.alias("qm_times"))
+
 
+def mixed_documents(docs: DataFrame, weights=(5, 2, 1), max_repeats: int = 3, budget: float = 1.0, seed: str = "mix") -> DataFrame:
+    """The rows of docs, each repeated as often as the mix takes it; same columns.
 
-def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs, each repeated as often as the mix takes it; same columns. Rows are matched by doc_id."""
-    taken = fair_mix(docs, **options).where("taken > 0").groupBy("doc_id").agg(
-        F.max(F.col("taken") / F.col("size")).cast("int").alias("qm_times")
+    Null and empty texts, and texts without a word, are not taken. A null source is a source of its own. Each row is taken by
+    its own turn in the queue, also where rows share a doc_id or have none; of rows equal in all columns, one stands for the
+    turns of all. An empty table gives an empty one; other columns, whatever their names, are passed on.
+    """
+    text = F.coalesce(F.col("text"), F.lit(""))
+    all_columns = [F.col(f"`{c}`") for c in docs.columns]
+    rows = docs.select(F.struct(*all_columns).alias("qm_row"), F.xxhash64(*all_columns).alias("qm_h1"), F.xxhash64(F.lit(seed), *all_columns).alias("qm_h2"))
+    sized = docs.select(
+        "doc_id",
+        "source",
+        F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"),
+        F.when(F.col("doc_id").isNull(), F.md5(text)).alias("qm_text"),
+        F.xxhash64(*all_columns).alias("qm_h1"),
+        F.xxhash64(F.lit(seed), *all_columns).alias("qm_h2"),
     )
-    columns = docs.columns
-    joined = docs.join(taken.withColumnRenamed("doc_id", "qm_id").hint("merge"), F.col("doc_id").eqNullSafe(F.col("qm_id")))
-    return joined.withColumn("qm_n", F.explode(F.sequence(F.lit(1), F.col("qm_times")))).select(*[F.col(f"`{c}`") for c in columns])
+    taken = _mixed(sized, ["qm_h1", "qm_h2"], weights, max_repeats, budget, seed).where("taken > 0")
+    turns = taken.groupBy("qm_h1", "qm_h2").agg(F.sum("qm_times").cast("int").alias("qm_n"))
+    one = rows.join(turns.hint("merge"), ["qm_h1", "qm_h2"]).dropDuplicates(["qm_h1", "qm_h2"])
+    return one.withColumn("qm_turn", F.explode(F.sequence(F.lit(1), F.col("qm_n")))).select(*[F.col("qm_row")[c].alias(c) for c in docs.columns])
 
 
 #: The same mix in DuckDB's SQL.
 ORACLE = r"""
 WITH sized AS (
-  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+         CASE WHEN doc_id IS NULL THEN md5(coalesce(text, '')) END AS h FROM documents
 ), src AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source
 ), ranked AS (
@@ -132,7 +149,7 @@ levels AS (
   SELECT source, source_size, b, CASE WHEN capped THEN CAST(cap AS DOUBLE)
          ELSE CAST(b - spent AS DOUBLE) * w / CAST(nullif(open_w, 0) AS DOUBLE) END AS target FROM levels
 ), keyed AS (
-  SELECT *, md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS k FROM sized
+  SELECT *, md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), h)) AS k FROM sized
 ), queued AS (
   SELECT q.*, t.source_size, t.target, t.b,
          CAST(sum(q.size) OVER (PARTITION BY q.source ORDER BY k, doc_id, size ROWS UNBOUNDED PRECEDING) AS BIGINT) AS cum
