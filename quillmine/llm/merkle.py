@@ -10,13 +10,18 @@ from quillmine.llm.common import partitions, range_bounds, range_bucket
 #: A leaf: up to four words with the white space around them.
 LEAF = r"[\x20\x09-\x0D]*(?:[^\x20\x09-\x0D]+[\x20\x09-\x0D]*){1,4}|[\x20\x09-\x0D]+"
 
+#: Hexadecimal digits of a leaf's digest in a fingerprint, and of a paragraph's and section's. With 48 bits two unrelated texts
+#: of a million words have a common leaf by chance once in five thousand times.
+LEAF_DIGITS, NODE_DIGITS = 12, 16
+
 
 def with_fingerprint(df: DataFrame, text: str, out: str) -> DataFrame:
     """Adds the column out: root|sections|paragraphs|leaves.
 
     Sections are parted by an empty line, paragraphs by a line end, leaves hold four words. A leaf's digest is MD5 of its
-    text, a paragraph's, section's and the root's SHA-256 of its children's digests. The string has the whole root, eight
-    digits and the number of children of each section and paragraph, six digits of each leaf. Null counts as empty.
+    text, a paragraph's, section's and the root's SHA-256 of its children's digests. The string has the whole root,
+    NODE_DIGITS digits and the number of children of each section and paragraph, LEAF_DIGITS digits of each leaf. Null counts
+    as empty.
     """
     tree = F.transform(
         F.split(F.coalesce(F.col(text), F.lit("")), "\n\n", -1),
@@ -27,7 +32,7 @@ def with_fingerprint(df: DataFrame, text: str, out: str) -> DataFrame:
     df = df.withColumn(t, tree)
     df = df.withColumn(p, F.transform(t, lambda s: F.transform(s, digest)))
     df = df.withColumn(s, F.transform(p, digest))
-    short = lambda d, n: F.concat(F.substring(d, 1, 8), F.lit(":"), n.cast("string"))
+    short = lambda d, n: F.concat(F.substring(d, 1, NODE_DIGITS), F.lit(":"), n.cast("string"))
     return df.withColumn(
         out,
         F.concat_ws(
@@ -35,7 +40,7 @@ def with_fingerprint(df: DataFrame, text: str, out: str) -> DataFrame:
             digest(F.col(s)),
             F.array_join(F.zip_with(s, p, lambda d, c: short(d, F.size(c))), " "),
             F.array_join(F.zip_with(F.flatten(p), F.flatten(t), lambda d, c: short(d, F.size(c))), " "),
-            F.array_join(F.transform(F.flatten(F.flatten(t)), lambda d: F.substring(d, 1, 6)), " "),
+            F.array_join(F.transform(F.flatten(F.flatten(t)), lambda d: F.substring(d, 1, LEAF_DIGITS)), " "),
         ),
     ).drop(t, p, s)
 
@@ -62,6 +67,23 @@ def differing(a: Column, b: Column, level: str = "paragraphs") -> Column:
     )
 
 
+def edited_paragraphs(a: str, b: str) -> Column:
+    """Positions, from 0 and joined by commas, of the paragraphs of a that b doesn't have, found from the root down: nowhere if the
+    roots are equal, else only below sections whose digest stands nowhere in b. a and b name columns of fingerprints."""
+    part = lambda c, i: _part(F.col(c), i)
+    sections, paragraphs = part(a, 2), part(a, 3)
+    new = lambda i: F.array_except(part(a, i), part(b, i))
+    # Each section's numbers of its first and last paragraph come from the numbers of children before it.
+    below = F.flatten(F.transform(sections, lambda s: F.array_repeat(s, F.split_part(s, F.lit(":"), F.lit(2)).cast("int"))))
+    both = lambda sec, par: F.zip_with(
+        below, paragraphs, lambda s, p: F.array_contains(sec, s) & F.array_contains(par, p)
+    )
+    flags = F.get(F.transform(F.array(F.struct(new(2).alias("s"), new(3).alias("p"))), lambda x: both(x["s"], x["p"])), F.lit(0))
+    at = F.filter(F.transform(flags, lambda f, k: F.when(f, k).otherwise(-1)), lambda k: k >= 0)
+    same = F.split_part(F.col(a), F.lit("|"), F.lit(1)) == F.split_part(F.col(b), F.lit("|"), F.lit(1))
+    return F.when(same, "").otherwise(F.array_join(F.transform(at, lambda k: k.cast("string")), ","))
+
+
 def beside_next(docs: DataFrame) -> DataFrame:
     """doc_id, text (null: empty), qm_b and own: every row once with own 1, in the range qm_b of its doc_id.
 
@@ -85,11 +107,12 @@ def beside_next(docs: DataFrame) -> DataFrame:
 
 
 def fingerprint_edits(docs: DataFrame) -> DataFrame:
-    """Per row: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
+    """Per row: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, edited_paragraphs.
 
     The edited text has its last floor(n_chars/3) code points replaced by the first as many (or all) of the next text by
     descending doc_id. Null texts are empty; an empty text is edited to itself, and two empty texts have likeness 1. A
-    lone row is its own next. An empty table gives no row; other columns are ignored.
+    lone row is its own next. edited_paragraphs has the positions of the edited text's paragraphs that the text doesn't have, found
+    by descending from unequal nodes. Rows that share a doc_id, or have none, are ordered by text. An empty table gives no row; other columns are ignored.
     """
     near = Window.partitionBy("qm_b").orderBy("own", F.col("doc_id").asc_nulls_first(), "text")
     rows = beside_next(docs).withColumn("qm_next", F.lag("text").over(near))
@@ -116,6 +139,7 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
         "edited_fingerprint",
         likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
         likeness(F.col("fingerprint"), F.col("qm_next_fp")).alias("near_next"),
+        edited_paragraphs("edited_fingerprint", "fingerprint").alias("edited_paragraphs"),
     )
 
 
@@ -130,16 +154,21 @@ t AS (SELECT i, k, list_transform(string_split(t, chr(10) || chr(10)), lambda s:
       list_transform(regexp_extract_all(p, '@leaf'), lambda l: md5(l)))) AS t FROM x),
 p AS (SELECT *, list_transform(t, lambda s: list_transform(s, lambda p: sha256(coalesce(array_to_string(p, ''), '')))) AS p FROM t),
 s AS (SELECT *, list_transform(p, lambda x: sha256(array_to_string(x, ''))) AS s FROM p),
-f AS (SELECT i, k, sha256(array_to_string(s, '')) AS root, list_distinct(list_transform(flatten(flatten(t)), lambda l: l[1:6])) AS leaves,
-      sha256(array_to_string(s, '')) || '|' || array_to_string(list_transform(list_zip(s, p), lambda z: z[1][1:8] || ':' || len(z[2])), ' ') || '|'
-      || array_to_string(list_transform(list_zip(flatten(p), flatten(t)), lambda z: z[1][1:8] || ':' || len(z[2])), ' ') || '|'
-      || coalesce(array_to_string(list_transform(flatten(flatten(t)), lambda l: l[1:6]), ' '), '') AS fp FROM s),
+f AS (SELECT i, k, sha256(array_to_string(s, '')) AS root, list_distinct(list_transform(flatten(flatten(t)), lambda l: l[1:@leafdigits])) AS leaves,
+      sha256(array_to_string(s, '')) || '|' || array_to_string(list_transform(list_zip(s, p), lambda z: z[1][1:@nodedigits] || ':' || len(z[2])), ' ') || '|'
+      || array_to_string(list_transform(list_zip(flatten(p), flatten(t)), lambda z: z[1][1:@nodedigits] || ':' || len(z[2])), ' ') || '|'
+      || coalesce(array_to_string(list_transform(flatten(flatten(t)), lambda l: l[1:@leafdigits]), ' '), '') AS fp,
+      list_transform(list_zip(s, p), lambda z: z[1][1:@nodedigits] || ':' || len(z[2])) AS ss,
+      flatten(list_transform(list_zip(s, p), lambda z: list_transform(z[2], lambda x: z[1][1:@nodedigits] || ':' || len(z[2])))) AS below,
+      list_transform(list_zip(flatten(p), flatten(t)), lambda z: z[1][1:@nodedigits] || ':' || len(z[2])) AS ps FROM s),
 j AS (SELECT e.doc_id, e.n_chars, sha256(e.edited) AS edited_sha256, a.fp AS fingerprint, b.fp AS edited_fingerprint, a.root AS ra, b.root AS rb, c.root AS rc,
+      array_to_string(list_filter(list_transform(list_zip(b.below, b.ps), lambda z, k: CASE WHEN NOT list_contains(a.ss, z[1]) AND NOT list_contains(a.ps, z[2]) THEN k - 1 END), lambda k: k IS NOT NULL), ',') AS places,
       len(list_intersect(a.leaves, b.leaves)) AS ib, len(list_intersect(a.leaves, c.leaves)) AS ic, CAST(len(a.leaves) + len(b.leaves) AS DOUBLE) AS tb, CAST(len(a.leaves) + len(c.leaves) AS DOUBLE) AS tc
       FROM e JOIN f a ON a.i = e.i AND a.k = 0 JOIN f b ON b.i = e.i AND b.k = 1
       JOIN f c ON c.k = 0 AND c.i = CASE WHEN e.i = 1 THEN (SELECT max(i) FROM e) ELSE e.i - 1 END)
 SELECT doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint,
        CASE WHEN ra = rb THEN 1e0 ELSE least(coalesce(2e0 * ib / nullif(tb, 0e0), 0e0), 1 - 1 / (1 + tb)) END AS near_edited,
-       CASE WHEN ra = rc THEN 1e0 ELSE least(coalesce(2e0 * ic / nullif(tc, 0e0), 0e0), 1 - 1 / (1 + tc)) END AS near_next
+       CASE WHEN ra = rc THEN 1e0 ELSE least(coalesce(2e0 * ic / nullif(tc, 0e0), 0e0), 1 - 1 / (1 + tc)) END AS near_next,
+       CASE WHEN ra = rb THEN '' ELSE coalesce(places, '') END AS edited_paragraphs
 FROM j
-""".replace("@leaf", LEAF)
+""".replace("@leafdigits", str(LEAF_DIGITS)).replace("@nodedigits", str(NODE_DIGITS)).replace("@leaf", LEAF)
