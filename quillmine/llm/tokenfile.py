@@ -19,15 +19,22 @@ from pyspark.sql import functions as F
 
 from quillmine.llm.common import partitions, running_total, shared_path, stored
 from quillmine.llm.rangecoder import decode_segment, encode_segment
-from quillmine.llm.words import BYTE, SPACE, chunks, raw, spans_digest
+from quillmine.llm.words import SPACE, bytes_digest, chunks, ranges, raw
 
 MAGIC = b"QMT1"
 END_ID = 0
 #: A segment is closed at so many ids.
-SEGMENT_IDS = 2048 * 4096
-#: Chunks whose ids a worker remembers.
-REMEMBERED = 1_500_000
-TEXT_BYTES = 4 << 20
+SEGMENT_IDS = 4096 * 2048
+#: Slots of the chunks that a worker remembers, twice, at first and at most, and ids that it keeps for them before it begins anew.
+FEW_BITS, SLOT_BITS = 15, 21
+REMEMBERED = 24_000_000
+TEXT_BYTES = 1 << 20
+RANGE_CHARACTERS = 64
+U64 = np.uint64
+#: New chunks that the library encodes as one text.
+ROW = 200
+#: Bytes that a space before them joins in every byte-level pre-tokenizer: no white space, nor the head of a wider one.
+VISIBLE = ~SPACE & (np.arange(256) > 0x20) & ~np.isin(np.arange(256), [0x7F, 0xC2, 0xE1, 0xE2, 0xE3])
 
 _coders: dict[str, "ChunkEncoder"] = {}
 
@@ -36,32 +43,90 @@ class ChunkEncoder:
     """Encodes texts by the tokenizers library, each distinct chunk once.
 
     Texts are cut before single spaces with a visible character after them. Byte-level pre-tokenizers always cut there
-    too, so the chunks' ids in a row are the text's ids. Ids of chunks are remembered by 64-bit digest.
+    too, so the chunks' ids in a row are the text's ids. Ids of chunks are remembered by 64-bit digest. New chunks that
+    begin with such a space go to the library in rows, which are cut again where their ids' bytes add up to a chunk's.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        if hasattr(self.tokenizer.model, "_resize_cache"):
+            self.tokenizer.model._resize_cache(0)  # only new chunks come to the library, so its own cache finds nothing
+        added = {i: len(t.content.encode()) for i, t in self.tokenizer.get_added_tokens_decoder().items()}
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        #: Bytes that each id stands for; byte-level pieces have a character per byte.
+        self.width = np.zeros(max(vocabulary.values(), default=0) + 1, dtype=np.int64)
+        for piece, i in vocabulary.items():
+            self.width[i] = added.get(i, len(piece))
         self.forget()
 
     def forget(self) -> None:
-        self.keys = np.zeros(0, dtype=np.uint64)
-        self.offs = np.zeros(1, dtype=np.int64)
         self.flat = np.zeros(0, dtype=np.uint16)
+        self._room(FEW_BITS)
+
+    def _room(self, bits: int) -> None:
+        self.bits, self.held = bits, 0
+        self.keys = np.zeros(2 << bits, dtype=np.uint64)  # 0 where a slot is free
+        self.offs = np.zeros(2 << bits, dtype=np.uint32)
+        self.lens = np.zeros(2 << bits, dtype=np.uint16)
+
+    def _places(self, digest: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The two slots that a chunk's ids may be remembered in."""
+        return (digest >> U64(64 - self.bits)).astype(np.int64), (digest & U64((1 << self.bits) - 1)).astype(np.int64) + (1 << self.bits)
+
+    def _find(self, digest: np.ndarray) -> np.ndarray:
+        """The slot of each chunk, -1 if it isn't remembered."""
+        one, two = self._places(digest)
+        at = np.where(self.keys[one] == digest, one, -1)
+        miss = np.flatnonzero(at < 0)
+        other = two[miss]
+        at[miss] = np.where(self.keys[other] == digest[miss], other, -1)
+        return at
+
+    def _remember(self, digest: np.ndarray, offs: np.ndarray, lens: np.ndarray) -> None:
+        """Puts distinct chunks to the first of their slots that is free, else to the second, whatever was there. The slots are
+        four times as many once half of them may be taken, up to SLOT_BITS."""
+        self.held += len(digest)
+        if self.held > 1 << self.bits and self.bits < SLOT_BITS:
+            live = np.flatnonzero(self.keys)
+            had = self.keys[live], self.offs[live], self.lens[live]
+            self._room(min(SLOT_BITS, self.bits + 2))
+            self._remember(*had)
+            self.held += len(digest)
+        one, two = self._places(digest)
+        slot = np.where(self.keys[one] == 0, one, two)
+        fits = lens < 1 << 16
+        slot = slot[fits]
+        self.keys[slot], self.offs[slot], self.lens[slot] = digest[fits], offs[fits], lens[fits]
 
     def _cuts(self, data: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Where chunks begin: at texts, and at spaces that the next character takes along."""
-        visible = ~SPACE & (np.arange(256) > 0x20) & ~np.isin(np.arange(256), [0x7F, 0xC2, 0xE1, 0xE2, 0xE3])
         cut = np.zeros(len(data) + 1, dtype=bool)
         if len(data) > 1:
-            cut[:-2] = (data[:-1] == 0x20) & visible[data[1:]]
+            cut[:-2] = (data[:-1] == 0x20) & VISIBLE[data[1:]]
         # A space that ends a text takes nothing along.
         inner = at[(at > 0) & (at <= len(data))] - 1
         cut[inner] = False
         cut[at] = True
         return np.flatnonzero(cut[:-1])
 
+    def _ids(self, strings: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of the chunks in a row, number of each)."""
+        rows = [b"".join(strings[i : i + ROW]) for i in range(0, len(strings), ROW)]
+        got = self._encoded(rows)
+        flat = np.concatenate([np.array(x, dtype=np.int64) for x in got]) if got else np.zeros(0, np.int64)
+        ends = np.cumsum(np.fromiter(map(len, strings), dtype=np.int64, count=len(strings)))
+        reach = np.cumsum(self.width[flat])
+        stop = np.searchsorted(reach, ends)
+        if len(flat) and stop.max() < len(flat) and (reach[stop] == ends).all():
+            return flat, np.diff(stop + 1, prepend=0)
+        got = self._encoded(strings)
+        return np.fromiter((i for x in got for i in x), dtype=np.int64), np.fromiter(map(len, got), dtype=np.int64, count=len(got))
+
+    def _encoded(self, strings: list[bytes]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast([x.decode() for x in strings], add_special_tokens=False)]
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in a row, number of ids of each text)."""
         data, at = raw(texts)
@@ -69,46 +134,41 @@ class ChunkEncoder:
             return np.zeros(0, np.uint16), np.zeros(len(texts), np.int64)
         starts = self._cuts(data, at)
         ends = np.append(starts[1:], len(data))
-        digest = spans_digest(BYTE[data], starts, ends)
-        distinct, first, which = np.unique(digest, return_index=True, return_inverse=True)
-        have = np.searchsorted(self.keys, distinct)
-        known = np.zeros(len(distinct), dtype=bool)
-        known[have < len(self.keys)] = self.keys[have[have < len(self.keys)]] == distinct[have < len(self.keys)]
-        fresh = np.flatnonzero(~known)
-        whole = data.tobytes()
-        strings = [whole[a:b].decode() for a, b in zip(starts[first[fresh]].tolist(), ends[first[fresh]].tolist(), strict=True)]
-        got = [e.ids for e in self.tokenizer.encode_batch_fast(strings, add_special_tokens=False)]
-        new_lens = np.fromiter(map(len, got), dtype=np.int64, count=len(got))
-        new_flat = np.fromiter((i for x in got for i in x), dtype=np.int64, count=int(new_lens.sum()))
-        if len(new_flat) and new_flat.max() > 0xFFFF:
-            raise ValueError("ids of 65536 and more don't fit this format")
-        # Ids of this run's distinct chunks, known and fresh, then of its chunks in their order.
-        flat = np.concatenate((self.flat, new_flat.astype(np.uint16)))
-        offs = np.concatenate((self.offs, self.offs[-1] + np.cumsum(new_lens)))
-        place = np.where(known, have, 0)
-        place[fresh] = len(self.keys) + np.arange(len(fresh))
-        chunk = place[which]
-        lens = offs[chunk + 1] - offs[chunk]
-        ids = flat[_ranges(offs[chunk], lens)]
+        digest = bytes_digest(data, starts, ends)
+        digest[digest == 0] = 1
+        slot = self._find(digest)
+        new = np.flatnonzero(slot < 0)
+        flat, offs, lens = self.flat, self.offs[slot].astype(np.int64), self.lens[slot].astype(np.int64)
+        if len(new):
+            distinct, first, which = np.unique(digest[new], return_index=True, return_inverse=True)
+            first = new[first]
+            at_, to = starts[first], ends[first]
+            whole = data.tobytes()
+            # Chunks that don't begin with a space and a visible character (texts' heads) go by themselves.
+            led = (to - at_ > 1) & (data[at_] == 0x20) & VISIBLE[data[np.minimum(at_ + 1, len(data) - 1)]]
+            order = np.concatenate((np.flatnonzero(led), np.flatnonzero(~led)))
+            pieces = [whole[a:b] for a, b in zip(at_[order].tolist(), to[order].tolist(), strict=True)]
+            n_led = int(led.sum())
+            rows, n_rows = self._ids(pieces[:n_led])
+            alone = self._encoded(pieces[n_led:])
+            new_lens = np.concatenate((n_rows, np.fromiter(map(len, alone), dtype=np.int64, count=len(alone))))
+            new_flat = np.concatenate((rows, np.fromiter((i for x in alone for i in x), dtype=np.int64)))
+            if len(new_flat) and new_flat.max() > 0xFFFF:
+                raise ValueError("ids of 65536 and more don't fit this format")
+            new_offs = len(flat) + np.cumsum(new_lens) - new_lens
+            back = np.empty(len(order), dtype=np.int64)
+            back[order] = np.arange(len(order))
+            offs[new], lens[new] = new_offs[back][which], new_lens[back][which]
+            self.flat = flat = np.concatenate((flat, new_flat.astype(np.uint16)))
+            self._remember(distinct[order], new_offs, new_lens)
+        ids = flat[ranges(offs, lens)]
         per_text = np.add.reduceat(np.append(lens, 0), np.append(np.searchsorted(starts, at[:-1]), len(lens)))[:-1]
         per_text[np.diff(at) == 0] = 0
-        keys = np.concatenate((self.keys, distinct[fresh]))
-        if len(keys) > REMEMBERED:
+        if len(self.flat) > REMEMBERED:
             self.forget()
-        else:
-            order = np.argsort(keys, kind="stable")
-            n = offs[order + 1] - offs[order]
-            self.keys, self.flat = keys[order], flat[_ranges(offs[order], n)]
-            self.offs = np.concatenate(([0], np.cumsum(n)))
         return ids, per_text
 
 
-def _ranges(starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
-    """start, start + 1, ... of each range, one after another."""
-    ends = np.cumsum(lens)
-    return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(starts - (ends - lens), lens)
-
-
 def _coder(path: str) -> ChunkEncoder:
     if path not in _coders:
         _coders[path] = ChunkEncoder(path)
@@ -172,7 +232,9 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID) -> N
             yield segment()
 
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    ordered = rows.repartitionByRange(partitions(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id", "text")
+    # Rows that share a doc_id are in several ranges by how their texts begin.
+    ranged = rows.repartitionByRange(partitions(docs.sparkSession), F.col("doc_id"), F.substring("text", 1, RANGE_CHARACTERS))
+    ordered = ranged.sortWithinPartitions("doc_id", "text")
     packed = ordered.withColumn("part", F.spark_partition_id()).mapInArrow(pack, "segment binary")
     packed.select(F.col("segment").cast("string").alias("value")).write.option("compression", "none").mode("error").text(path)
 
