@@ -1,7 +1,9 @@
 """Each training-data operator against plain Python, on rows that are as odd as they may be."""
 
 import collections
+import functools
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -481,3 +483,388 @@ def test_keys_inside_longer_runs_are_tested(spark):
     assert (key, "base64url") in cut[1]
     assert cut[2] == [("GQ7XK2MVLA5ZRNWB3TYJHCPD6EUSFIOK", "base32")] and cut[3] == [("KZQWVXJMTRHBGYPLDNCFSEAUOIKWQZXV", "base32")]
     assert ("/Zq3vT9xLw2Kp7RmB5nYc8JdH4sGf", "base64") in cut[4] and cut[5] == [("83920174650291837465", "hex")]
+
+
+def twins():
+    """Two words of 1024 letters that every polynomial digest modulo 2**64 with an odd base takes for one."""
+    a = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
+    return a, a.translate(str.maketrans("ab", "ba"))
+
+
+def test_patterned_texts_have_unlike_digests():
+    from quillmine.llm.words import BASE, bytes_digest, runs_digest, words
+
+    a, b = twins()
+    for base in (BASE, neardup.BASE2):
+        d = words(pa.array([a, b])).digests(base)
+        assert d[0] != d[1]
+        of = np.array([1 + (c == "b") for c in a + b], dtype=np.uint64)
+        r = runs_digest(of, np.array([0, 1024]), np.array([1024, 2048]), base)
+        assert r[0] != r[1]
+    # Equal spans have equal digests wherever they stand, whatever stands around them.
+    data = np.frombuffer(b"xab  abab\n" + b"q" * 40 + b" " + b"q" * 40, dtype=np.uint8)
+    d = bytes_digest(data, np.array([1, 5, 7, 10, 51, 3]), np.array([3, 7, 9, 50, 91, 3]))
+    assert d[0] == d[1] == d[2] and d[3] == d[4] and len(set(d.tolist())) == 3
+
+
+def test_patterned_texts_are_told_apart(spark):
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    a, b = twins()
+    coder, t = tokenfile.ChunkEncoder(BPE), Tokenizer.from_file(BPE)
+    for x in (a, b, f"{a} {b} {a}"):
+        assert coder.encode(pa.array([x]))[0].tolist() == t.encode(x, add_special_tokens=False).ids
+    assert gbdt.statistics(pa.array([f"{a}\n{b}"]))[0, 3] == 0 and gbdt.statistics(pa.array([f"{a}\n{a}"]))[0, 3] == 1
+    plain = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    ids, _ = mergedrop.encode(mergedrop.pieces(PIECES), pa.array([f"{a} {b}"]), np.zeros(1, np.int64), "s", 0.0)
+    assert ids.tolist() == plain.encode(f"{a} {b}")
+    docs = spark.createDataFrame([(1, " ".join([a] * 60)), (2, " ".join([b] * 60)), (3, " ".join([a] * 60))], "doc_id long, text string")
+    assert {r["doc_id"]: r["n_removed"] for r in phrases.remove_repeats(docs).collect()} == {1: 0, 2: 0, 3: 60}
+    assert {r["doc_id"]: r["class_id"] for r in neardup.near_duplicates(docs).collect()} == {1: 1, 2: 2, 3: 1}
+
+
+def test_the_automaton_locates_phrases():
+    rng = random.Random(21)
+    v = [f"w{i}é" for i in range(300)]
+    text = [rng.choice(v) for _ in range(400)]
+    w = neardup.words(pa.array(["\n ".join(text), " ".join(text[90:200]), "x " * 50]))
+    spelled = [phrases._line([x.encode() for x in text[i : i + 32]]) for i in (5, 100, 150)]
+    hit = phrases.occurrences(phrases.compiled(spelled), w, 32)
+    assert np.flatnonzero(hit).tolist() == [5, 100, 150, 400 + 10, 400 + 60]
+    # A phrase that no automaton holds is not located, and its windows are not reported.
+    assert np.flatnonzero(phrases.occurrences(phrases.compiled(spelled[:1]), w, 32)).tolist() == [5]
+    assert not phrases.occurrences(phrases.compiled([]), w, 32).any()
+    assert len(phrases._windows(w, np.zeros(len(w.start), dtype=bool), 50, 32)[0]) == 0
+    # Words are compared whole: no phrase begins or ends inside a word.
+    other = neardup.words(pa.array(["q" + " ".join(text[5:37]), " ".join(text[5:37]) + "q"]))
+    assert not phrases.occurrences(phrases.compiled(spelled), other, 32).any()
+
+
+def test_removal_comes_through_the_automaton(spark, monkeypatch):
+    rng = random.Random(22)
+    v = [f"w{i}" for i in range(3000)]
+    passage = [rng.choice(v) for _ in range(80)]
+    rows = [(i, " ".join([rng.choice(v) for _ in range(30)] + passage)) for i in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"]: r["n_removed"] for r in phrases.remove_repeats(docs).collect()} == {0: 0, 1: 80, 2: 80, 3: 80}
+    spell = phrases._spell
+    monkeypatch.setattr(phrases, "_spell", lambda texts, phrase: spell(texts, phrase).where("false"))
+    assert all(r["n_removed"] == 0 for r in phrases.remove_repeats(docs).collect())
+
+
+def plain_agenda(model, text, salt, key, dropout):
+    """One document's ids, a word and a candidate at a time, with the operator's keyed hash."""
+    mask = (1 << 64) - 1
+    rank_of = {int(k): int(r) for k, r in zip(model.key, model.rank, strict=True)}
+
+    def mixed(x):
+        x ^= x >> 30
+        x = x * 0xBF58476D1CE4E5B9 & mask
+        x ^= x >> 27
+        x = x * 0x94D049BB133111EB & mask
+        return x ^ x >> 31
+
+    out, words_, data = [], [], " " + text
+    for c in data:
+        if c == " " and (not words_ or not words_[-1].endswith(" ")):
+            words_.append("")
+        words_[-1] += c
+    for number, word in enumerate(words_):
+        sym = []
+        for c in word:
+            i = int(model.char[ord("▁" if c == " " else c)]) if c != "▁" else -1
+            sym += [i] if i >= 0 else [int(model.byte[b]) for b in c.encode()]
+        place, gone = list(range(len(sym))), set()
+        own = mixed(mixed(salt ^ key) + number * 0xD1342543DE82EF95 & mask)
+        while True:
+            found = [(rank_of[p], k) for k in range(len(sym) - 1) if (p := sym[k] * mergedrop.PAIR + sym[k + 1]) in rank_of and (place[k], place[k + 1], p) not in gone]
+            if not found:
+                break
+            rank, k = min(found)
+            pair = sym[k] * mergedrop.PAIR + sym[k + 1]
+            if mixed(mixed(own ^ (place[k] * 0x9E3779B97F4A7C15 & mask)) ^ pair) < int(dropout * 2**64):
+                gone.add((place[k], place[k + 1], pair))
+                continue
+            sym[k : k + 2] = [int(model.made[rank])]
+            del place[k + 1]
+        out += sym
+    return out
+
+
+def test_merge_dropout_is_the_plain_agenda():
+    model = mergedrop.pieces(PIECES)
+    rng = random.Random(23)
+    v = ["information", "internationalization", "the", "of", "été", "a\nb", "日本", "▁x", "Straße", "aaaaaaaa"]
+    texts_ = [" ".join(rng.choice(v) for _ in range(60)) + rng.choice(["", "  ", " \n"]) for _ in range(6)]
+    salts = mergedrop.document_salts([3, 4, 5, None, -1, 7], "seed")
+    key = int.from_bytes(hashlib.sha256(b"seed:words").digest()[:8], "little")
+    for rate in (0.0, 0.1, 0.5):
+        ids, n = mergedrop.encode(model, pa.array(texts_), salts, "seed", rate)
+        ends = np.cumsum(n)
+        for i, t in enumerate(texts_):
+            assert ids[ends[i] - n[i] : ends[i]].tolist() == plain_agenda(model, t, int(salts[i]), key, rate)
+
+
+def test_resampling_is_the_plain_model(spark, docs, rows):
+    """log_weight, keys and the kept set, from a model of words and pairs of words that counts in plain Python."""
+    from quillmine.llm.words import mixed, spans_digest, words
+
+    def bucket(*ws):
+        d = np.array([words(pa.array([x])).digests()[0] for x in ws])
+        h = d if len(ws) == 1 else mixed(spans_digest(d, np.array([0]), np.array([2])))
+        return int(h[0]) >> (64 - resampling.BITS)
+
+    one, two = functools.cache(bucket), functools.cache(lambda a, b: bucket(a, b))
+    grams = {}
+    for i, (_, t) in enumerate(rows):
+        w = WORD.findall(t or "")
+        grams[i] = [one(x) for x in w] + [two(a, b) for a, b in zip(w, w[1:], strict=False)]
+    good = {i for i in range(60) if i % 3 > 0}
+    raw, target = collections.Counter(), collections.Counter()
+    for i, (d, _) in enumerate(rows):
+        raw.update(grams[i])
+        if d in good:
+            target.update(grams[i])
+    n = 1 << resampling.BITS
+    r_all, g_all = sum(raw.values()) + n, sum(target.values()) + n
+    key = int.from_bytes(hashlib.sha256(b"resample").digest()[:8], "little")
+    want = []
+    for i, (d, t) in enumerate(rows):
+        weight = sum(math.log((target[b] + 1) / g_all) - math.log((raw[b] + 1) / r_all) for b in grams[i])
+        u = np.uint64((-1 if d is None else d) % 2**64)
+        u = int(mixed(mixed(np.array([u]) ^ np.uint64(key)) + np.uint64(key))[0])
+        want.append((weight - math.log(-math.log(((u >> 11) + 0.5) / 2.0**53)), weight, d, len(WORD.findall(t or ""))))
+    least = sorted((w[0] for w in want), reverse=True)[round(len(rows) * 0.5) - 1]
+    got = resampling.resample(docs, labels(spark), keep=0.5).collect()
+    line = lambda d, n, w, k, kept: (repr(d), n, round(w, 6), round(k, 6), kept)
+    assert sorted(line(*r) for r in got) == sorted(line(d, k, w, x, x >= least) for x, w, d, k in want)
+
+
+def plain_counts(t):
+    w, seen, dup, cover = WORD.findall(t), set(), 0, set()
+    for x in t.split("\n"):
+        if WORD.search(x):
+            dup += x in seen
+            seen.add(x)
+    g = collections.Counter(tuple(w[j : j + 5]) for j in range(len(w) - 4))
+    for j in range(len(w) - 4):
+        if g[tuple(w[j : j + 5])] > 1:
+            cover |= set(range(j, j + 5))
+    return {
+        "n_words": len(w), "word_chars": sum(map(len, w)), "n_symbols": len(re.findall(r"[#*$%&|<>]", t)), "n_dup_lines": dup, "n_repeat_words": len(cover), "n_distinct": len(set(w)),
+        "n_lines": t.count("\n") + 1, "n_upper": len(re.findall("[A-Z]", t)), "n_digits": len(re.findall("[0-9]", t)), "n_marks": len(re.findall("[.,;:!?]", t)), "n_chars": len(t),
+    }
+
+
+def plain_score(forest, c):
+    """A document's score by walking each tree."""
+    w, ch, ln = max(c["n_words"], 1), max(c["n_chars"], 1), max(c["n_lines"], 1)
+    x = [c["n_symbols"] / w, c["n_repeat_words"] / w, c["n_dup_lines"] / ln, c["n_upper"] / ch, c["n_digits"] / ch, c["word_chars"] / w, c["n_distinct"] / math.sqrt(w), c["n_distinct"] / w, c["n_marks"] / w, c["n_words"] / ln, math.log(w)]
+    total = 0.0
+    for node in forest.roots.tolist():
+        while forest.feature[node] >= 0:
+            node = int(forest.left[node] if x[forest.feature[node]] <= forest.threshold[node] else forest.right[node])
+        total += float(forest.value[node])
+    return 1 / (1 + math.exp(-total))
+
+
+def test_verdicts_are_those_of_plain_trees(spark):
+    rng = random.Random(31)
+    v = vocabulary(rng)
+    prose = lambda n: " ".join(rng.choice(v) + rng.choice(["", "", ",", ".\n"]) for _ in range(n))
+    junk = lambda n: " ".join(rng.choice(["###", "$$", "A1", "77", rng.choice(v).upper()]) for _ in range(n))
+    rows = [(i, junk(rng.randint(5, 80)) if i % 4 == 0 else prose(rng.randint(5, 150))) for i in range(240)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    told = spark.createDataFrame([(i, int(i % 4 > 0)) for i in range(120)], "doc_id long, quality int")
+    counts = gbdt.counted(docs)
+    forest = gbdt.fitted(counts, told)
+    got = {r["doc_id"]: r for r in gbdt.quality(docs, told).collect()}
+    for d, t in rows:
+        c = plain_counts(t)
+        score = plain_score(forest, c)
+        assert abs(score - forest.cut) > 1e-9
+        assert got[d]["kept"] == (not got[d]["base_failed"] and score >= forest.cut), d
+    # On rows that it was not fitted on: junk goes, prose stays.
+    held = [r for r in got.values() if r["doc_id"] >= 120 and not r["base_failed"]]
+    assert np.mean([r["kept"] for r in held if r["doc_id"] % 4]) > 0.95 and np.mean([r["kept"] for r in held if r["doc_id"] % 4 == 0]) < 0.05
+    assert {r["doc_id"] for r in gbdt.good_documents(docs, told).collect()} == {d for d, r in got.items() if r["kept"]}
+
+
+def plain_names(rng, n):
+    """Identifiers, constants, paths and long words of 20 characters or more, none of them random."""
+    w = "get set user account by id handler request response model layer time value count index name first last buffer stream parse token file path query result build config error state event manager service client server update delete create insert select node edge graph list map number license transformation".split()
+    out = []
+    while len(out) < n:
+        ws, k = [rng.choice(w) for _ in range(rng.randint(3, 8))], rng.randint(0, 5)
+        s = (ws[0] + "".join(x.title() for x in ws[1:]), "_".join(ws), "/".join(ws), "_".join(ws).upper(), "".join(ws), "-".join(ws))[k]
+        s = s[:9] + str(rng.randint(1, 2024)) + s[9:] if rng.random() < 0.3 else s
+        if len(s) >= 20:
+            out.append(s)
+    return out
+
+
+def test_random_tokens_are_told_from_names(spark):
+    rng = random.Random(33)
+    alphabets = [a for _, _, a in secrets.ENCODINGS]
+    keys = ["".join(rng.choice(alphabets[i % 5]) for _ in range((24, 32, 40, 64)[i // 5 % 4])) for i in range(400)]
+    names = [*plain_names(rng, 1600), "getUserAccountById2024Handler", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "x" * 40, "20240131" * 4, "einbereinheitheitber"]
+    said = [(i, f"see {x} there") for i, x in enumerate(keys + names)]
+    got = {r["doc_id"]: r["spans"] for r in secrets.scan(spark.createDataFrame(said, "doc_id long, text string")).collect()}
+    hit = [i for i in got if any(x.startswith(("random:", "hex:")) for x in got[i].split(","))]
+    right = [i for i in hit if i < len(keys)]
+    long = [i for i in range(len(keys)) if len(keys[i]) >= 40]
+    found = set(right)
+    assert len(right) / len(hit) >= 0.95, [names[i - len(keys)] for i in hit if i >= len(keys)]
+    assert len(found & set(long)) / len(long) >= 0.9 and len(found) / len(keys) >= 0.6
+    # A lone name is no secret, a lone key is one.
+    one = lambda x: secrets.scan(spark.createDataFrame([(1, x)], "doc_id long, text string")).first()["spans"]
+    assert one("getUserAccountById2024Handler") == "" and one("k Zq3vT9xLw2Kp7RmB5nYc8JdH4sGf") == "random:2:30"
+
+
+def test_token_tests_are_those_of_plain_python(spark):
+    rng = random.Random(34)
+    tokens = plain_names(rng, 60) + ["".join(rng.choice(a) for _ in range(rng.randint(20, 70))) for _, _, a in secrets.ENCODINGS for _ in range(12)]
+    docs = spark.createDataFrame([(i, x) for i, x in enumerate(tokens)], "doc_id long, text string")
+    rows = secrets.with_candidates(secrets.with_base_spans(docs, "text", "base").withColumn("base", F.slice("base", 1, 0)), "text", "base", "t").collect()
+    tail = lambda z: 1 / (1 + math.exp(1.5976 * (z := max(-8.0, min(8.0, z))) + 0.070566 * z**3))
+    seen = 0
+    for r in rows:
+        for x in r["t"]:
+            name, _, letters = next(e for e in secrets.ENCODINGS if e[0] == x["encoding"])
+            body = r["text"][x["start"] : x["end"]]
+            body = body.lower() if name == "hex" else body
+            n, k, (two, three, turn) = len(body), len(letters), secrets.TEXT[name]
+            chi = lambda s: k / n * s - n  # noqa: B023, E731
+            spread = k / n * math.sqrt(2 * n * (n - 1) * (two - two**2) + 4 * n * (n - 1) * (n - 2) * max(three - two**2, 0))
+            z1 = (chi(n + n * (n - 1) * two) - chi(sum(c * c for c in collections.Counter(body).values()))) / spread
+            kind = lambda c: "a" if c.islower() else "A" if c.isupper() else "0" if c.isdigit() else "-"
+            turns = sum(kind(a) != kind(b) for a, b in zip(body, body[1:], strict=False))
+            z2 = (turns - (n - 1) * turn) / math.sqrt((n - 1) * turn * (1 - turn))
+            v = np.array([letters.index(c) for c in body], float)
+            v -= v.mean()
+            z3 = (secrets.SERIAL - abs((v[1:] * v[:-1]).sum() / max((v * v).sum(), 1e-9))) * math.sqrt(n)
+            assert abs(x["p"] - min(max(max(map(tail, (z1, z2, z3))), 1e-9), 1 - 1e-9)) < 1e-9, body
+            seen += 1
+    assert seen > 100
+
+
+def test_reported_tokens_are_those_of_the_step_up_procedure(spark):
+    rng = random.Random(35)
+    p = [rng.random() ** 6 for _ in range(300)]
+    tested = spark.createDataFrame([([(0, 30, "alnum", 30, x)],) for x in p] + [([],)], f"t {secrets.TESTS}")
+    limit = secrets.random_limits(tested, "t", 0.05)["alnum:4"]
+    floor = lambda x: min(secrets.P_BINS - 1, math.floor(-math.log10(x) * secrets.P_BINS / 9))
+    passing = [b for b in {floor(x) for x in p} if 10 ** (-9 * b / secrets.P_BINS) <= 0.05 * sum(floor(x) >= b for x in p) / len(p)]
+    assert limit == min(passing)
+    assert secrets.random_limits(tested.limit(0), "t") == {} and secrets.random_limits(spark.createDataFrame([([(0, 30, "alnum", 30, 0.9)],)], f"t {secrets.TESTS}"), "t") == {}
+
+
+def test_many_spans_are_redacted_in_place(spark):
+    parts = [f"w{i} " + ("token=abcdef1 " if i % 2 else "secret: x/deadbeef0123456789abcdef, ") + "é" for i in range(3000)]
+    text = " ".join(parts)
+    got = secrets.redacted(spark.createDataFrame([(1, text, len(text))], "doc_id long, text string, n_chars int")).first()
+    assert got["text"] == " ".join(f"w{i} [SECRET]" + (" " if i % 2 else ", ") + "é" for i in range(3000)) and got["n_chars"] == len(got["text"])
+    inner = "a token=deadbeef0123456789abcdef0123456789abcdef.x b"
+    assert secrets.redacted(spark.createDataFrame([(1, inner)], "doc_id long, text string")).first()["text"] == "a [SECRET] b"
+
+
+CLASHING = "doc_id long, text string, lang string, source string, n_chars long, qm_row int, qm_text string, qm_id long, qm_c string, qm_spans int, qm_base string, qm_tests int, qm_h1 int, qm_n int, qm_x int, qm_hash string, quality int, target int, key string, `a.b` int"
+
+
+def test_stages_pass_on_clashing_columns(spark):
+    rng = random.Random(36)
+    v = vocabulary(rng)
+    made = [(i, " ".join(rng.choice(v) for _ in range(60)) + (" token=abcdef1" if i == 3 else ""), "en", f"s{i % 2}", 9, i, f"t{i}", -i, "c", i, "b", 7, 8, 9, 10, "h", i % 2, 1, "k", i) for i in range(12)]
+    made += [(None, None, None, None, None, *[None] * 15), (None, "", "en", "s0", 0, 1, "u", 1, "c", 1, "b", 7, 8, 9, 10, "h", 1, 1, "k", 1), (4, made[4][1], *made[4][2:])]
+    docs = spark.createDataFrame(made, CLASHING)
+    told = spark.createDataFrame([(i, int(i > 0)) for i in range(8)], "doc_id long, quality int")
+    for name, f in (("good", lambda d: gbdt.good_documents(d, told)), ("distinct", neardup.distinct_documents), ("redacted", secrets.redacted), ("mixed", fair_mix.mixed_documents)):
+        for d in (docs, docs.limit(0)):
+            out = f(d)
+            assert out.columns == docs.columns, name
+            rows = out.collect()
+            assert [x.dataType for x in out.schema] == [x.dataType for x in docs.schema], name
+        known = {r["doc_id"]: tuple(r) for r in docs.collect()}
+        rows = f(docs).collect()
+        assert rows, name
+        for r in rows:
+            if name != "redacted" or r["doc_id"] != 3:
+                assert tuple(r) == known[r["doc_id"]] or r["doc_id"] is None, name
+        if name == "distinct":
+            assert sorted(x["doc_id"] for x in rows if x["doc_id"] is not None) == list(range(12)) and sum(x["doc_id"] is None for x in rows) == 2
+
+
+def test_each_row_is_mixed_by_its_own_turn(spark):
+    rows = [(None, f"w {i} " * (1 + i % 3), "a") for i in range(30)] + [(7, f"x {i}", "a") for i in range(10)] + [(8, "same text", "b")] * 4 + [(9, None, "b"), (10, "", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    taken = fair_mix.fair_mix(docs).agg(F.sum("taken")).first()[0]
+    out = fair_mix.mixed_documents(docs).collect()
+    assert sum(len(r["text"].split()) for r in out) == taken
+    times = collections.Counter((r["doc_id"], r["text"]) for r in out)
+    assert all(n <= 3 * rows.count((d, t, "b" if d == 8 else "a")) for (d, t), n in times.items()) and len({t for d, t in times if d is None}) > 20
+
+
+def test_links_are_between_similar_texts(docs, rows):
+    got = {r["doc_id"]: r for r in neardup.near_duplicates(docs).collect() if r["doc_id"] is not None}
+    by = {d: WORD.findall(t or "") for d, t in dict(rows).items() if d is not None}
+    size = collections.Counter(r["class_id"] for r in got.values())
+    first = {}
+    for d in sorted(by):
+        first.setdefault(tuple(by[d]), d)
+    for d, r in got.items():
+        me = first[tuple(by[d])]
+        near = [e for e in set(first.values()) if e != me and 0 < max(len(by[e]), len(by[me])) < 2000 and distance(by[e], by[me]) <= 0.2 * max(len(by[e]), len(by[me])) + 1e-9]
+        assert r["n_links"] <= len(near) and (r["n_links"] > 0) == (len(near) > 0), d
+        assert size[r["class_id"]] > 1 or r["n_links"] == 0
+
+
+def test_pipeline_on_empty_tables(spark, tmp_path):
+    import corpus_pipeline
+
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long, qm_text int").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_a_text_of_a_million_words(spark):
+    rng = random.Random(37)
+    v = vocabulary(rng)
+    w = [rng.choice(v) for _ in range(1_000_000)]
+    near = list(w)
+    for i in range(0, 1_000_000, 9973):
+        near[i] = "changed"
+    docs = spark.createDataFrame([(1, " ".join(w), "a"), (2, " ".join(near), "a")], "doc_id long, text string, source string")
+    assert {r["class_id"] for r in neardup.near_duplicates(docs).collect()} == {1}
+    removed = {r["doc_id"]: r["n_removed"] for r in phrases.remove_repeats(docs).collect()}
+    assert removed[1] == 0 and removed[2] > 900_000
+    told = spark.createDataFrame([], "doc_id long, quality int")
+    assert gbdt.good_documents(docs, told).count() == 2 and secrets.redacted(docs).count() == 2
+    assert fair_mix.fair_mix(docs).agg(F.sum("size")).first()[0] == 2_000_000
+    assert all(r["lossless"] for r in mergedrop.encoded(docs, PIECES).collect())
+    got = {r["doc_id"]: r["n_tokens"] for r in tokenfile.tokens(docs, BPE).collect()}
+    assert min(got.values()) > 1_000_000
+
+
+def test_a_shared_folder_is_asked_for(spark):
+    from types import SimpleNamespace
+
+    from quillmine.llm.common import shared_path
+
+    conf = SimpleNamespace(get=lambda k: None)
+    there = lambda master: SimpleNamespace(sparkContext=SimpleNamespace(master=master, getConf=lambda: conf, getCheckpointDir=lambda: None, setCheckpointDir=lambda x: None))
+    for master in ("yarn", "spark://host:7077", "local-cluster[2,1,1024]"):
+        with pytest.raises(ValueError, match="checkpoint"):
+            shared_path(there(master), "x")
+    assert shared_path(there("local[4]"), "x").startswith("file://")
+
+
+def test_archives_are_bounded_by_bytes(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "FILE_BYTES", 50_000)
+    rng = random.Random(38)
+    pages = spark.createDataFrame([(i, "u", "".join(chr(rng.randint(33, 126)) for _ in range(9000))) for i in range(40)], "page_id long, url string, html string").coalesce(1)
+    path = str(tmp_path / "a")
+    warc.write(pages, path)
+    sizes = [p.stat().st_size for p in (tmp_path / "a").glob("part-*")]
+    assert len(sizes) > 4 and max(sizes) < 70_000
+    assert sorted(r["page_id"] for r in warc.read(spark, path).collect()) == list(range(40))
