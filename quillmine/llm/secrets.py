@@ -34,21 +34,22 @@ TESTS = "array<struct<start:int,end:int,encoding:string,n:int,p:double>>"
 P_BINS = 60
 
 
+def _once(x: Column, use) -> Column:
+    """use(x), an array, with x computed once: what a lambda reads from outside is computed again for each element."""
+    return F.flatten(F.transform(F.array(x), use))
+
+
 def _before(lengths: Column) -> Column:
     """Sums of all earlier elements; in blocks of 64, so that thousands of matches in a text stay cheap."""
     zero, add = F.lit(0), lambda a, x: a + x
-    n = F.size(lengths)
-    blocks = F.transform(
-        F.sequence(F.lit(0), F.floor((n - 1) / 64).cast("int")), lambda j: F.aggregate(F.slice(lengths, j * 64 + 1, 64), zero, add)
-    )
     at = lambda i: F.floor(i / 64).cast("int")
-    return F.when(
-        n > 0,
-        F.transform(
-            F.sequence(F.lit(0), n - 1),
-            lambda i: F.aggregate(F.slice(blocks, F.lit(1), at(i)), zero, add) + F.aggregate(F.slice(lengths, at(i) * 64 + 1, i % 64), zero, add),
-        ),
-    ).otherwise(F.array().cast("array<int>"))
+
+    def sums(own: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), at(F.size(own) - 1)), lambda j: F.aggregate(F.slice(own, j * 64 + 1, 64), zero, add))
+        inside = lambda i, b: F.aggregate(F.slice(b, F.lit(1), at(i)), zero, add) + F.aggregate(F.slice(own, at(i) * 64 + 1, i % 64), zero, add)
+        return _once(blocks, lambda b: F.transform(F.sequence(F.lit(0), F.size(own) - 1), lambda i: inside(i, b)))
+
+    return F.when(F.size(lengths) > 0, _once(lengths, sums)).otherwise(F.array().cast("array<int>"))
 
 
 def found(df: DataFrame, text: str, pattern: str, out: str, has: Column | None = None) -> DataFrame:
@@ -276,16 +277,28 @@ def scan(docs: DataFrame, rate: float = 0.05) -> DataFrame:
 
 def _reached(spans: str) -> Column:
     """For each span the furthest end before it, and at last that of all; in blocks of 64, like _before."""
-    n, far = F.size(spans), lambda a, x: F.greatest(a, x["end"])
-    zero = F.lit(0)
+    n, far, zero = F.size(spans), lambda a, x: F.greatest(a, x["end"]), F.lit(0)
     at = lambda i: F.floor(i / 64).cast("int")
-    inside = lambda blocks: F.transform(
-        F.sequence(F.lit(0), n),
-        lambda i: F.aggregate(F.slice(F.col(spans), at(i) * 64 + 1, i % 64), F.greatest(F.lit(0), F.coalesce(F.array_max(F.slice(blocks, F.lit(1), at(i))), zero)), far),
-    )
     blocks = F.transform(F.sequence(F.lit(0), at(n)), lambda j: F.aggregate(F.slice(F.col(spans), j * 64 + 1, 64), zero, far))
-    # One element, so that the blocks are computed once.
-    return F.flatten(F.transform(F.array(blocks), inside))
+    before = lambda b, i: F.greatest(zero, F.coalesce(F.array_max(F.slice(b, F.lit(1), at(i))), zero))
+    return _once(blocks, lambda b: F.transform(F.sequence(zero, n), lambda i: F.aggregate(F.slice(F.col(spans), at(i) * 64 + 1, i % 64), before(b, i), far)))
+
+
+#: Characters of a block that pieces of texts with many spans are taken from.
+TEXT_BLOCK = 1024
+
+
+def _blocks(text: Column) -> Column:
+    return F.transform(F.sequence(F.lit(0), F.floor(F.char_length(text) / TEXT_BLOCK).cast("int")), lambda i: F.substring(text, i * TEXT_BLOCK + 1, F.lit(TEXT_BLOCK)))
+
+
+def _piece(blocks: Column, begin: Column, length: Column) -> Column:
+    """length characters from begin on, of a text in blocks."""
+    at = lambda x: F.floor(x / TEXT_BLOCK).cast("int")
+    first, last = F.element_at(blocks, at(begin) + 1), F.element_at(blocks, at(begin + length) + 1)
+    between = F.array_join(F.slice(blocks, at(begin) + 2, F.greatest(at(begin + length) - at(begin) - 1, F.lit(0))), "")
+    apart = F.concat(F.substring(first, begin % TEXT_BLOCK + 1, F.lit(TEXT_BLOCK)), between, F.substring(last, F.lit(1), (begin + length) % TEXT_BLOCK))
+    return F.when(at(begin) == at(begin + length), F.substring(first, begin % TEXT_BLOCK + 1, length)).otherwise(apart)
 
 
 def redacted(docs: DataFrame, mark: str = "[SECRET]", rate: float = 0.05) -> DataFrame:
@@ -300,9 +313,9 @@ def redacted(docs: DataFrame, mark: str = "[SECRET]", rate: float = 0.05) -> Dat
     rows = with_random(tested, random_limits(tested, "qm_tests", rate), "qm_base", "qm_tests", "qm_spans")
     rows = rows.withColumn("qm_reach", F.when(F.size("qm_spans") > 0, _reached("qm_spans")))
     text = F.col("qm_row.text")
-    # Of texts with many spans characters are taken from an array, so that no piece is counted off from the text's begin.
-    rows = rows.withColumn("qm_c", F.when(F.size("qm_spans") > 32, F.split(text, "")))
-    part = lambda begin, length: F.when(F.col("qm_c").isNull(), F.substring(text, begin + 1, length)).otherwise(F.array_join(F.slice(F.col("qm_c"), begin + 1, length), ""))
+    # Pieces of texts with many spans are taken from blocks, so that none is counted off from the text's begin.
+    rows = rows.withColumn("qm_c", F.when(F.size("qm_spans") > 32, _blocks(text)))
+    part = lambda begin, length: F.when(F.col("qm_c").isNull(), F.substring(text, begin + 1, length)).otherwise(_piece(F.col("qm_c"), begin, length))
     # A span adds what it has beyond the furthest end before it; one that begins inside an earlier one adds no mark.
     piece = lambda x, e: F.when(x["start"] >= e, F.concat(part(e, x["start"] - e), F.lit(mark))).otherwise("")
     rows = rows.withColumn("qm_last", F.element_at("qm_reach", -1))
