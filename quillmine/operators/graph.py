@@ -167,35 +167,64 @@ def undirected(relations: DataFrame) -> DataFrame:
     return e.unionByName(e.where("u <> v").select("edge_id", F.col("v").alias("u"), F.col("u").alias("v"), "paper_id"))
 
 
-def trails(relations: DataFrame, start: list[int], hops: int) -> DataFrame:
-    """All trails of 1 to hops relations from the start entities: nodes, edges, papers, hops. No relation comes twice.
+def _levels(relations: DataFrame, start: list[int], hops: int) -> list[DataFrame]:
+    """Trails of 1 to hops relations from the start entities, by their number: nodes, edges, papers. No relation comes twice.
 
     Each hop is one equi join on the trail's end; the depth is bounded.
     """
     edges = undirected(relations)
+    ids = relations.sparkSession.createDataFrame([(int(i),) for i in sorted(set(start))], "u long")  # what the caller names
+    first = edges.join(ids, "u", "left_semi").select(F.array("u", "v").alias("nodes"), F.array("edge_id").alias("edges"), F.array("paper_id").alias("papers"))
+    out = [first]
     end = edges.select(F.col("u").alias("end"), "edge_id", "v", "paper_id")
-    first = edges.where(F.col("u").isin(*start)).select(
-        F.array("u", "v").alias("nodes"), F.array("edge_id").alias("edges"), F.array("paper_id").alias("papers"), F.lit(1).alias("hops")
-    )
-    out, last = first, first
+    for _ in range(2, hops + 1):
+        grown = out[-1].withColumn("end", F.element_at("nodes", -1)).join(end, "end").where(~F.array_contains("edges", F.col("edge_id")))
+        out.append(grown.select(*[F.concat(c, F.array(x)).alias(c) for c, x in (("nodes", "v"), ("edges", "edge_id"), ("papers", "paper_id"))]))
+    return out
+
+
+def trails(relations: DataFrame, start: list[int], hops: int) -> DataFrame:
+    """All trails of 1 to hops relations from the start entities: nodes, edges, papers, hops."""
+    levels = _levels(relations, start, hops)
+    out = levels[0].withColumn("hops", F.lit(1))
     for h in range(2, hops + 1):
-        grown = last.withColumn("end", F.element_at("nodes", -1)).join(end, "end").where(~F.array_contains("edges", F.col("edge_id")))
-        last = grown.select(
-            F.concat("nodes", F.array("v")).alias("nodes"), F.concat("edges", F.array("edge_id")).alias("edges"), F.concat("papers", F.array("paper_id")).alias("papers"), F.lit(h).alias("hops")
-        )
-        out = out.unionByName(last)
+        out = out.unionByName(levels[h - 1].withColumn("hops", F.lit(h)))
     return out
 
 
+def _shortest(levels: list[DataFrame], limit: int) -> DataFrame:
+    """The first limit rows of levels of 1, 2, ... hops, by hops and edges; a level is computed only if those before fall short."""
+    out, have = None, 0
+    for h, level in enumerate(levels, 1):
+        top = level.withColumn("hops", F.lit(h)).orderBy("edges").limit(limit - have)
+        rows = top.sparkSession.createDataFrame(top.collect(), top.schema)  # limit rows at most
+        out, have = rows if out is None else out.unionByName(rows), have + rows.count()
+        if have >= limit:
+            break
+    return out.orderBy("hops", F.col("edges"))
+
+
 def neighbourhood(relations: DataFrame, start: list[int], hops: int = 2, limit: int = 100) -> DataFrame:
     """Up to limit trails around the start, shortest first, as distinct edges."""
-    t = trails(relations, start, hops).orderBy("hops", F.col("edges")).limit(limit)
-    return t.select(F.explode("edges").alias("id")).distinct().join(relations, "id")
+    return _shortest(_levels(relations, start, hops), limit).select(F.explode("edges").alias("id")).distinct().join(relations, "id")
 
 
 def paths_between(relations: DataFrame, a: list[int], b: list[int], hops: int = 4, limit: int = 20) -> DataFrame:
-    t = trails(relations, a, hops).where(F.element_at("nodes", -1).isin(*b)) if b else trails(relations, a, hops).limit(0)
-    return t.orderBy("hops", F.col("edges")).limit(limit)
+    """Up to limit trails from a to b, shortest first.
+
+    A trail of k hops is half a trail from a and half a trail from b that meet: a hub is then entered from both sides instead of
+    being crossed by every trail that reaches it. Longer trails are looked for only if shorter ones are too few.
+    """
+    if not a or not b:
+        return trails(relations, a or [-1], 1).limit(0)
+    ahead, back = _levels(relations, a, -(-hops // 2)), _levels(relations, b, hops // 2)
+    found = [ahead[0].where(F.element_at("nodes", -1).isin(*b))]
+    for k in range(2, hops + 1):
+        left = ahead[-(-k // 2) - 1].withColumn("end", F.element_at("nodes", -1))
+        right = back[k // 2 - 1].select(F.element_at("nodes", -1).alias("end"), F.reverse("nodes").alias("n2"), F.reverse("edges").alias("e2"), F.reverse("papers").alias("p2"))
+        met = left.join(right, "end").where(F.size(F.array_intersect("edges", "e2")) == 0)
+        found.append(met.select(F.concat("nodes", F.slice("n2", 2, 2 * hops)).alias("nodes"), F.concat("edges", "e2").alias("edges"), F.concat("papers", "p2").alias("papers")))
+    return _shortest(found, limit)
 
 
 def topic_papers(papers: DataFrame, entities: DataFrame, links: DataFrame, topic: str) -> DataFrame:

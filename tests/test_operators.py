@@ -256,3 +256,16 @@ def test_extracted_names_are_those_of_plain_python(spark):
             for rank, name in enumerate(sorted(names, key=lambda x: (-total[x], x.lower(), x))[: lx.TYPE_TOP], 1):
                 want.append((pid, kind, name, total[name], rank))
     assert got == sorted(want)
+
+
+def test_paths_are_all_trails_that_end_there(spark):
+    rng = random.Random(6)
+    rel = [(i, rng.randint(1, 9), rng.randint(1, 9), i % 3) for i in range(18)]
+    r = spark.createDataFrame(rel, "id long, source_entity_id long, target_entity_id long, paper_id long")
+    want = graph.trails(r, [1, 2], 4).where(F.element_at("nodes", -1).isin(3, 4)).orderBy("hops", "edges").select("nodes", "edges", "papers", "hops").collect()
+    assert len(want) > 40
+    for limit in (1, 7, len(want), len(want) + 5):
+        got = graph.paths_between(r, [1, 2], [3, 4], 4, limit).select("nodes", "edges", "papers", "hops").collect()
+        assert [(x["hops"], x["edges"]) for x in got] == [(x["hops"], x["edges"]) for x in want][:limit]
+    assert sorted(map(tuple, (map(str, x) for x in graph.paths_between(r, [1, 2], [3, 4], 4, 10_000).select("nodes", "edges", "papers", "hops").collect()))) == sorted(map(tuple, (map(str, x) for x in want)))
+    assert graph.paths_between(r, [], [3]).count() == graph.paths_between(r, [1], []).count() == 0
