@@ -19,6 +19,34 @@ def pdf_files(spark: SparkSession, path: str) -> DataFrame:
     return files.where(F.lower("path").endswith(".pdf")).select("path", "length", "content")
 
 
+PENDING = "id long, workspace_id string, title string, authors array<string>, pdf_path string, arxiv_id string, processing_status string"
+
+
+def paper_id(key: Column) -> Column:
+    """A 60-bit id, the same for the same key on every machine."""
+    return F.conv(F.substring(F.md5(key), 1, 15), 16, 10).cast("long")
+
+
+def uploaded(files: DataFrame, workspace: str) -> DataFrame:
+    """Pending papers of files (path): a row each that is named as a PDF, under its file name. A file sent twice is one paper."""
+    pdfs = files.where(F.lower("path").endswith(".pdf")).select("path").distinct()
+    name = F.element_at(F.split("path", "/"), -1)
+    return _pending(pdfs, workspace, F.concat_ws(":", F.lit(workspace), "path"), name, F.col("path"), F.lit(None))
+
+
+def requested(ids: DataFrame, workspace: str) -> DataFrame:
+    """Pending papers of arXiv ids (arxiv_id)."""
+    one = ids.select("arxiv_id").where("arxiv_id is not null").distinct()
+    return _pending(one, workspace, F.concat_ws(":", F.lit(workspace), F.lit("arxiv"), "arxiv_id"), F.concat(F.lit("arXiv:"), "arxiv_id"), F.lit(None), F.col("arxiv_id"))
+
+
+def _pending(rows: DataFrame, workspace: str, key: Column, title: Column, path: Column, arxiv: Column) -> DataFrame:
+    return rows.select(
+        paper_id(key).alias("id"), F.lit(workspace).alias("workspace_id"), title.alias("title"), F.array().cast("array<string>").alias("authors"),
+        path.cast("string").alias("pdf_path"), arxiv.cast("string").alias("arxiv_id"), F.lit("pending").alias("processing_status"),
+    )
+
+
 def layout(files: DataFrame, parse: Callable[[bytes], list[dict]]) -> DataFrame:
     """Lines of files (paper_id, content) by a parser that is handed in: bytes to dicts of page, ord, text, size, bold, y.
 

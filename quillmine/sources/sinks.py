@@ -97,3 +97,35 @@ def with_status(papers: DataFrame, changes: DataFrame) -> DataFrame:
     """papers with the last status of each (changes: id, ts, status)."""
     last = changes.groupBy("id").agg(F.max_by("status", F.struct("ts", "status")).alias("qm_status"))
     return papers.join(last, "id", "left").withColumn("processing_status", F.coalesce("qm_status", "processing_status")).drop("qm_status")
+
+
+#: What a paper's status may become. Processing may begin again after it failed.
+STEPS = {"pending": ("processing",), "processing": ("completed", "failed"), "failed": ("processing",), "completed": ("processing",)}
+
+
+def registered(papers: DataFrame, new: DataFrame) -> DataFrame:
+    """papers with those of new that are not among them; a paper that is known keeps its row and status."""
+    return papers.unionByName(new.join(papers.select("id"), "id", "left_anti"), allowMissingColumns=True)
+
+
+def stepped(papers: DataFrame, changes: DataFrame) -> DataFrame:
+    """papers after the changes (id, ts, status), in the order of ts: each is taken if the status at that time may become it."""
+    steps = changes.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ts", "status"))), lambda x: x["status"]).alias("qm_steps"))
+
+    def take(now: Column, step: Column) -> Column:
+        ok = F.lit(False)
+        for before, after in STEPS.items():
+            ok = ok | ((now == before) & step.isin(*after))
+        return F.when(ok, step).otherwise(now)
+
+    joined = papers.join(steps, "id", "left")
+    status = F.when(F.col("qm_steps").isNull(), F.col("processing_status")).otherwise(F.aggregate("qm_steps", F.col("processing_status"), take))
+    return joined.withColumn("processing_status", status).drop("qm_steps")
+
+
+def parsed(papers: DataFrame, lines: DataFrame) -> DataFrame:
+    """Papers in processing after parsing: completed if lines (paper_id) has any of theirs, else failed; the others as they were."""
+    have = lines.select(F.col("paper_id").alias("id")).distinct().withColumn("qm_has", F.lit(True))
+    joined = papers.join(have, "id", "left")
+    done = F.when(F.col("qm_has"), "completed").otherwise("failed")
+    return joined.withColumn("processing_status", F.when(F.col("processing_status") == "processing", done).otherwise(F.col("processing_status"))).drop("qm_has")

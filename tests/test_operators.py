@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quillmine.functions import lexicon as lx
 from quillmine.operators import graph, layout, ner, retrieve, synth
 from quillmine.plans.engine import Engine, NotFoundError
-from quillmine.sources import sinks
+from quillmine.sources import readers, sinks
 from quillmine.streaming import ingest
 
 LINES = "paper_id long, page int, ord int, text string, size double, bold boolean, y double"
@@ -269,3 +269,19 @@ def test_paths_are_all_trails_that_end_there(spark):
         assert [(x["hops"], x["edges"]) for x in got] == [(x["hops"], x["edges"]) for x in want][:limit]
     assert sorted(map(tuple, (map(str, x) for x in graph.paths_between(r, [1, 2], [3, 4], 4, 10_000).select("nodes", "edges", "papers", "hops").collect()))) == sorted(map(tuple, (map(str, x) for x in want)))
     assert graph.paths_between(r, [], [3]).count() == graph.paths_between(r, [1], []).count() == 0
+
+
+def test_uploads_go_through_their_states(spark):
+    files = spark.createDataFrame([("/in/a.PDF",), ("/in/b.pdf",), ("/in/b.pdf",), ("/in/c.txt",)], "path string")
+    new = readers.uploaded(files, "w").unionByName(readers.requested(spark.createDataFrame([("2401.1",), (None,)], "arxiv_id string"), "w"))
+    papers = sinks.registered(spark.createDataFrame([], readers.PENDING), new)
+    papers = sinks.registered(papers, new)
+    by = {r["title"]: r for r in papers.collect()}
+    assert sorted(by) == ["a.PDF", "arXiv:2401.1", "b.pdf"] and all(r["processing_status"] == "pending" for r in by.values())
+    a, b, c = (by[t]["id"] for t in ("a.PDF", "b.pdf", "arXiv:2401.1"))
+    changes = spark.createDataFrame([(a, 1, "processing"), (b, 1, "completed"), (c, 2, "failed"), (c, 1, "processing")], "id long, ts long, status string")
+    papers = sinks.stepped(papers, changes)
+    assert {r["id"]: r["processing_status"] for r in papers.collect()} == {a: "processing", b: "pending", c: "failed"}
+    papers = sinks.stepped(papers, spark.createDataFrame([(b, 3, "processing"), (c, 3, "processing")], "id long, ts long, status string"))
+    papers = sinks.parsed(papers, spark.createDataFrame([(a,), (a,), (c,)], "paper_id long"))
+    assert {r["id"]: r["processing_status"] for r in papers.collect()} == {a: "completed", b: "failed", c: "completed"}
