@@ -387,7 +387,25 @@ def _(spark, d):
     return ner.top_names([c]).select("paper_id", "name", "n", "rank")
 
 
-@query("entity_extract")
+def _ner_hits() -> str:
+    out = []
+    for kind, patterns in lx.NER_PATTERNS.items():
+        for i, x in enumerate(patterns):
+            found = f"regexp_extract_all(t, '{x.replace('(?=' + chr(92) + 's+patients)', '').replace(chr(39), chr(39) * 2)}', 1)"
+            out.append(f"SELECT paper_id, '{kind}' AS type, unnest({found}) AS raw, {i * 1_000_000} + unnest(range(len({found}))) AS first FROM tx")
+    return " UNION ALL ".join(out)
+
+
+#: Names of the tables' texts hold ASCII letters alone, so it is enough that other letters count for word boundaries.
+@query("entity_extract", f"""WITH cl AS (SELECT doc_id AS paper_id, {_cleaned('text', True)} AS c FROM documents), tx AS (SELECT paper_id, {ASCII.format('c')} AS t, lower(c) AS low FROM cl),
+ hits AS ({_ner_hits()}), pat AS (SELECT paper_id, type, array_to_string({_words('raw')}, ' ') AS name, count(*) AS n, min(first) AS first FROM hits GROUP BY ALL),
+ keyed AS (SELECT *, row_number() OVER (PARTITION BY paper_id, type, regexp_replace(lower(name), '[\\s\\-_]', '', 'g') ORDER BY n DESC, length(name), first, name) AS k FROM pat WHERE {_VALID}),
+ canon AS (SELECT * FROM (SELECT paper_id, type, name, n, row_number() OVER (PARTITION BY paper_id, type ORDER BY n DESC, lower(name), name) AS k FROM keyed WHERE k = 1) WHERE k <= {lx.NER_TOP}),
+ phr AS ({" UNION ALL ".join(f"SELECT paper_id, '{k}' AS type, '{lx.ACRONYM_PHRASES.get(x, ' '.join(w.capitalize() for w in x.split()))}' AS name, (length(low) - length(replace(low, '{x}', ''))) // {len(x)} AS n FROM tx WHERE contains(low, '{x}')" for x, k in lx.PHRASES.items())}),
+ con AS (SELECT paper_id, 'CONCEPT' AS type, name, count(*) AS n FROM (SELECT paper_id, unnest(regexp_extract_all(t, '{lx.CONCEPT}')) AS name FROM tx) WHERE name NOT IN ({co._STOP}) AND {_VALID} GROUP BY ALL),
+ every AS (SELECT paper_id, type, name, n FROM canon UNION ALL SELECT * FROM phr UNION ALL SELECT * FROM con),
+ own AS (SELECT paper_id, type, name, sum(n) AS own FROM every GROUP BY ALL), tot AS (SELECT paper_id, type, name, CAST(sum(own) OVER (PARTITION BY paper_id, name) AS BIGINT) AS n FROM own),
+ rk AS (SELECT *, CAST(row_number() OVER (PARTITION BY paper_id, type ORDER BY n DESC, lower(name), name) AS INT) AS rank FROM tot) SELECT * FROM rk WHERE rank <= {lx.TYPE_TOP}""", False)
 def _(spark, d):
     return ner.extracted(co.chunks(spark, d))
 
