@@ -70,8 +70,8 @@ def packed(parts: Column, most: int = lx.PACK_WORDS, overlap: int = 0, compat_pr
             (F.when(full, total(kept)).otherwise(acc["n"]) + s["n"]).alias("n"),
         )
 
-    end = F.aggregate(sized, start, add)
-    return F.when(F.size(end["now"]) > 0, F.concat(end["done"], F.array(text(end["now"])))).otherwise(end["done"])
+    last = lambda end: F.when(F.size(end["now"]) > 0, F.concat(end["done"], F.array(text(end["now"])))).otherwise(end["done"])
+    return F.aggregate(sized, start, add, last)
 
 
 def resized(parts: Column) -> Column:

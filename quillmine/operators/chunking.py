@@ -16,7 +16,8 @@ def chunked(sections: DataFrame, compat_prefix: bool = False) -> DataFrame:
     rows = sections.withColumn("text", clean(F.col("text"))).withColumn("sents", flat_sentences(F.col("text")))
     raw = rows.withColumn("raw", section_parts(F.col("section"), F.col("text"), F.col("sents"), compat_prefix))
     parts = raw.withColumn("parts", overlapped(F.col("raw")))
-    out = parts.select("paper_id", "section", F.posexplode("parts").alias("sub_index", "content"))
+    # The outer form, as the plain one puts all of the above into a filter too, on the parts' size.
+    out = parts.select("paper_id", "section", F.posexplode_outer("parts").alias("sub_index", "content")).where("content is not null")
     return out.select(
         "paper_id", "section", "sub_index", "content",
         importance(F.col("section"), F.col("content")).alias("importance_score"),
