@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 from quillmine.llm import fair_mix as mix
-from quillmine.llm import centroids, gbdt, mergedrop, merkle, neardup, phrases, resampling, secrets, tokenfile, warc, whitening
+from quillmine.llm import centroids, gbdt, licenses, mergedrop, merkle, neardup, phrases, resampling, secrets, tokenfile, warc, whitening
 
 
 #: Files of public tokenizers; any path that all machines can read does.
@@ -39,9 +39,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_fair_mix": lambda spark, d: mix.fair_mix(_docs(spark, d)),
         "op11_elkan_clusters": lambda spark, d: centroids.centroid_clusters(_table(spark, d, "embeddings")),
         "op12_whitening": lambda spark, d: whitening.whitened(_table(spark, d, "embeddings")),
+        "op13_license_scan": lambda spark, d: licenses.licenses(_docs(spark, d)),
         "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_merkle_fingerprints": merkle.ORACLE, "op2_warc_roundtrip": warc.ORACLE, "op10_fair_mix": mix.ORACLE, "op11_elkan_clusters": centroids.oracle()}
+    return {"op1_merkle_fingerprints": merkle.ORACLE, "op2_warc_roundtrip": warc.ORACLE, "op10_fair_mix": mix.ORACLE, "op11_elkan_clusters": centroids.oracle(), "op13_license_scan": licenses.oracle()}
