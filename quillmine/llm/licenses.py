@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: Words of a text in which A-Z are lower case: digits, a-z and whatever is not ASCII.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: What stands between words.
+GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 #: Phrases whose every place counts, with their labels.
 PHRASES = (
@@ -102,7 +104,8 @@ def with_words(df: DataFrame, vocab: list[str], text: str = "text") -> DataFrame
     (the Kelvin sign) is put out of the way. It changes nothing else about which characters are ASCII.
     """
     low = F.lower(F.replace(F.coalesce(F.col(text), F.lit("")), F.lit("K"), F.lit("é")))
-    return df.withColumn("qm_w", F.regexp_extract_all(low, F.lit(WORD), F.lit(0))).withColumn("qm_own", F.array_intersect("qm_w", _strings(vocab)))
+    parts = F.array_remove(F.split(low, GAP, -1), "")  # several times faster than to extract the words
+    return df.withColumn("qm_w", parts).withColumn("qm_own", F.array_intersect("qm_w", _strings(vocab)))
 
 
 def document_frequency(worded: DataFrame) -> dict[str, int]:
