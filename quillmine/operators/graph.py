@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quillmine.functions import lexicon as lx
 from quillmine.functions.scores import strength, too_similar, valid_entity
 from quillmine.functions.segments import any_of
+from quillmine.sources.shelf import kept, new_path
 
 FACT = ("source", "relationship", "target", "confidence", "evidence", "paper_id", "kind")
 
@@ -178,8 +179,7 @@ def _levels(relations: DataFrame, start: list[int], hops: int) -> list[DataFrame
     out = [first]
     end = edges.select(F.col("u").alias("end"), "edge_id", "v", "paper_id")
     for _ in range(2, hops + 1):
-        grown = out[-1].withColumn("end", F.element_at("nodes", -1)).join(end, "end").where(~F.array_contains("edges", F.col("edge_id")))
-        out.append(grown.select(*[F.concat(c, F.array(x)).alias(c) for c, x in (("nodes", "v"), ("edges", "edge_id"), ("papers", "paper_id"))]))
+        out.append(_grown(out[-1], end))
     return out
 
 
@@ -192,39 +192,88 @@ def trails(relations: DataFrame, start: list[int], hops: int) -> DataFrame:
     return out
 
 
-def _shortest(levels: list[DataFrame], limit: int) -> DataFrame:
-    """The first limit rows of levels of 1, 2, ... hops, by hops and edges; a level is computed only if those before fall short."""
-    out, have = None, 0
-    for h, level in enumerate(levels, 1):
-        top = level.withColumn("hops", F.lit(h)).orderBy("edges").limit(limit - have)
-        rows = top.sparkSession.createDataFrame(top.collect(), top.schema)  # limit rows at most
-        out, have = rows if out is None else out.unionByName(rows), have + rows.count()
-        if have >= limit:
-            break
-    return out.orderBy("hops", F.col("edges"))
+def _grown(prefixes: DataFrame, end: DataFrame) -> DataFrame:
+    """Trails with one relation more, which they don't hold yet."""
+    grown = prefixes.withColumn("end", F.element_at("nodes", -1)).join(end, "end").where(~F.array_contains("edges", F.col("edge_id")))
+    return grown.select(*[F.concat(c, F.array(x)).alias(c) for c, x in (("nodes", "v"), ("edges", "edge_id"), ("papers", "paper_id"))])
+
+
+#: Trails that pass through the driver at once, at most; more are written to a table.
+AT_HAND = 10_000
+
+
+def _least(rows: DataFrame, most: int) -> tuple[DataFrame, bool]:
+    """(The first `most` trails by their relations and nodes, whether there are more)."""
+    first = rows.orderBy("edges", "nodes").limit(most + 1)
+    if most < AT_HAND:
+        got = first.collect()
+        few = rows.sparkSession.createDataFrame(got[:most], rows.schema)
+        return F.broadcast(few), len(got) > most
+    written = kept(first, new_path(rows.sparkSession, "trails"))
+    more = written.count() > most
+    return (written.orderBy("edges", "nodes").limit(most) if more else written), more
+
+
+def _first_trails(edges: DataFrame, ids: DataFrame, toward: list[DataFrame | None], limit: int) -> DataFrame:
+    """The first `limit` trails of len(toward) relations from ids, by their relations; toward[i] (one column, end) has the nodes
+    that the i-th relation may lead to, None any.
+
+    Only the least trails of each length go on: whatever extends a greater one is greater itself. A hub so costs a row for each of
+    its relations, not for each pair of them. If trails that were left may be needed, as too many of those kept came to nothing, many
+    more are kept; at last all.
+    """
+    end = edges.select(F.col("u").alias("end"), "edge_id", "v", "paper_id")
+    width = 32 * limit
+    while True:
+        rows, left = None, False
+        for i, goal in enumerate(toward):
+            if rows is None:
+                rows = edges.join(ids, "u", "left_semi").select(F.array("u", "v").alias("nodes"), F.array("edge_id").alias("edges"), F.array("paper_id").alias("papers"))
+            else:
+                rows = _grown(rows, end)
+            if goal is not None:
+                rows = rows.join(goal, F.element_at("nodes", -1) == goal["end"], "left_semi")
+            rows, more = _least(rows, limit if i == len(toward) - 1 else width)
+            left |= more and i < len(toward) - 1
+        if not left or rows.count() >= limit:
+            return rows
+        width *= 16
+
+
+def _by_hops(edges: DataFrame, ids: DataFrame, goals: list[list[DataFrame | None]], limit: int) -> DataFrame:
+    """Up to limit trails, shorter ones first; goals has a list for each number of hops. Longer ones are looked for only while there are too few."""
+    spark, rows = edges.sparkSession, []
+    columns = edges.select(F.array("u").alias("nodes"), F.array("edge_id").alias("edges"), F.array("paper_id").alias("papers"), F.lit(1).alias("hops")).schema
+    for h, toward in enumerate(goals, 1):
+        if len(rows) < limit:
+            rows += _first_trails(edges, ids, toward, limit - len(rows)).withColumn("hops", F.lit(h)).collect()  # limit rows at most
+    return spark.createDataFrame(rows, columns).orderBy("hops", "edges", "nodes")
 
 
 def neighbourhood(relations: DataFrame, start: list[int], hops: int = 2, limit: int = 100) -> DataFrame:
-    """Up to limit trails around the start, shortest first, as distinct edges."""
-    return _shortest(_levels(relations, start, hops), limit).select(F.explode("edges").alias("id")).distinct().join(relations, "id")
+    """Up to limit trails around the start, shortest first, as distinct edges. Runs bounded jobs while it is built."""
+    edges = kept(undirected(relations), new_path(relations.sparkSession, "edges"))
+    ids = F.broadcast(relations.sparkSession.createDataFrame([(int(i),) for i in sorted(set(start))], "u long"))  # what the caller names
+    found = _by_hops(edges, ids, [[None] * h for h in range(1, hops + 1)], limit)
+    return F.broadcast(found.select(F.explode("edges").alias("id")).distinct()).join(relations, "id")
 
 
 def paths_between(relations: DataFrame, a: list[int], b: list[int], hops: int = 4, limit: int = 20) -> DataFrame:
-    """Up to limit trails from a to b, shortest first.
+    """Up to limit trails from a to b, shortest first: nodes, edges, papers, hops. Runs bounded jobs while it is built.
 
-    A trail of k hops is half a trail from a and half a trail from b that meet: a hub is then entered from both sides instead of
-    being crossed by every trail that reaches it. Longer trails are looked for only if shorter ones are too few.
+    First, sets of nodes: those from which b can be reached in 1, 2, ... relations, by joins and distinct. Then trails are spelled out
+    from a through these sets alone, so none that can't arrive in the hops left is begun.
     """
+    spark = relations.sparkSession
     if not a or not b:
         return trails(relations, a or [-1], 1).limit(0)
-    ahead, back = _levels(relations, a, -(-hops // 2)), _levels(relations, b, hops // 2)
-    found = [ahead[0].where(F.element_at("nodes", -1).isin(*b))]
-    for k in range(2, hops + 1):
-        left = ahead[-(-k // 2) - 1].withColumn("end", F.element_at("nodes", -1))
-        right = back[k // 2 - 1].select(F.element_at("nodes", -1).alias("end"), F.reverse("nodes").alias("n2"), F.reverse("edges").alias("e2"), F.reverse("papers").alias("p2"))
-        met = left.join(right, "end").where(F.size(F.array_intersect("edges", "e2")) == 0)
-        found.append(met.select(F.concat("nodes", F.slice("n2", 2, 2 * hops)).alias("nodes"), F.concat("edges", "e2").alias("edges"), F.concat("papers", "p2").alias("papers")))
-    return _shortest(found, limit)
+    edges = kept(undirected(relations), new_path(spark, "edges"))
+    named = lambda xs, c: F.broadcast(spark.createDataFrame([(int(i),) for i in sorted(set(xs))], f"{c} long"))
+    reach = [named(b, "end")]
+    for _ in range(1, hops):
+        back = edges.select("u", F.col("v").alias("end")).join(reach[-1], "end", "left_semi").select(F.col("u").alias("end")).distinct()
+        reach.append(kept(back, new_path(spark, "reach")))
+    return _by_hops(edges, named(a, "u"), [reach[:h][::-1] for h in range(1, hops + 1)], limit)
 
 
 def topic_papers(papers: DataFrame, entities: DataFrame, links: DataFrame, topic: str) -> DataFrame:
