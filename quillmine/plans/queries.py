@@ -756,10 +756,14 @@ def _(spark, d):
     return graph.degrees(co.relationships(spark, d).select(F.col("source_entity_id").alias("source"), F.col("target_entity_id").alias("target")))
 
 
-@query("node_palette", "SELECT type, CASE " + " ".join(f"WHEN contains(lower(type), '{k}') THEN '{k}'" for k in lx.PALETTE) + f" ELSE 'entity' END AS category FROM (SELECT unnest([{', '.join(repr(t) for t in (*lx.ENTITY_TYPES, 'Paper'))}]) AS type)", False)
+_PALETTE = "CASE " + " ".join(f"WHEN contains(lower(type), '{k}') THEN '{k}'" for k in lx.PALETTE) + " ELSE 'entity' END"
+
+
+@query("node_palette", f"WITH n AS (SELECT 'entity-' || id AS id, entity_type AS type FROM entities UNION ALL SELECT 'paper-' || id, 'Paper' FROM papers) SELECT id, type, {_PALETTE} AS category FROM n")
 def _(spark, d):
-    t = spark.range(1).select(F.explode(F.array(*[F.lit(t) for t in (*lx.ENTITY_TYPES, "Paper")])).alias("type"))
-    return t.select("type", graph.palette(F.col("type")).alias("category"))
+    nodes = co.entities(spark, d).select(F.concat(F.lit("entity-"), "id").alias("id"), F.col("entity_type").alias("type"))
+    nodes = nodes.unionByName(co.papers(spark, d, text=False).select(F.concat(F.lit("paper-"), "id").alias("id"), F.lit("Paper").alias("type")))
+    return nodes.select("id", "type", graph.palette(F.col("type")).alias("category"))
 
 
 # Synthesis.
