@@ -27,7 +27,7 @@ def _nfkc(x: pd.Series) -> pd.Series:
 
 
 def nfkc(x: Column) -> Column:
-    """NFKC; the JVM has no function for it, so texts with a non-ASCII character go through Arrow, others don't."""
+    """NFKC; the JVM has no function for it, so all texts go through Arrow, and ASCII ones come back as they are."""
     return F.when(x.rlike(r"[^\x00-\x7F]"), _nfkc(x)).otherwise(x)
 
 

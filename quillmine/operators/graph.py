@@ -83,7 +83,7 @@ def co_mentions(links: DataFrame, per_paper: int = 8, ahead: int = 3) -> DataFra
         F.lit("co_mentioned_with").alias("relationship"),
         "target",
         confidence.alias("confidence"),
-        F.concat(F.lit("Fast local graph: both entities occur in paper "), F.col("paper_id").cast("string"), F.lit(".")).alias("evidence"),
+        F.concat(F.lit(lx.CO_MENTION_EVIDENCE), F.col("paper_id").cast("string"), F.lit(".")).alias("evidence"),
         "paper_id",
         F.lit("co_mention").alias("kind"),
     )

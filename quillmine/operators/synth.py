@@ -252,11 +252,11 @@ def answer(results: DataFrame, sentences: DataFrame, entities: DataFrame, facts:
     text = F.concat_ws(
         "\n",
         F.lit(lx.KEY_FINDING), F.col("key_finding"), F.lit(""),
-        F.lit(lx.STRENGTH), F.concat(F.initcap("confidence"), F.lit(" support from "), F.col("n_results").cast("string"), F.lit(" retrieved chunks and "), F.col("n_relations").cast("string"), F.lit(" validated graph relationship(s).")), F.lit(""),
-        F.lit(lx.CONCEPTS), F.concat(F.lit("- Methods/concepts: "), none("methods", lx.NO_METHODS)),
-        F.concat(F.lit("- Targets/domains: "), none("targets", lx.NO_TARGETS)), F.lit(""),
+        F.lit(lx.STRENGTH), F.concat(F.initcap("confidence"), F.lit(lx.SUPPORT), F.col("n_results").cast("string"), F.lit(lx.CHUNKS_AND), F.col("n_relations").cast("string"), F.lit(lx.RELATIONSHIPS)), F.lit(""),
+        F.lit(lx.CONCEPTS), F.concat(F.lit(lx.METHODS_LABEL), none("methods", lx.NO_METHODS)),
+        F.concat(F.lit(lx.TARGETS_LABEL), none("targets", lx.NO_TARGETS)), F.lit(""),
         F.lit(lx.BEST), F.array_join("evidence", "\n"), F.lit(""),
         F.lit(lx.GROUNDING), F.when(F.size("relations") > 0, F.array_join("relations", "\n")).otherwise(lx.NO_FACTS),
     )
-    empty = F.lit(f"No indexed evidence was found for '{query}'. Upload and process papers first, then retry GraphRAG.")
+    empty = F.lit(lx.EMPTY_ANSWER.format(query))
     return one.withColumn("answer", F.when(F.col("n_results") == 0, empty).otherwise(text))

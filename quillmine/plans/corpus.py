@@ -11,6 +11,7 @@ from quillmine.functions import lexicon as lx
 from quillmine.functions.scores import valid_name
 from quillmine.functions.segments import importance
 from quillmine.functions.text import scoped_key, word_count
+from quillmine.sources.shelf import kept, new_path
 
 SECTIONS = ("abstract", "introduction", "related_work", "methods", "results", "discussion", "conclusion", "future_work", "other", "methodology")
 STATUS = ("failed", "processing", "pending", "completed")
@@ -80,20 +81,37 @@ def mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = mentions(spark, sf_dir)
+    return _entities(mentions(spark, sf_dir))
+
+
+def paper_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _links(mentions(spark, sf_dir))
+
+
+def relationships(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _relationships(mentions(spark, sf_dir))
+
+
+def evidence(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Entities, links and relationships of one table of mentions, so that names are looked for in the texts once."""
+    m = kept(mentions(spark, sf_dir), new_path(spark, "mentions"))
+    return _entities(m), _links(m), _relationships(m)
+
+
+def _entities(m: DataFrame) -> DataFrame:
     return m.groupBy(F.col("entity_id").alias("id"), "workspace_id", "normalized_name").agg(
         F.min_by("name", F.struct("paper_id", "name")).alias("name"), F.count("*").cast("int").alias("paper_count")
     ).withColumn("entity_type", F.get(F.array(*[F.lit(k) for k in KINDS]), F.pmod("id", F.lit(len(KINDS))).cast("int")))
 
 
-def paper_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mentions(spark, sf_dir).select("paper_id", "entity_id", "frequency")
+def _links(m: DataFrame) -> DataFrame:
+    return m.select("paper_id", "entity_id", "frequency")
 
 
-def relationships(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _relationships(m: DataFrame) -> DataFrame:
     """Neighbours among a document's six most frequent entities, typed in turn: a stand-in for extracted relations."""
     order = Window.partitionBy("paper_id").orderBy(F.desc("frequency"), "name", "entity_id")
-    top = mentions(spark, sf_dir).withColumn("k", F.row_number().over(order)).where("k <= 6")
+    top = m.withColumn("k", F.row_number().over(order)).where("k <= 6")
     linked = top.withColumn("target", F.lead("entity_id").over(order)).where("target is not null")
     kinds = F.array(*[F.lit(r) for r in lx.RELATIONS])
     return linked.select(

@@ -78,7 +78,7 @@ def _(spark, d):
 
 @query("topic_papers_indexed", ORACLE["topic_papers"], prelude=False)
 def _(spark, d):
-    e, links = co.entities(spark, d), co.paper_entities(spark, d)
+    e, links, _ = co.evidence(spark, d)
     hit = postings.containing(postings.build(e, "id", "name"), e, "id", "name", TOPIC)
     return graph.topic_papers(co.papers(spark, d, text=False), hit, links, TOPIC)
 
@@ -146,13 +146,15 @@ def _(spark, d):
 
 @query("laid_out_chunks", "SELECT c.paper_id, count(*) AS n, max(publication_year) AS year, max(importance_score) AS best FROM chunks c JOIN papers p ON p.id = c.paper_id WHERE p.workspace_id = 'en' GROUP BY 1")
 def _(spark, d):
-    w = Workspace(spark, co.papers(spark, d, text=False), co.chunks(spark, d).drop("content"), co.entities(spark, d), co.paper_entities(spark, d))
+    e, links, _ = co.evidence(spark, d)
+    w = Workspace(spark, co.papers(spark, d, text=False), co.chunks(spark, d).drop("content"), e, links)
     return w.chunk_papers("en").groupBy("paper_id").agg(F.count("*").alias("n"), F.max("publication_year").alias("year"), F.max("importance_score").alias("best"))
 
 
 @query("laid_out_links", "SELECT e.id AS entity_id, name, count(*) AS n, CAST(sum(frequency) AS BIGINT) AS total FROM paper_entities l JOIN entities e ON e.id = l.entity_id WHERE e.workspace_id = 'de' GROUP BY 1, 2")
 def _(spark, d):
-    w = Workspace(spark, co.papers(spark, d, text=False), co.chunks(spark, d).drop("content"), co.entities(spark, d), co.paper_entities(spark, d))
+    e, links, _ = co.evidence(spark, d)
+    w = Workspace(spark, co.papers(spark, d, text=False), co.chunks(spark, d).drop("content"), e, links)
     return w.entity_links("de").groupBy("entity_id", "name").agg(F.count("*").alias("n"), F.sum("frequency").alias("total"))
 
 

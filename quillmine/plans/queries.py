@@ -622,7 +622,7 @@ def _(spark, d):
 
 
 def _context(spark, d):
-    return co.entities(spark, d), co.paper_entities(spark, d)
+    return co.evidence(spark, d)[:2]
 
 
 @query("entity_candidates", """WITH e AS (SELECT *, split_part(normalized_name, ':', 2) AS key FROM entities),
@@ -664,9 +664,9 @@ def _(spark, d):
  SELECT source, relationship_type AS relationship, b.name AS target, round(confidence, 4) AS confidence, paper_id FROM hit JOIN entities b ON b.id = target_entity_id
  WHERE {_GRAPH_VALID.format('source')} AND {_GRAPH_VALID.format('b.name')}""")
 def _(spark, d):
-    e = co.entities(spark, d)
+    e, _, relations = co.evidence(spark, d)
     ids = e.orderBy(F.desc("paper_count"), "id").limit(24).select("id")
-    f = graph.explicit_facts(co.relationships(spark, d), e, ids)
+    f = graph.explicit_facts(relations, e, ids)
     return f.select("source", "relationship", "target", F.round("confidence", 4).alias("confidence"), "paper_id")
 
 
@@ -676,16 +676,16 @@ _PG = """WITH near AS (SELECT entity_id, name, entity_type, frequency, paper_cou
 @query("paper_graph_nodes", _PG + """ SELECT 'paper-7' AS id, title AS label, 'Paper' AS type, CAST(NULL AS INT) AS mention_count, 1 AS paper_count FROM papers WHERE id = 7
  UNION ALL SELECT 'entity-' || entity_id, name, entity_type, frequency, paper_count FROM near""")
 def _(spark, d):
-    e, links = _context(spark, d)
-    return graph.paper_graph(co.papers(spark, d, text=False).where("id = 7"), e, links, co.relationships(spark, d))[0]
+    e, links, relations = co.evidence(spark, d)
+    return graph.paper_graph(co.papers(spark, d, text=False).where("id = 7"), e, links, relations)[0]
 
 
 @query("paper_graph_edges", _PG + """, ins AS (SELECT * FROM relationships WHERE source_entity_id IN (SELECT entity_id FROM near) AND target_entity_id IN (SELECT entity_id FROM near) ORDER BY confidence DESC, id LIMIT 100)
  SELECT 'paper-7' AS source, 'entity-' || entity_id AS target, 'MENTIONS' AS type, CAST(NULL AS DOUBLE) AS confidence, CAST(7 AS BIGINT) AS paper_id FROM near
  UNION ALL SELECT 'entity-' || source_entity_id, 'entity-' || target_entity_id, relationship_type, round(confidence, 4), paper_id FROM ins""")
 def _(spark, d):
-    e, links = _context(spark, d)
-    g = graph.paper_graph(co.papers(spark, d, text=False).where("id = 7"), e, links, co.relationships(spark, d))[1]
+    e, links, relations = co.evidence(spark, d)
+    g = graph.paper_graph(co.papers(spark, d, text=False).where("id = 7"), e, links, relations)[1]
     return g.withColumn("confidence", F.round("confidence", 4))
 
 
@@ -703,16 +703,16 @@ _EG = f"""WITH seeds AS (SELECT * FROM entities WHERE lower(name) = '{NAME.lower
  SELECT 'entity-' || entity_id AS id, name AS label, entity_type AS type, paper_count, CAST(arg_max(mention_count, (wave, -mention_count)) AS INT) AS mention_count FROM found GROUP BY ALL
  UNION ALL SELECT DISTINCT 'paper-' || paper_id, title, 'Paper', 1, CAST(NULL AS INT) FROM said""")
 def _(spark, d):
-    e, links = _context(spark, d)
-    return graph.entity_graph(NAME, co.papers(spark, d, text=False), e, links, co.relationships(spark, d))[0]
+    e, links, relations = co.evidence(spark, d)
+    return graph.entity_graph(NAME, co.papers(spark, d, text=False), e, links, relations)[0]
 
 
 @query("entity_graph_edges", _EG + """ SELECT 'paper-' || paper_id AS source, 'entity-' || entity_id AS target, 'MENTIONS' AS type, CAST(NULL AS DOUBLE) AS confidence, paper_id FROM said
  UNION ALL SELECT 'entity-' || source_entity_id, 'entity-' || target_entity_id, relationship_type, round(confidence, 4), paper_id FROM rel
  UNION ALL SELECT 'paper-' || paper_id, 'entity-' || entity_id, 'MENTIONS', NULL, paper_id FROM co""")
 def _(spark, d):
-    e, links = _context(spark, d)
-    g = graph.entity_graph(NAME, co.papers(spark, d, text=False), e, links, co.relationships(spark, d))[1]
+    e, links, relations = co.evidence(spark, d)
+    g = graph.entity_graph(NAME, co.papers(spark, d, text=False), e, links, relations)[1]
     return g.withColumn("confidence", F.round("confidence", 4))
 
 
@@ -723,19 +723,21 @@ _TRAILS = f"""{_UND}, tr AS (SELECT [edge_id] AS edges, v AS tip, 1 AS hops FROM
  UNION ALL SELECT list_append(t.edges, e.edge_id), e.v, t.hops + 1 FROM tr t JOIN und e ON e.u = t.tip AND NOT list_contains(t.edges, e.edge_id) WHERE t.hops < @)"""
 
 
-def _start(spark, d):
-    found = co.entities(spark, d).where("paper_count >= 20").orderBy("paper_count", "id").select("id").take(1)
+def _start(entities):
+    found = entities.where("paper_count >= 20").orderBy("paper_count", "id").select("id").take(1)
     return [r["id"] for r in found] or [-1]
 
 
 @query("khop", f"WITH {_TRAILS.replace('@', '2')}, f AS (SELECT edges, hops FROM tr ORDER BY hops, edges LIMIT 100), x AS (SELECT DISTINCT unnest(edges) AS id FROM f) SELECT r.id, source_entity_id, target_entity_id, relationship_type FROM x JOIN relationships r ON r.id = x.id")
 def _(spark, d):
-    return graph.neighbourhood(co.relationships(spark, d), _start(spark, d)).select("id", "source_entity_id", "target_entity_id", "relationship_type")
+    e, _, r = co.evidence(spark, d)
+    return graph.neighbourhood(r, _start(e)).select("id", "source_entity_id", "target_entity_id", "relationship_type")
 
 
 @query("paths", f"WITH {_TRAILS.replace('@', '4')} SELECT array_to_string(edges, ',') AS edges, hops FROM tr WHERE tip IN (SELECT target_entity_id FROM relationships WHERE source_entity_id IN {_START}) ORDER BY hops, tr.edges LIMIT 20")
 def _(spark, d):
-    r, a = co.relationships(spark, d), _start(spark, d)
+    e, _, r = co.evidence(spark, d)
+    a = _start(e)
     b = [x["target_entity_id"] for x in r.where(F.col("source_entity_id").isin(*a)).select("target_entity_id").distinct().collect()]  # of one entity
     return graph.paths_between(r, a, b, 4).select(F.array_join(F.transform("edges", lambda e: e.cast("string")), ",").alias("edges"), "hops")
 
@@ -884,18 +886,18 @@ _CONTEXT = f"""asked AS (SELECT paper_id FROM top), named AS (SELECT *, split_pa
  (SELECT string_agg(rank || '. ' || title || ' (' || section || ', paper_id=' || paper_id || ', score=' || printf('%.2f', score) || '): ' || array_to_string(({_words('content')})[1:42], ' '), chr(10) ORDER BY rank) FROM best WHERE rank <= 5) AS evidence,
  (SELECT string_agg('- ' || source || ' --' || relationship || '--> ' || target || ' (confidence ' || printf('%.2f', confidence) || ', paper_id=' || paper_id || ')', chr(10) ORDER BY k) FROM facts WHERE k <= 6) AS relations),
  graded AS (SELECT *, CASE WHEN n_results >= 5 AND n_relations > 0 THEN 'high' WHEN n_results >= 3 THEN 'moderate' ELSE 'low' END AS confidence FROM head)"""
-_EMPTY = f"No indexed evidence was found for '{QUERY}'. Upload and process papers first, then retry GraphRAG.".replace("'", "''")
+_EMPTY = lx.EMPTY_ANSWER.format(QUERY).replace("'", "''")
 
 
 @query("answer", f"""WITH {_RANKED}, {_CONTEXT} SELECT n_results, n_relations, confidence, CASE WHEN n_results = 0 THEN '{_EMPTY}' ELSE concat_ws(chr(10), '{lx.KEY_FINDING}', finding, '',
- '{lx.STRENGTH}', upper(confidence[1]) || confidence[2:] || ' support from ' || n_results || ' retrieved chunks and ' || n_relations || ' validated graph relationship(s).', '',
- '{lx.CONCEPTS}', '- Methods/concepts: ' || coalesce(methods, '{lx.NO_METHODS}'), '- Targets/domains: ' || coalesce(targets, '{lx.NO_TARGETS}'), '',
+ '{lx.STRENGTH}', upper(confidence[1]) || confidence[2:] || '{lx.SUPPORT}' || n_results || '{lx.CHUNKS_AND}' || n_relations || '{lx.RELATIONSHIPS}', '',
+ '{lx.CONCEPTS}', '{lx.METHODS_LABEL}' || coalesce(methods, '{lx.NO_METHODS}'), '{lx.TARGETS_LABEL}' || coalesce(targets, '{lx.NO_TARGETS}'), '',
  '{lx.BEST}', evidence, '', '{lx.GROUNDING}', coalesce(relations, '{lx.NO_FACTS}')) END AS answer FROM graded""")
 def _(spark, d):
     from quillmine.plans.engine import Engine
 
-    e, links = _context(spark, d)
-    engine = Engine(co.papers(spark, d), co.chunks(spark, d), e, links, co.relationships(spark, d))
+    e, links, relations = co.evidence(spark, d)
+    engine = Engine(co.papers(spark, d), co.chunks(spark, d), e, links, relations)
     return engine.answer(QUERY).select("n_results", "n_relations", "confidence", "answer")
 
 
