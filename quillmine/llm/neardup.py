@@ -278,10 +278,12 @@ def _sketches(rows: DataFrame, shingle: int, bands: int, least: float) -> DataFr
                 keys = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(count)).astype(np.int32)), pa.array(key.view(np.int64)))
                 bag, wide = (pa.array([x.tobytes() for x in bags(w, n)], pa.binary()) for n in (BUCKETS, WIDE))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(np.diff(w.first)), *map(pa.array, halves), bag, wide, keys], ["doc_id", "n_words", "w1", "w2", "bag", "wide", "keys"]
+                    [part.column(0), part.column(2), pa.array(np.diff(w.first)), *map(pa.array, halves), bag, wide, keys],
+                    ["doc_id", "x", "n_words", "w1", "w2", "bag", "wide", "keys"],
                 )
 
-    return rows.mapInArrow(scan, "doc_id long, n_words long, w1 long, w2 long, bag binary, wide binary, keys array<long>")
+    rows = rows.select("doc_id", "text", F.xxhash64("text").alias("x"))
+    return rows.mapInArrow(scan, "doc_id long, x long, n_words long, w1 long, w2 long, bag binary, wide binary, keys array<long>")
 
 
 def _allowed(pairs: DataFrame, least: float) -> DataFrame:
@@ -349,15 +351,36 @@ def _verified(pairs: DataFrame, least: float) -> DataFrame:
     return pairs.select("a", "b", "text_a", "text_b").mapInArrow(verify, "a long, b long")
 
 
-def _links(rows: DataFrame, pairs: DataFrame, least: float) -> DataFrame:
-    """The pairs (a, b) whose texts are similar, stored."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = stored(rows.join(ids.hint("merge"), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")), "near-texts")
-    one = hot_join(pairs, texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), ["a"])
-    two = hot_join(one, texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), ["b"], counted=pairs)
+def _links(rows: DataFrame, nodes: DataFrame, pairs: DataFrame, least: float) -> DataFrame:
+    """The pairs (a, b) of nodes (node, home, x) whose texts are similar, stored. A node's text is that of doc_id home and hash x."""
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    wanted = nodes.join(ids.hint("merge"), "node", "left_semi").select("node", F.col("home").alias("doc_id"), "x")
+    texts = rows.withColumn("x", F.xxhash64("text")).join(wanted.hint("merge"), ["doc_id", "x"])
+    texts = stored(texts.groupBy("node").agg(F.min("text").alias("text")), "near-texts")
+    one = hot_join(pairs, texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), ["a"])
+    two = hot_join(one, texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), ["b"], counted=pairs)
     return stored(_verified(two, least), "near-links")
 
 
+#: Numbers from here on name texts whose doc_id names another text already.
+SECOND = 1 << 62
+
+
+def _nodes(able: DataFrame) -> DataFrame:
+    """w1, w2, node, home, x, n: a row for each text (by its words), stored.
+
+    home is the least doc_id that has it, x the least hash of such a row's text, n the number of rows. node is its number:
+    its home, but where a doc_id is home to several texts the others have 62 bits of a hash of home and words, above SECOND.
+    """
+    homes = stored(able.groupBy("w1", "w2").agg(F.min(F.struct(F.col("doc_id").alias("home"), "x")).alias("h"), F.count("*").alias("n")).select("w1", "w2", "h.*", "n"), "near-homes")
+    # A row per home; with equal doc_ids everywhere the first texts alone keep theirs.
+    first = homes.groupBy("home").agg(F.min(F.struct("w1", "w2")).alias("f"), F.count("*").alias("texts")).where("texts > 1").select("home", "f")
+    marked = hot_join(homes, first, ["home"], "left", counted=homes.select("home"))
+    other = F.xxhash64("home", "w1", "w2").bitwiseAND(F.lit(SECOND - 1)).bitwiseOR(F.lit(SECOND))
+    node = F.when(F.col("f").isNull() | (F.col("f") == F.struct("w1", "w2")), F.col("home")).otherwise(other)
+    return stored(marked.select("w1", "w2", node.alias("node"), "home", "x", "n"), "near-nodes")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, bands: int = BANDS, least: float = SIMILARITY) -> DataFrame:
     """Per row: doc_id, class_id, n_links.
 
@@ -365,18 +388,25 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, bands: int = BANDS,
     n_links counts the verified links of the class member that stands for its equal copies, to members with other words;
     pairs that leaders have joined are not aligned again, so a member may be similar to more. A document without a
     near-duplicate has its own id and no link. Null texts are empty; texts without a word are equal. Rows without a doc_id
-    have a null class. Repeated rows get equal results. An empty table gives no row; other columns are ignored.
+    have a null class. Repeated rows get equal results; rows that share a doc_id but not the words are judged by their own texts.
+    doc_id must be a whole number. An empty table gives no row; other columns are ignored.
 
     All that share an entry are first paired with two leaders, the least and greatest doc_id of like length. Then any two
     members of an entry that are not in one class by that are paired too, in blocks of members, unless their lengths or
     bags of words rule similarity out. So each pair in an entry is aligned, ruled out or joined by transitivity.
     """
+    named = _classes(docs, shingle, bands, least)
+    return named.select("doc_id", "class_id", "n_links")
+
+
+def _classes(docs: DataFrame, shingle: int = SHINGLE, bands: int = BANDS, least: float = SIMILARITY) -> DataFrame:
+    """What near_duplicates returns, with the hash x of the row's text, its node and the class's node that stands for it."""
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     scanned = stored(_sketches(rows, shingle, bands, least), "near-sketches")
     able = scanned.where("doc_id is not null")
-    homes = stored(able.groupBy("w1", "w2").agg(F.min("doc_id").alias("home"), F.count("*").alias("n")), "near-homes")
-    homed = able.select("doc_id", "n_words", "w1", "w2", "bag", "wide", "keys").join(homes.select("w1", "w2", F.col("home").alias("doc_id")), ["w1", "w2", "doc_id"])
-    first = stored(homed.dropDuplicates(["w1", "w2", "doc_id"]).drop("w1", "w2"), "near-first")
+    nodes = _nodes(able)
+    homed = able.select("doc_id", "x", "n_words", "w1", "w2", "bag", "wide", "keys").join(nodes.select("w1", "w2", F.col("home").alias("doc_id"), "x", "node"), ["w1", "w2", "doc_id", "x"])
+    first = stored(homed.dropDuplicates(["node"]).select(F.col("node").alias("doc_id"), "n_words", "bag", "wide", "keys"), "near-first")
     keyed = first.select("doc_id", F.explode(F.array_distinct("keys")).alias("key"))
     keys = stored(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "near-keys")
     shared = stored(hot_join(keyed, keys.select("key"), ["key"], counts=keys.select("key", F.col("n").alias("qm_n"))), "near-shared")
@@ -392,7 +422,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, bands: int = BANDS,
     )
     paired = paired.where("with.id <> a").select("a", "n_a", "bag_a", F.col("with.id").alias("b"), F.col("with.n").alias("n_b"), F.col("with.bag").alias("bag_b"))
     led = stored(_allowed(paired, least).distinct(), "near-pairs")
-    links = _links(rows, led, least)
+    links = _links(rows, nodes, led, least)
     # What leaders left apart: entries with members of several classes.
     by_leaders = stored(components(links), "near-led")
     labelled = met.join(by_leaders.select(F.col("id").alias("doc_id"), "class_id").hint("merge"), "doc_id", "left")
@@ -410,27 +440,38 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, bands: int = BANDS,
     tagged = F.struct(F.col("doc_id").alias("id"), F.col("n_words").alias("n"), "bag", "wide", "sketch", "class_id", "block")
     groups = dealt.groupBy("key", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two")).agg(F.collect_list(tagged).alias("members"))
     rest = stored(_across(groups, least, bands).distinct().join(led.hint("merge"), ["a", "b"], "left_anti"), "near-rest")
-    links = stored(links.union(_links(rows, rest, least)), "near-links")
-    classes = components(links)
+    links = stored(links.union(_links(rows, nodes, rest, least)), "near-links")
+    # A class goes by its least doc_id; its node stands for it.
+    classes = components(links).join(nodes.select(F.col("node").alias("id"), "home").hint("merge"), "id")
+    lead = F.min(F.struct("home", F.col("id").alias("node"))).alias("lead")
+    heads = classes.groupBy("class_id").agg(lead).select("class_id", F.col("lead.home").alias("least_id"), F.col("lead.node").alias("head"))
+    classes = hot_join(classes.select("id", "class_id"), heads, ["class_id"]).select("id", "least_id", "head")
     degree = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("n_links"))
-    named = hot_join(scanned.select("doc_id", "w1", "w2"), homes.where("n > 1").select("w1", "w2", "home"), ["w1", "w2"], "left")
-    named = named.withColumn("id", F.coalesce("home", "doc_id")).select("doc_id", "id")
+    several = nodes.where("n > 1 or node <> home").select("w1", "w2", "node", "home")
+    named = hot_join(scanned.select("doc_id", "x", "w1", "w2"), several, ["w1", "w2"], "left")
+    named = named.select("doc_id", "x", F.coalesce("node", "doc_id").alias("id"), F.coalesce("home", "doc_id").alias("home"))
     found = stored(classes.join(degree, "id", "left"), "near-classes")
     return hot_join(stored(named, "near-named"), found, ["id"], "left").select(
         "doc_id",
-        F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "id")).alias("class_id"),
+        F.when(F.col("doc_id").isNotNull(), F.coalesce("least_id", "home")).alias("class_id"),
         F.coalesce("n_links", F.lit(0)).alias("n_links"),
+        "x",
+        F.col("id").alias("node"),
+        F.coalesce("head", "id").alias("head"),
     )
 
 
 def distinct_documents(docs: DataFrame, **options) -> DataFrame:
     """One document of each class, that of the least doc_id, with all columns; of repeated rows one.
 
-    Null and empty texts, and texts without a word, are equal, so one of them stays. Rows without a doc_id all stay. Of rows
-    that share a kept doc_id one stays for each text. An empty table gives an empty one; other columns, whatever their
+    Null and empty texts, and texts without a word, are equal, so one of them stays. Rows without a doc_id all stay. Rows that
+    share a doc_id stay or go by their own texts. An empty table gives an empty one; other columns, whatever their
     names, are passed on.
     """
-    kept = near_duplicates(docs, **options).where("doc_id = class_id").select(F.col("doc_id").alias("qm_id")).distinct()
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("qm_row"), F.col("doc_id").alias("qm_id"), F.xxhash64("text").alias("qm_x"))
-    one = rows.join(kept.hint("merge"), "qm_id", "left_semi").dropDuplicates(["qm_id", "qm_x"])
+    heads = _classes(docs, **options).where("node = head and doc_id = class_id")
+    # Texts of equal words may differ in white space: one of them stays. Rows of one text go before they are exchanged.
+    kept = heads.groupBy("head").agg(F.min(F.struct("doc_id", "x")).alias("k")).select(F.col("k.doc_id").alias("qm_id"), F.col("k.x").alias("qm_x"))
+    text = F.coalesce(F.col("text"), F.lit(""))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("qm_row"), F.col("doc_id").alias("qm_id"), F.xxhash64(text).alias("qm_x"))
+    one = rows.join(kept.hint("merge"), ["qm_id", "qm_x"], "left_semi").dropDuplicates(["qm_id", "qm_x"])
     return one.select("qm_row").union(rows.where("qm_id is null").select("qm_row")).select(*[F.col("qm_row")[c].alias(c) for c in docs.columns])

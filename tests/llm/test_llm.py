@@ -868,3 +868,49 @@ def test_archives_are_bounded_by_bytes(spark, tmp_path, monkeypatch):
     sizes = [p.stat().st_size for p in (tmp_path / "a").glob("part-*")]
     assert len(sizes) > 4 and max(sizes) < 70_000
     assert sorted(r["page_id"] for r in warc.read(spark, path).collect()) == list(range(40))
+
+
+def test_several_texts_of_one_id(spark):
+    """Rows that share a doc_id are judged by their own texts."""
+    rng = random.Random(31)
+    v = vocabulary(rng)
+    prose = lambda: [rng.choice(v) for _ in range(120)]
+    a, b, c = prose(), prose(), prose()
+    changed = [*b[:60], "other", *b[61:]]
+    rows = [(1, a), (1, b), (2, changed), (3, [*a, "more"]), (5, c), (5, changed), (7, prose()), (7, prose()), (7, [*c, "x"])]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in rows] + [(7, " ".join(c) + "\n")], "doc_id long, text string").repartition(3)
+    got = collections.Counter((r["doc_id"], r["class_id"], r["n_links"] > 0) for r in neardup.near_duplicates(docs).collect())
+    want = [(1, 1, True), (1, 1, True), (2, 1, True), (3, 1, True), (5, 5, True), (5, 1, True), (7, 7, False), (7, 7, False), (7, 5, True), (7, 5, True)]
+    assert got == collections.Counter(want)
+    kept = sorted((r["doc_id"], r["text"].split()) for r in neardup.distinct_documents(docs).collect())
+    assert kept == sorted([(1, a), (1, b), (5, c), *((i, w) for i, w in rows[6:8])])
+
+
+def test_one_id_for_all(spark):
+    """No doc_id tells rows apart: classes are those of the same rows with ids of their own."""
+    rows = [(i, t) for i, t in texts() if i is not None]
+    words_of = lambda t: tuple(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+    own = spark.createDataFrame([(k, t) for k, (_, t) in enumerate(rows)], "doc_id long, text string")
+    one = spark.createDataFrame([(4, t) for _, t in rows], "doc_id long, text string")
+    left = sorted(words_of(r["text"]) for r in neardup.distinct_documents(own).collect())
+    kept = [words_of(r["text"]) for r in neardup.distinct_documents(one).collect()]
+    assert len(kept) == len(left) == len(set(kept)) and {r["class_id"] for r in neardup.near_duplicates(one).collect()} == {4}
+
+
+def test_mix_of_any_column_type(spark, docs):
+    wide = docs.withColumn("m", F.create_map(F.lit("k"), F.col("doc_id"))).withColumn("s", F.struct(F.array(F.create_map(F.lit(1), F.lit(2)))))
+    mixed, plain = fair_mix.mixed_documents(wide), fair_mix.mixed_documents(docs)
+    assert mixed.columns == wide.columns and mixed.where("m['k'] <=> doc_id").count() == mixed.count() > 0
+    assert abs(mixed.count() - plain.count()) <= 0.2 * plain.count()
+
+
+def test_token_files_are_bounded(spark, docs, tmp_path, monkeypatch):
+    """A file ends after so many segments; what is read back doesn't depend on it."""
+    want = sorted(map(tuple, tokenfile.tokens(docs, BPE).collect()), key=repr)
+    monkeypatch.setattr(tokenfile, "SEGMENT_IDS", 2000)
+    monkeypatch.setattr(tokenfile, "FILE_SEGMENTS", 1)
+    tokenfile.write(docs, f"file://{tmp_path}/t", BPE)
+    found = tokenfile.read(spark, f"file://{tmp_path}/t")
+    files = len(list((tmp_path / "t").glob("part-*")))
+    assert files == found.select("part", "number").distinct().count() > 8
+    assert sorted(map(tuple, tokenfile.tokens(docs, BPE).collect()), key=repr) == want
