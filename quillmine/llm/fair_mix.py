@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -113,14 +115,17 @@ def mixed_documents(docs: DataFrame, weights=(5, 2, 1), max_repeats: int = 3, bu
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     all_columns = [F.col(f"`{c}`") for c in docs.columns]
-    rows = docs.select(F.struct(*all_columns).alias("qm_row"), F.xxhash64(*all_columns).alias("qm_h1"), F.xxhash64(F.lit(seed), *all_columns).alias("qm_h2"))
+    # Maps and variants have no hash; their JSON has.
+    hashed = [F.to_json(F.struct(c)) if re.search("map<|variant", kind) else c for c, (_, kind) in zip(all_columns, docs.dtypes, strict=True)]
+    h1, h2 = F.xxhash64(*hashed).alias("qm_h1"), F.xxhash64(F.lit(seed), *hashed).alias("qm_h2")
+    rows = docs.select(F.struct(*all_columns).alias("qm_row"), h1, h2)
     sized = docs.select(
         "doc_id",
         "source",
         F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"),
         F.when(F.col("doc_id").isNull(), F.md5(text)).alias("qm_text"),
-        F.xxhash64(*all_columns).alias("qm_h1"),
-        F.xxhash64(F.lit(seed), *all_columns).alias("qm_h2"),
+        h1,
+        h2,
     )
     taken = _mixed(sized, ["qm_h1", "qm_h2"], weights, max_repeats, budget, seed).where("taken > 0")
     turns = taken.groupBy("qm_h1", "qm_h2").agg(F.sum("qm_times").cast("int").alias("qm_n"))
