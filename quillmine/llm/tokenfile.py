@@ -25,6 +25,8 @@ MAGIC = b"QMT1"
 END_ID = 0
 #: A segment is closed at so many ids.
 SEGMENT_IDS = 4096 * 2048
+#: Segments of a file; a reader holds a file, and no file may reach 2 GiB.
+FILE_SEGMENTS = 16
 #: Slots of the chunks that a worker remembers, twice, at first and at most, and ids that it keeps for them before it begins anew.
 FEW_BITS, SLOT_BITS = 15, 21
 REMEMBERED = 24_000_000
@@ -236,7 +238,8 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID) -> N
     ranged = rows.repartitionByRange(partitions(docs.sparkSession), F.col("doc_id"), F.substring("text", 1, RANGE_CHARACTERS))
     ordered = ranged.sortWithinPartitions("doc_id", "text")
     packed = ordered.withColumn("part", F.spark_partition_id()).mapInArrow(pack, "segment binary")
-    packed.select(F.col("segment").cast("string").alias("value")).write.option("compression", "none").mode("error").text(path)
+    lines = packed.select(F.col("segment").cast("string").alias("value"))
+    lines.write.option("compression", "none").option("maxRecordsPerFile", FILE_SEGMENTS).mode("error").text(path)
 
 
 def read(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:

@@ -907,6 +907,7 @@ def test_mix_of_any_column_type(spark, docs):
 def test_token_files_are_bounded(spark, docs, tmp_path, monkeypatch):
     """A file ends after so many segments; what is read back doesn't depend on it."""
     want = sorted(map(tuple, tokenfile.tokens(docs, BPE).collect()), key=repr)
+    monkeypatch.setattr(tokenfile, "TEXT_BYTES", 4000)
     monkeypatch.setattr(tokenfile, "SEGMENT_IDS", 2000)
     monkeypatch.setattr(tokenfile, "FILE_SEGMENTS", 1)
     tokenfile.write(docs, f"file://{tmp_path}/t", BPE)
