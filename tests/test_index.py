@@ -133,6 +133,29 @@ def test_terms_of_a_table(spark, table, grams):
     assert len(got) == len(set(got)) and set(got) == want
 
 
+def test_very_many_terms(spark, table):
+    rng = random.Random(9)
+    some = [*TERMS, "a" * 32, "a" * 33, "a" * 64, "a" * 200, "y" * 5, "mma-r"]
+    for i, t in texts():
+        if t and i is not None:
+            at, n = rng.randrange(len(t)), rng.choice([1, 2, 3, 7, 32, 40])
+            some.append(t[at : at + n])
+    want = {(k, i) for k, x in enumerate(some) for i, t in texts() if x and i is not None and t is not None and x.lower() in t.lower()}
+    terms = spark.createDataFrame([*enumerate(some), (9999, None)], "term_id int, term string")
+    got = [tuple(r) for r in postings.holding(table, "id", "body", terms).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    assert postings.holding(table, "id", "body", terms.where("term_id = 9999")).count() == 0
+
+
+def test_words_of_terms_are_joined_not_looked_for(spark):
+    # The names of a table stand in all of its texts' words: each text is read once, and no pair of a text and a name is looked through.
+    rows = spark.createDataFrame([(i, f"Name{i} is in thename{i}s and the{i % 3}") for i in range(200)], "id long, body string")
+    df = postings.holding(rows, "id", "body", rows.select(F.col("id").alias("term_id"), F.concat(F.lit("name"), "id").alias("term")))
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "Contains(" not in plan and "NestedLoop" not in plan and "Cartesian" not in plan and "body" not in plan
+    assert df.count() == sum(str(j).startswith(str(i)) for i in range(200) for j in range(200))
+
+
 def test_postings_alone_are_read(spark, grams):
     plan = postings.candidates(grams, "gamma-ray")._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [shelf" in plan and "In(gram" in plan and "body" not in plan
