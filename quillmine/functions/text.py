@@ -21,14 +21,24 @@ def _sub(x: Column, pattern: str, by: str, flags: str = U) -> Column:
     return F.regexp_replace(x, flags + pattern, by)
 
 
+#: A run of characters beyond ASCII. No ASCII character joins what stands before it; only marks join an ASCII one.
+BEYOND_ASCII = r"[^\x00-\x7F]+"
+LEADING_MARK = r"(?:^|\n)\p{M}"
+
+
 @pandas_udf(StringType())
 def _nfkc(x: pd.Series) -> pd.Series:
     return x.map(lambda s: s if s is None or s.isascii() else unicodedata.normalize("NFKC", s))
 
 
 def nfkc(x: Column) -> Column:
-    """NFKC; the JVM has no function for it, so all texts go through Arrow, and ASCII ones come back as they are."""
-    return F.when(x.rlike(r"[^\x00-\x7F]"), _nfkc(x)).otherwise(x)
+    """NFKC; the JVM has no function for it, so a text's runs of characters beyond ASCII, a line each, go through Arrow and are put back in
+    their places. A text goes whole where a run begins with a mark, which may join the letter before it."""
+    runs = F.array_join(F.regexp_extract_all(x, F.lit(BEYOND_ASCII), F.lit(0)), "\n")
+    whole = runs.rlike(LEADING_MARK)
+    normal = _nfkc(F.when(whole, x).otherwise(runs))
+    merged = F.array_join(F.zip_with(F.split(x, BEYOND_ASCII), F.split(normal, "\n"), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+    return F.when(~x.rlike(BEYOND_ASCII), x).when(whole, normal).otherwise(merged)
 
 
 def ligatures(x: Column) -> Column:

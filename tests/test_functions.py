@@ -1,5 +1,8 @@
 """Worked examples of the column functions."""
 
+import random
+import unicodedata
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -120,3 +123,17 @@ def test_atom(spark):
     xml = "<feed xmlns='http://www.w3.org/2005/Atom'><entry><title>A  b</title><summary>c\n d</summary><author><name>X Y</name></author><author><name>Z</name></author><published>2020</published></entry></feed>"
     got = one(spark, atom_entry(F.col("t")), t=xml)
     assert (got["title"], got["abstract"], got["authors"], got["published"]) == ("A b", "c d", ["X Y", "Z"], "2020")
+
+
+def test_nfkc_of_runs_is_that_of_the_text(spark):
+    rng = random.Random(4)
+    marks = "aAzZ1 <=>.\n\r\x01\x7f̸̧́é²ﬁ각가क़゙か\U0001d4b3\U0001d165  ̈́\u0085"
+    rows = [(i, "".join(rng.choice(marks) for _ in range(rng.randrange(30)))) for i in range(600)] + [(1000, None), (1001, ""), (1002, "plain\n"), (1003, "́"), (1004, "xé")]
+    df = spark.createDataFrame(rows, "id long, t string").select("id", text.nfkc(F.col("t")).alias("n"))
+    assert {r["id"]: r["n"] for r in df.collect()} == {i: t if t is None else unicodedata.normalize("NFKC", t) for i, t in rows}
+
+
+def test_nfkc_sends_runs_not_texts(spark):
+    plan = spark.createDataFrame([("a²",)], "t string").select(text.nfkc(F.col("t")))._jdf.queryExecution().executedPlan().toString()
+    sent = next(line for line in plan.splitlines() if "ArrowEvalPython" in line)
+    assert "regexp_extract_all" in plan and "_nfkc(t#" not in sent
