@@ -49,6 +49,17 @@ def _shelf(token: Column) -> Column:
     return F.pmod(F.xxhash64(token), F.lit(SHELVES)).cast("int")
 
 
+def _counted(toks: str) -> Column:
+    """(token, tf) for each different token: of the sorted tokens, where a run of equal ones begins and how far the next is."""
+
+    def runs(ts: Column) -> Column:
+        first = F.filter(F.transform(ts, lambda t, i: F.when((i == 0) | (t != F.get(ts, i - 1)), F.struct(t.alias("token"), i.alias("at")))), lambda x: x.isNotNull())
+        gap = lambda fs: F.transform(fs, lambda x, k: F.struct(x["token"].alias("token"), (F.coalesce(F.get(fs, k + 1)["at"], F.size(ts)) - x["at"]).cast("long").alias("tf")))
+        return F.get(F.transform(F.array(first), gap), F.lit(0))
+
+    return F.get(F.transform(F.array(F.sort_array(toks)), runs), F.lit(0))
+
+
 def build(chunks: DataFrame, path: str | None = None, block: int = BLOCK) -> Impacts:
     """Writes postings of all chunks (id, content, importance_score).
 
@@ -58,13 +69,14 @@ def build(chunks: DataFrame, path: str | None = None, block: int = BLOCK) -> Imp
     spark, path = chunks.sparkSession, path or new_path(chunks.sparkSession, "impacts")
     mean = chunks.agg(F.avg(word_count(F.col("content")).cast("double"))).first()[0] or 0.0
     toks = tokens(F.coalesce(F.col("content"), F.lit("")))
-    rows = chunks.select("id", F.coalesce("importance_score", F.lit(0.0)).alias("importance"), toks.alias("toks"))
+    # Written first: sorting by range reads its rows twice, and would take the texts apart twice.
+    rows = kept(chunks.select("id", F.coalesce("importance_score", F.lit(0.0)).alias("importance"), toks.alias("toks")), f"{path}/tokens")
     # Impact order, over all chunks: a number of the partition and a row in it make a block.
     rows = rows.repartitionByRange(F.desc("importance"), "id").sortWithinPartitions(F.desc("importance"), "id").withColumn("at", F.monotonically_increasing_id())
     place = F.shiftleft(F.shiftright("at", 33), 24) + F.floor(F.col("at").bitwiseAND(F.lit((1 << 33) - 1)) / block).cast("long")
     stored = kept(rows.withColumn("block", place).drop("at"), f"{path}/chunks")
-    each = stored.select("id", "block", "importance", F.size("toks").alias("length"), F.explode("toks").alias("token"))
-    counted = each.groupBy("token", "block", "id", "length", "importance").agg(F.count("*").alias("tf")).withColumn("shelf", _shelf(F.col("token")))
+    each = stored.select("id", "block", "importance", F.size("toks").alias("length"), F.explode(_counted("toks")).alias("x"))
+    counted = each.select("x.token", "block", "id", "length", "importance", "x.tf").withColumn("shelf", _shelf(F.col("token")))
     posted = kept(counted.hint("rebalance", "shelf").sortWithinPartitions("shelf", "token", "block", "id"), f"{path}/postings", ["shelf"])
     best = posted.groupBy("shelf", "token", "block").agg(F.max("tf").alias("tf"), F.min("length").alias("length"), F.max("importance").alias("importance"))
     most = kept(best.hint("rebalance", "shelf").sortWithinPartitions("shelf", "token", "block"), f"{path}/maxima", ["shelf"])

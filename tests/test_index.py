@@ -1,12 +1,15 @@
 """Indexes against scans, on rows with every kind of key."""
 
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quillmine.operators import ann, graph, postings
+from quillmine.functions.scores import bm25, tokens
+from quillmine.operators import ann, graph, impact, postings
+from quillmine.plans import corpus as co
 
 VECTORS = "paper_id long, workspace_id string, section string, embedding array<float>"
 
@@ -167,3 +170,26 @@ def test_postings_alone_are_read(spark, grams):
 def test_no_texts(spark):
     none = postings.build(spark.createDataFrame([], "id long, body string"), "id", "body")
     assert postings.candidates(none, "abc").count() == 0 and postings.candidates(none, "a").count() == 0
+
+
+def test_one_file_is_work_for_all_cores(spark, tmp_path):
+    rows = spark.createDataFrame([(i, f"The text {i}", "en", "web", 10) for i in range(40)], "doc_id long, text string, lang string, source string, n_chars long")
+    rows.coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    for df in (co.chunks(spark, str(tmp_path)), co.papers(spark, str(tmp_path))):
+        assert df.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_tokens_are_taken_once(spark):
+    rows = spark.createDataFrame([(1, "a b a"), (2, ""), (3, None)], "id long, content string")
+    df = rows.select("id", bm25(F.array(F.lit("a"), F.lit("b")), tokens(F.col("content")), F.lit(2.0)).alias("s"))
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 1
+    got = {r["id"]: r["s"] for r in df.collect()}
+    assert got[1] > 1 and got[2] == 0
+
+
+def test_tokens_are_counted_in_their_row(spark):
+    rng = random.Random(2)
+    lists = [[], ["x"], ["x"] * 5, *([rng.choice(["a", "b", "é", "", "b-"]) for _ in range(rng.randrange(40))] for _ in range(30))]
+    df = spark.createDataFrame([*enumerate(lists)], "id int, toks array<string>").select("id", impact._counted("toks").alias("c"))
+    assert {r["id"]: [tuple(x) for x in r["c"]] for r in df.collect()} == {i: sorted(Counter(x).items()) for i, x in enumerate(lists)}
+    assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
