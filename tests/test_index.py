@@ -4,6 +4,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -167,6 +168,26 @@ def test_postings_alone_are_read(spark, grams):
     assert grams.rows().agg(F.max(F.size("ids"))).first()[0] < 100  # parts of about 50
 
 
+def test_grams_meet_in_lists_not_rows(spark):
+    # What is exchanged is a row for each gram and part of a task, not for each gram of each text.
+    rows = spark.createDataFrame([(i % 250, f"the same words {i % 3} 𝒳é") for i in range(500)], "id int, body string").coalesce(1)
+    ix = postings.build(rows, "id", "body", part=100)
+    got = {(r["gram"], r["part"]): r["ids"] for r in ix.rows().collect()}
+    want = {}
+    for r in rows.collect():
+        t = r["body"].lower() + postings.END
+        for i in range(len(t) - 2):
+            want.setdefault(t[i : i + 3], set()).add(r["id"])
+    have = {}
+    for (g, _), ids in got.items():
+        assert ids == sorted(set(ids))
+        have.setdefault(g, []).extend(ids)
+    assert {g: sorted(x) for g, x in have.items()} == {g: sorted(x) for g, x in want.items()}
+    batch = pa.RecordBatch.from_pydict({"id": [1, 2, 2, 3], "part": pa.array([0, 1, 1, 0], pa.int32()), "text": ["abcabc", "abc", "xbc", "ab"]})
+    runs = [(r["gram"], r["part"], r["ids"]) for b in postings._inverted(iter([batch])) for r in b.to_pylist()]
+    assert sorted(runs) == [("abc", 0, [1]), ("abc", 1, [2]), ("bca", 0, [1]), ("cab", 0, [1]), ("xbc", 1, [2])]
+
+
 def test_no_texts(spark):
     none = postings.build(spark.createDataFrame([], "id long, body string"), "id", "body")
     assert postings.candidates(none, "abc").count() == 0 and postings.candidates(none, "a").count() == 0
