@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillmine.functions.scores import bm25, tokens
-from quillmine.operators import ann, graph, impact, postings
+from quillmine.operators import ann, graph, impact, postings, retrieve
 from quillmine.plans import corpus as co
 
 VECTORS = "paper_id long, workspace_id string, section string, embedding array<float>"
@@ -214,3 +214,14 @@ def test_tokens_are_counted_in_their_row(spark):
     df = spark.createDataFrame([*enumerate(lists)], "id int, toks array<string>").select("id", impact._counted("toks").alias("c"))
     assert {r["id"]: [tuple(x) for x in r["c"]] for r in df.collect()} == {i: sorted(Counter(x).items()) for i, x in enumerate(lists)}
     assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_pairs_of_all_vectors_are_products_not_rows(spark, monkeypatch):
+    monkeypatch.setattr(retrieve, "PART", 100)
+    rows = vector_rows()
+    v = spark.createDataFrame([*rows, (6000, "a", "s1", [0.1, None] * 8), (6001, "b", "s1", [0.1] * 15)], VECTORS)
+    df = retrieve.similar_pairs(v.where("paper_id % 50 = 0 or paper_id in (8, 905, 6000, 6001, 5001)"), v.where("paper_id <> 5002"), n=7, least=0.3, block=10)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("FlatMapCoGroupsInArrow") == 1
+    sources = {*range(0, 900, 50), 8, 905, 900, 950, 5000, 6000}
+    assert found(df) == [x for x in brute(rows, sources & {r[0] for r in rows if r[3] and len(r[3]) > 1}, 7) if x[2] >= 0.3]
