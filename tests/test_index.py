@@ -67,6 +67,22 @@ def test_recall_of_few_probes(spark, index):
     assert len(got & want) >= 0.9 * len(want)
 
 
+def test_search_of_many_cells_reads_few_vectors(spark, monkeypatch):
+    rng, read, exact = np.random.default_rng(5), [], ann._exact
+    rows = [(i, "a", "s1", [float(c) for c in np.float32(x / np.linalg.norm(x))]) for i, x in enumerate(rng.normal(size=(3000, 16)))]
+    ix, sources = ann.build(spark.createDataFrame(rows, VECTORS).repartition(3), 16), set(range(0, 3000, 300))
+
+    def counted(index, found, *rest):
+        assert "q" not in found.columns
+        read.append(found.count())
+        return exact(index, found, *rest)
+
+    monkeypatch.setattr(ann, "_exact", counted)
+    got = found(ann.search(ix, queries(spark, rows, sources), n=10, probes=len(ix.centres), exact=False))
+    assert got == brute(rows, sources, 10)
+    assert sum(read) <= 60 * len(sources)
+
+
 def test_one_query_reads_its_cells(spark, index):
     rows = vector_rows()
     df = ann.nearest(index, rows[8][3], "a", n=12, probes=2, exclude=[5006])
