@@ -83,6 +83,19 @@ def test_search_of_many_cells_reads_few_vectors(spark, monkeypatch):
     assert sum(read) <= 60 * len(sources)
 
 
+def test_queries_go_to_cells_in_bounded_batches(monkeypatch):
+    rng, cells, dims, n = np.random.default_rng(7), 300, 16, 4000
+    ix = ann.Index("", rng.normal(size=(cells, dims)), np.zeros((8, 1, 2)), np.where(np.arange(cells) % 7, 1.0, -1.0), 0, None)
+    q = pa.ListArray.from_arrays(np.arange(0, n * dims + 1, dims, dtype=np.int32), np.float32(rng.normal(size=n * dims)))
+    columns = {"source_id": np.arange(n), "workspace_id": ["a"] * n, "q": q, "floor": np.full(n, -np.inf)}
+    for probes in (None, 240):
+        out = list(ann._probes(ix, probes)(iter([pa.RecordBatch.from_pydict(columns), pa.RecordBatch.from_pydict(columns).slice(0, 0)])))
+        assert max(b.num_rows for b in out) * dims <= ann.AT_ONCE
+        want = min(probes or cells, int((ix.radius >= 0).sum()))
+        assert sum(b.num_rows for b in out) == n * want and Counter(i for b in out for i in b.column(0).to_pylist()) == dict.fromkeys(range(n), want)
+        assert out[-1].column("q")[-1].as_py() == q[n - 1].as_py()
+
+
 def test_one_query_reads_its_cells(spark, index):
     rows = vector_rows()
     df = ann.nearest(index, rows[8][3], "a", n=12, probes=2, exclude=[5006])
