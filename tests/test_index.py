@@ -96,6 +96,18 @@ def test_queries_go_to_cells_in_bounded_batches(monkeypatch):
         assert out[-1].column("q")[-1].as_py() == q[n - 1].as_py()
 
 
+def test_rows_are_encoded_in_bounded_batches():
+    rng, cells, dims, n = np.random.default_rng(9), 500, 4, 9000
+    centres, books, x = rng.normal(size=(cells, dims)), rng.normal(size=(2, 16, 2)), np.float32(rng.normal(size=(n, dims)))
+    embedding = pa.ListArray.from_arrays(np.arange(0, n * dims + 1, dims, dtype=np.int32), x.ravel())
+    b = pa.RecordBatch.from_pydict({"paper_id": np.arange(n), "workspace_id": ["a"] * n, "section": [None] * n, "embedding": embedding})
+    out = list(ann._encoder(centres, books)(iter([b, b.slice(0, 0)])))
+    assert max(o.num_rows for o in out) * cells <= ann.AT_ONCE
+    assert [i for o in out for i in o.column("paper_id").to_pylist()] == list(range(n))
+    near = ((x[:, None].astype(np.float64) - centres[None]) ** 2).sum(axis=2).argmin(axis=1)
+    assert [c for o in out for c in o.column("cell").to_pylist()] == near.tolist()
+
+
 def test_one_query_reads_its_cells(spark, index):
     rows = vector_rows()
     df = ann.nearest(index, rows[8][3], "a", n=12, probes=2, exclude=[5006])
