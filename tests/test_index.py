@@ -83,6 +83,14 @@ def test_search_of_many_cells_reads_few_vectors(spark, monkeypatch):
     assert sum(read) <= 60 * len(sources)
 
 
+def test_packs_are_not_broadcast(spark, index):
+    rows = vector_rows()
+    asked = queries(spark, rows, set(range(0, 900, 50))).withColumn("floor", F.lit(float("-inf")))
+    pairs = ann._pairs(index, asked.localCheckpoint(), 4)
+    assert "Broadcast" not in pairs._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in ann._exact(index, pairs.selectExpr("source_ids[0] source_id", "cell", "keys[0] key", "paper_ids[0] paper_id"), asked.hint("merge"))._jdf.queryExecution().executedPlan().toString()
+
+
 def test_queries_go_to_cells_in_bounded_batches(monkeypatch):
     rng, cells, dims, n = np.random.default_rng(7), 300, 16, 4000
     ix = ann.Index("", rng.normal(size=(cells, dims)), np.zeros((8, 1, 2)), np.where(np.arange(cells) % 7, 1.0, -1.0), 0, None)
