@@ -6,12 +6,12 @@ from collections.abc import Callable
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmine.functions import lexicon as lx
 from quillmine.functions.scores import occurrences, valid_name
-from quillmine.functions.text import canonical_key, clean, collapse, phrase_name, scoped_key
+from quillmine.functions.text import canonical_key, clean, collapse, phrase_name, scoped_key, unwound
 
 
 #: A model sees so many characters of a paper.
@@ -21,9 +21,10 @@ REFINED_CHARACTERS = 6000
 def selected(chunks: DataFrame) -> DataFrame:
     """The important chunks of each paper; of a paper without one the best FALLBACK_CHUNKS."""
     high = F.col("importance_score") >= lx.IMPORTANT
-    per = Window.partitionBy("paper_id")
-    rows = chunks.withColumn("n_high", F.count_if(high).over(per))
-    rows = rows.withColumn("k", F.row_number().over(per.orderBy(F.desc("importance_score"), "id")))
+    # Both look at the rows in one order, so the texts are sorted once.
+    per = Window.partitionBy("paper_id").orderBy(F.desc("importance_score"), "id")
+    whole = per.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    rows = chunks.select("*", F.count_if(high).over(whole).alias("n_high"), F.row_number().over(per).alias("k"))
     return rows.where(high | ((F.col("n_high") == 0) & (F.col("k") <= lx.FALLBACK_CHUNKS))).drop("n_high", "k")
 
 
@@ -33,15 +34,20 @@ def texts(chunks: DataFrame) -> DataFrame:
     return joined.select("paper_id", clean(F.array_join(F.transform("c", lambda x: x["content"]), "\n\n"), aggressive=True).alias("text"))
 
 
-def pattern_names(rows: DataFrame) -> DataFrame:
-    """paper_id, type, name, n, first: names that the patterns find in rows (paper_id, text)."""
+def _patterns() -> list[Column]:
+    """For each pattern what it finds in text."""
     found = []
     for kind, patterns in lx.NER_PATTERNS.items():
         for i, p in enumerate(patterns):
             flags = "(?U)" if not p.startswith("(?i)") else "(?Ui)"
-            names = F.regexp_extract_all("text", F.lit(flags + p.removeprefix("(?i)")), F.lit(1))
+            names = F.regexp_extract_all("text", F.lit(flags + unwound(p.removeprefix("(?i)"))), F.lit(1))
             found.append(_named(names, kind, i))
-    hits = rows.select("paper_id", F.explode(F.flatten(F.array(*found))).alias("h")).select("paper_id", "h.*")
+    return found
+
+
+def pattern_names(rows: DataFrame) -> DataFrame:
+    """paper_id, type, name, n, first: names that the patterns find in rows (paper_id, text)."""
+    hits = rows.select("paper_id", F.explode(F.flatten(F.array(*_patterns()))).alias("h")).select("paper_id", "h.*")
     return hits.where(valid_name(F.col("name"))).groupBy("paper_id", "type", "name").agg(F.count("*").alias("n"), F.min("first").alias("first"))
 
 
@@ -49,23 +55,34 @@ def _named(names, kind: str, i: int):
     return F.transform(names, lambda x, k: F.struct(F.lit(kind).alias("type"), collapse(x).alias("name"), (F.lit(i * 1_000_000) + k).alias("first")))
 
 
-def canonical(names: DataFrame, top: int = lx.NER_TOP) -> DataFrame:
-    """Of spellings with one key the most frequent, then shortest, then first; of each type the top names."""
-    key = Window.partitionBy("paper_id", "type", canonical_key(F.col("name"))).orderBy(F.desc("n"), F.char_length("name"), "first", "name")
+def canonical(names: DataFrame, top: int = lx.NER_TOP, by: tuple[str, ...] = (), held: Column | None = None) -> DataFrame:
+    """Of spellings with one key the most frequent, then shortest, then first; of each type the top names. Columns of `by` keep rows
+    apart; rows for which held is true stay as they are: names (paper_id, type, name and by) that are there once."""
+    held = F.lit(False) if held is None else held
+    spelt = F.when(held, F.col("name")).otherwise(canonical_key(F.col("name")))
+    key = Window.partitionBy("paper_id", *by, "type", spelt).orderBy(F.desc("n"), F.char_length("name"), "first", "name")
     one = names.withColumn("k", F.row_number().over(key)).where("k = 1").drop("k")
-    best = Window.partitionBy("paper_id", "type").orderBy(F.desc("n"), F.lower("name"), "name")
-    return one.withColumn("k", F.row_number().over(best)).where(F.col("k") <= top).drop("k")
+    best = Window.partitionBy("paper_id", *by, "type").orderBy(F.desc("n"), F.lower("name"), "name")
+    return one.withColumn("k", F.row_number().over(best)).where(held | (F.col("k") <= top)).drop("k")
 
 
-def phrase_names(rows: DataFrame) -> DataFrame:
-    """Known phrases, anywhere in the text, with the number of their places."""
+def _phrases() -> Column:
     low = F.lower("text")
     hits = F.array(*[F.struct(F.lit(kind).alias("type"), phrase_name(F.lit(p)).alias("name"), occurrences(low, F.lit(p)).alias("n")) for p, kind in lx.PHRASES.items()])
-    return rows.select("paper_id", F.explode(F.filter(hits, lambda h: h["n"] > 0)).alias("h")).select("paper_id", "h.type", "h.name", F.col("h.n").cast("long").alias("n"))
+    return F.filter(hits, lambda h: h["n"] > 0)
+
+
+def phrase_names(rows: DataFrame) -> DataFrame:
+    """Known phrases, anywhere in the text, with the number of their places."""
+    return rows.select("paper_id", F.explode(_phrases()).alias("h")).select("paper_id", "h.type", "h.name", F.col("h.n").cast("long").alias("n"))
+
+
+def _concepts() -> Column:
+    return F.regexp_extract_all("text", F.lit("(?U)" + lx.CONCEPT), F.lit(0))
 
 
 def concept_names(rows: DataFrame) -> DataFrame:
-    names = rows.select("paper_id", F.explode(F.regexp_extract_all("text", F.lit("(?U)" + lx.CONCEPT), F.lit(0))).alias("name"))
+    names = rows.select("paper_id", F.explode(_concepts()).alias("name"))
     ok = ~F.col("name").isin(*lx.CONCEPT_STOP) & valid_name(F.col("name"))
     return names.where(ok).groupBy("paper_id", F.lit("CONCEPT").alias("type"), "name").agg(F.count("*").alias("n"))
 
@@ -102,10 +119,23 @@ def refined(rows: DataFrame, names: DataFrame, refine: Callable[[str, dict], dic
     return asked.select("paper_id", "by_type", "text").mapInPandas(run, "paper_id long, type string, name string, n long, rank int")
 
 
+def found_names(rows: DataFrame) -> DataFrame:
+    """paper_id, source, type, name, n, first: what pattern_names (source 0), phrase_names (1) and concept_names (2) find, in one pass."""
+    hit = lambda source, kind, name, n, first: F.struct(F.lit(source).alias("source"), kind.alias("type"), name.alias("name"), n.cast("long").alias("n"), first.cast("long").alias("first"))
+    every = [F.transform(p, lambda x: hit(0, x["type"], x["name"], F.lit(1), x["first"])) for p in _patterns()]
+    every.append(F.transform(_phrases(), lambda x: hit(1, x["type"], x["name"], x["n"], F.lit(0))))
+    every.append(F.transform(_concepts(), lambda x: hit(2, F.lit("CONCEPT"), x, F.lit(1), F.lit(0))))
+    hits = rows.select("paper_id", F.explode(F.flatten(F.array(*every))).alias("h")).select("paper_id", "h.*")
+    name = F.col("name")
+    ok = (F.col("source") == 1) | (valid_name(name) & ((F.col("source") == 0) | ~name.isin(*lx.CONCEPT_STOP)))
+    return hits.where(ok).groupBy("paper_id", "source", "type", "name").agg(F.sum("n").alias("n"), F.min("first").alias("first"))
+
+
 def extracted(chunks: DataFrame, extra: list[DataFrame] | None = None) -> DataFrame:
-    """All of it for chunks; extra takes names that an outside recogniser found (paper_id, type, name, n)."""
-    rows = texts(chunks)
-    return top_names([canonical(pattern_names(rows)), phrase_names(rows), concept_names(rows), *(extra or [])])
+    """All of it for chunks, whose texts are read, cleaned and looked through once; extra takes names that an outside recogniser found
+    (paper_id, type, name, n)."""
+    names = canonical(found_names(texts(chunks)), by=("source",), held=F.col("source") > 0)
+    return top_names([names, *(extra or [])])
 
 
 def upserted(existing: DataFrame | None, names: DataFrame) -> DataFrame:

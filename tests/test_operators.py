@@ -72,6 +72,20 @@ def test_extraction(spark):
     assert {("METHOD", "Deep Learning"), ("DISEASE", "Parkinson disease"), ("METHOD", "BERT"), ("DATASET", "ImageNet"), ("PROTEIN", "TP53"), ("DISEASE", "Lesion")} <= got
 
 
+def test_extraction_of_endless_runs(spark):
+    runs = "Thatin Ononst " * 5000 + "Folic acid. [" + "12, " * 5000 + "3] TP53"
+    chunks = spark.createDataFrame([(1, 1, runs, 0.9), (2, 2, "Low [1, 2] TP53", 0.1)], "paper_id long, id long, content string, importance_score double")
+    got = {(r["paper_id"], r["type"], r["name"]) for r in ner.extracted(chunks).collect()}
+    assert {(1, "PROTEIN", "TP53"), (1, "CONCEPT", "Thatin"), (2, "PROTEIN", "TP53")} <= got
+    assert not [x for x in ner.texts(chunks).collect() if "12" in x["text"] or "[1" in x["text"]]
+
+
+def test_texts_are_taken_once_for_all_names(spark, tmp_path):
+    spark.createDataFrame([(1, 1, "TP53", 0.9)], "paper_id long, id long, content string, importance_score double").write.parquet(str(tmp_path / "c"))
+    plan = ner.extracted(spark.read.parquet(str(tmp_path / "c")))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == plan.count("ArrowEvalPython") == 1
+
+
 def test_upsert_counts_spellings(spark):
     new = spark.createDataFrame([(1, "w", "METHOD", "BRCA-1", 1), (1, "w", "METHOD", "BRCA 1", 2)], "paper_id long, workspace_id string, type string, name string, rank int")
     once = ner.upserted(None, new)
