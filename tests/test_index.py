@@ -209,6 +209,20 @@ def test_words_of_terms_are_joined_not_looked_for(spark):
     assert df.count() == sum(str(j).startswith(str(i)) for i in range(200) for j in range(200))
 
 
+def test_words_parts_and_pairs_are_not_exchanged(spark, monkeypatch):
+    # Rows of three words and sets of some five terms: parts are dealt to rows and terms to joins, and each pair still comes up once.
+    monkeypatch.setattr(postings, "WORDS", 3)
+    monkeypatch.setattr(postings, "TERMS", 5)
+    rng = random.Random(5)
+    texts_ = {i: " ".join("".join(rng.choice("abc") for _ in range(rng.randrange(1, 9))) for _ in range(rng.randrange(0, 20))) for i in range(40)}
+    terms = {k: "".join(rng.choice("abC") for _ in range(rng.randrange(1, 5))) for k in range(30)}
+    df = postings.holding(spark.createDataFrame([*texts_.items()], "id long, body string"), "id", "body", spark.createDataFrame([*terms.items()], "term_id int, term string"))
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" not in plan and "SortMergeJoin" not in plan
+    got = [tuple(r) for r in df.collect()]
+    assert len(got) == len(set(got)) and set(got) == {(k, i) for k, x in terms.items() for i, t in texts_.items() if x.lower() in t}
+
+
 def test_postings_alone_are_read(spark, grams):
     plan = postings.candidates(grams, "gamma-ray")._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [shelf" in plan and "In(gram" in plan and "body" not in plan
