@@ -107,8 +107,8 @@ class Engine:
         return ents, graph.filtered_facts(facts)
 
     def answer(self, query: str, n: int = 8, paper_ids: list[int] | None = None, summarise: Callable[[str], str] | None = None) -> DataFrame:
-        """The extractive answer, one row. summarise, if given, is asked once for a text that goes before it."""
-        pool = retrieve.lexical_search(retrieve.scoped(self._own(self.chunks), None, paper_ids), query, max(n, 8))
+        """The extractive answer, one row, of the best of all chunks. summarise, if given, is asked once for a text that goes before it."""
+        pool = retrieve.lexical_search(retrieve.scoped(self._own(self.chunks), None, paper_ids), query, max(n, 8), None)
         pool = self._at_hand(pool.join(self._own(self.papers_).select(F.col("id").alias("paper_id"), "title"), "paper_id"), max(n, 8))
         asked = paper_ids or [r["paper_id"] for r in pool.orderBy("rank").select("paper_id").collect()]
         ents, facts = (self._at_hand(x, 32) for x in self.graph_context(query, asked))

@@ -137,6 +137,16 @@ def test_engine_sees_its_workspace(engine):
         engine.workspace_id("x")
 
 
+def test_answers_look_at_all_chunks(engine, spark):
+    said = "The graph network improves novel results by a lot of measured percent in every one of the trials."
+    rows = [(i, 1, W1, "results", "Nothing of the kind is said here.", 0.9) for i in range(250)] + [(900, 1, W1, "methods", said, 0.5)]
+    engine.chunks = spark.createDataFrame(rows, "id long, paper_id long, workspace_id string, section string, content string, importance_score double")
+    got = engine.answer("graph network").first()
+    assert got["n_results"] == 1 and said in got["answer"]
+    assert retrieve.lexical_search(engine.chunks, "graph network", 8).count() == 0
+    assert [r["id"] for r in retrieve.lexical_search(engine.chunks, "the", 8, None).collect()] == [r["id"] for r in retrieve.lexical_search(engine.chunks, "the", 8).collect()]
+
+
 def test_status(spark):
     p = spark.createDataFrame([(1, "pending"), (2, "pending")], "id long, processing_status string")
     c = spark.createDataFrame([(1, 1, "processing"), (1, 2, "completed")], "id long, ts long, status string")
