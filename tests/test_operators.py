@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quillmine.functions import lexicon as lx
 from quillmine.operators import graph, layout, ner, retrieve, synth
 from quillmine.plans.engine import Engine, NotFoundError
+from quillmine.plans.indexed import QUERIES as INDEXED
 from quillmine.sources import readers, sinks
 from quillmine.streaming import ingest
 
@@ -147,6 +148,19 @@ def test_answers_look_at_all_chunks(engine, spark):
     assert [r["id"] for r in retrieve.lexical_search(engine.chunks, "the", 8, None).collect()] == [r["id"] for r in retrieve.lexical_search(engine.chunks, "the", 8).collect()]
 
 
+def test_landscape_of_all_papers(spark):
+    papers = spark.range(150).selectExpr("id", "concat('Of GRAPHS ', id) AS raw_text", "CAST(IF(id = 149, 1999, 2000 + id % 3) AS INT) AS publication_year")
+    assert tuple(retrieve.landscape(papers, "graph").first()) == (100, 2000, 2002)
+    assert tuple(retrieve.landscape(papers, "graph", None).first()) == (150, 1999, 2002)
+
+
+def test_landscape_indexed_counts_all_papers(spark, tmp_path):
+    d = spark.range(150).selectExpr("id AS doc_id", "IF(id % 2 = 0, 'Of THATIN here', 'a thatins') AS text", "'en' AS lang")
+    d.write.parquet(str(tmp_path / "documents.parquet"))
+    assert INDEXED["landscape_indexed"](spark, str(tmp_path)).first()["paper_count"] == 150
+    assert INDEXED["landscape"](spark, str(tmp_path)).first()["paper_count"] == 100
+
+
 def test_status(spark):
     p = spark.createDataFrame([(1, "pending"), (2, "pending")], "id long, processing_status string")
     c = spark.createDataFrame([(1, 1, "processing"), (1, 2, "completed")], "id long, ts long, status string")
